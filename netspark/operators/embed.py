@@ -120,8 +120,8 @@ def extract_embedding_features(df: DataFrame, *, sender_col: str = "sender", pos
 def nearest(vectors: DataFrame, k: int, floor: float | None = None, block: int = BLOCK) -> DataFrame:
     """``id, other, sim``: each unit vector's (id, v) k most similar others, of at least floor; ties by id.
 
-    Blocks of vectors meet pairwise, one task and one matrix product a pair of
-    blocks; a block's best k of each partner block are all that is shuffled.
+    Blocks of vectors meet pairwise, one task and one matrix product (of single
+    precision; what it finds is measured in double) a pair of blocks; a block's best k of each partner block are all that is shuffled.
     """
     id_type = vectors.schema["id"].dataType
     n = vectors.count()
@@ -138,9 +138,9 @@ def nearest(vectors: DataFrame, k: int, floor: float | None = None, block: int =
                 ids, others = [x["id"] for x in a], [x["id"] for x in b]
                 order = sorted(range(len(b)), key=lambda j: others[j])
                 others = [others[j] for j in order]
-                x = np.array([r["v"] for r in a], np.float32)
-                y = np.array([b[j]["v"] for j in order], np.float32)
-                sims = x @ y.T
+                x = np.array([r["v"] for r in a], float)
+                y = np.array([b[j]["v"] for j in order], float)
+                sims = x.astype(np.float32) @ y.T.astype(np.float32)
                 where = {o: j for j, o in enumerate(others)}
                 for i, own in enumerate(ids):
                     if own in where:
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, k: int, floor: float | None = None, block: int =
                 keep = np.take_along_axis(sims, best, axis=1)
                 ok = np.isfinite(keep) if floor is None else keep >= floor
                 rows, cols = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows.tolist()]), pa.array([others[j] for j in best[rows, cols].tolist()]), pa.array(keep[rows, cols].astype(float))], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows.tolist()]), pa.array([others[j] for j in best[rows, cols].tolist()]), pa.array(np.einsum("ij,ij->i", x[rows], y[best[rows, cols]]))], schema.names)
 
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
     return pairs.mapInArrow(run, schema).withColumn("r", rank).where(F.col("r") <= k).drop("r")

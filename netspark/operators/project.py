@@ -83,7 +83,7 @@ def temporal_pairs(df: DataFrame, intermediate_col: str, projected_col: str, tim
     with time_decay over 1 plus the days between, summed over intermediates.
     """
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    time = F.col(timestamp_col) if timestamp_col else F.lit(None).cast("timestamp")
+    time = (F.col(timestamp_col) if timestamp_col else F.lit(None)).cast("timestamp")
     given = [o.alias(f"o{k}") for k, o in enumerate(order or [])]
     rows = df.select(F.col(intermediate_col).alias("i"), F.col(projected_col).alias("p"), weight.alias("w"), time.alias("t"), *given).dropna(subset=["i", "p"])
     by = [F.col(f"o{k}") for k in range(len(given))] or [F.col("t").desc_nulls_last(), F.col("p")]

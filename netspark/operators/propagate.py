@@ -198,7 +198,7 @@ def propagate_matrix(graph: EdgeList, id_mapper: IDMapper, y: DataFrame, alpha:
     _converged(done, change, tol, max_iterations)
     import pandas as pd
 
-    return y.sparkSession.createDataFrame(pd.DataFrame({"node": nodes, "f": list(f)}), "node long, f array<double>"), done
+    return y.sparkSession.createDataFrame(pd.DataFrame({"node": nodes, "f": f.tolist()}), "node long, f array<double>"), done
 
 
 def results(f: DataFrame, id_mapper: IDMapper, labels: list[str], seeds: dict, normalize: bool = True) -> DataFrame:

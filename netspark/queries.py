@@ -255,7 +255,7 @@ _DEGREE = "g AS (SELECT id, count(*) AS d FROM (SELECT source_id AS id FROM e UN
 
 
 def _filter(spec: dict, combine: str = "and") -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: r6(filters.filter_graph(summed(spark, d), None, spec, combine))
+    return lambda spark, d: r6(filters.filter_edges(summed(spark, d), spec, combine))
 
 
 _IN = "source_id IN (SELECT id FROM {0}) AND target_id IN (SELECT id FROM {0})"
@@ -637,7 +637,7 @@ def temporal_degree_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).select("node_id", F.date_format("date", "yyyy-MM-dd").alias("slice"), "degree")
 
 
-@query(_GRID + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY slice) - 1 AS at FROM g), s2 AS (SELECT id, avg(degree) AS m, coalesce(stddev_samp(degree), 0) AS sd, min(degree) AS lo, max(degree) AS hi, coalesce(regr_slope(degree, at), 0) AS tr, arg_min(degree, slice) AS f, arg_max(degree, slice) AS l FROM r GROUP BY 1) SELECT id AS node_id, round(m, 6) AS degree_mean, round(sd, 6) AS degree_std, lo AS degree_min, hi AS degree_max, hi - lo AS degree_range, round(tr, 6) AS degree_trend, round(CASE WHEN m = 0 THEN 0 ELSE sd / m END, 6) AS degree_volatility, round(CASE WHEN f <> 0 THEN (l - f) / f * 100 WHEN l = 0 THEN 0.0 ELSE -1.0 END, 6) AS degree_growth_rate FROM s2")
+@query(_GRID + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY slice) - 1 AS pos FROM g), s2 AS (SELECT id, avg(degree) AS m, coalesce(stddev_samp(degree), 0) AS sd, min(degree) AS lo, max(degree) AS hi, coalesce(regr_slope(degree, pos), 0) AS tr, arg_min(degree, slice) AS f, arg_max(degree, slice) AS l FROM r GROUP BY 1) SELECT id AS node_id, round(m, 6) AS degree_mean, round(sd, 6) AS degree_std, lo AS degree_min, hi AS degree_max, hi - lo AS degree_range, round(tr, 6) AS degree_trend, round(CASE WHEN m = 0 THEN 0 ELSE sd / m END, 6) AS degree_volatility, round(CASE WHEN f <> 0 THEN (l - f) / f * 100 WHEN l = 0 THEN 0.0 ELSE -1.0 END, 6) AS degree_growth_rate FROM s2")
 def temporal_stats(spark: SparkSession, d: str) -> DataFrame:
     x = temporal.calculate_temporal_statistics(_grid(spark, d), temporal.STATISTICS)
     finite = F.when(F.col("degree_growth_rate") == float("inf"), F.lit(-1.0)).otherwise(F.col("degree_growth_rate"))
@@ -746,12 +746,12 @@ def _knn(mutual: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"), F.lit("").alias("post"))
         e = embed.extract_embedding_similarity_edgelist(v, sender_col="vec_id", embedding_col="e", k=5, similarity_threshold=-1.0, mutual=mutual)
-        return e.select("source", "target", F.round("weight", 4).alias("weight"))
+        return r6(e)
 
     return run
 
 
-_KNN = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s), p AS (SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(s), 4) AS weight, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL) SELECT source, target, weight FROM p"
+_KNN = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s), p AS (SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(s), 6) AS weight, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL) SELECT source, target, weight FROM p"
 query(_KNN, "cosine_knn_union")(_knn(False))
 query(_KNN + " WHERE n = 2", "cosine_knn_mutual")(_knn(True))
 
