@@ -41,8 +41,10 @@ CLASS = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 
 
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of candidates in order: the given runs of token characters, assigned values and private keys; of two that overlap, the longer (the first of equals)."""
-    spans = {*runs, *(m.span(1) for m in ASSIGNED.finditer(text)), *(m.span() for m in PEM.finditer(text))}
+    """Spans of candidates in order: the given runs of token characters, assigned values and private keys; of two that overlap, the longer (the first of equals). A run that ends with an assigned value begins with it, so that ``password=`` stays."""
+    values = [m.span(1) for m in ASSIGNED.finditer(text)]
+    begin = {b: a for a, b in values}
+    spans = {*((max(a, begin.get(b, a)), b) for a, b in runs), *values, *(m.span() for m in PEM.finditer(text))}
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s)):
         if all(b <= c or a >= d for c, d in out):
