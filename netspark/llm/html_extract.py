@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import html as entities
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netspark.llm import _scratch
-from netspark.llm._tokens import Splitter, chunks, raw, string_column
+from netspark.llm._tokens import Splitter, U, Words, chunks, raw, shingles, string_column
 from netspark.llm.url_filter import host
 
 #: Tokens (a power of two) from which a repeated substring is boilerplate, pages on which it must occur, and shortest run that is kept.
 LEAST, PAGES, RUN = 8, 2, 3
-#: Pages of a host whose streams make one suffix array.
-BLOCK_PAGES = 50_000
+#: Bytes of HTML whose token streams make one suffix array on one machine; a host of more has several, which exchange what repeats between them.
+BLOCK_BYTES = 24 << 20
 _TOKEN = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -40,16 +44,19 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: in
     covered = np.zeros(n + 1, np.int64)
     if n < least:
         return np.zeros(n, bool)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    rank += 1
     length = 1
     while length < least:
         following = np.zeros(n, np.int64)  # 0: the suffix ends with its page before
         following[:-length] = np.where(page[:-length] == page[length:], rank[length:], 0)
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        following += rank * (n + 1)
+        order = np.argsort(following, kind="stable")
+        key = following[order]
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
         rank[order] = np.cumsum(new)
+        del key, new, following
         length *= 2
     whole = np.zeros(n, bool)
     whole[: n - least + 1] = page[: n - least + 1] == page[least - 1 :]
@@ -66,6 +73,11 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: in
     return np.cumsum(covered)[:n] > 0
 
 
+def prefixes(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first least tokens of all suffixes that are so long within their page, and where they begin."""
+    return shingles(Words(tokens, page, tokens, tokens, tokens), least)
+
+
 class Stream:
     """Pages of one host: their bytes, and their tokens in order."""
 
@@ -87,11 +99,21 @@ class Stream:
             self.texts.append(part)
             self.pages += b - a
 
-    def extract(self, shared: bool, least: int, pages: int, run: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains."""
-        token = np.concatenate(self.hash) if self.hash else np.zeros(0, np.uint64)
-        page = np.concatenate(self.page) if self.page else np.zeros(0, np.int32)
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and page of every token."""
+        return np.concatenate([np.zeros(0, U), *self.hash]), np.concatenate([np.zeros(0, np.int32), *self.page])
+
+    def extract(self, shared: bool, least: int, pages: int, run: int, elsewhere: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains. elsewhere has the prefixes that repeat with other blocks of the host."""
+        token, page = self.tokens()
         covered = repeated(token, page, least, pages) if shared else np.zeros(len(token), bool)
+        if len(elsewhere) and len(token) >= least:
+            key, begin = prefixes(token, page, least)
+            begin = begin[np.isin(key, elsewhere)]
+            more = np.zeros(len(token) + 1, np.int64)
+            np.add.at(more, begin, 1)
+            np.add.at(more, begin + least, -1)
+            covered |= np.cumsum(more)[:-1] > 0
         at = first = 0
         for part, own, span in zip(self.texts, self.page, self.span, strict=True):
             data = raw(part)[0]
@@ -112,16 +134,128 @@ class Stream:
             yield ["\n".join(t) for t in texts], np.bincount(row, minlength=len(part)) if len(own) else kept.copy(), kept
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, on_pages: int = PAGES, run: int = RUN, block_pages: int = BLOCK_PAGES) -> DataFrame:
+#: A block's pages, or the prefixes that it learns of, in some of its rows.
+BLOCK = "host string, block long, blocks long, blob binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a block in a batch as one compressed row: what hosts repeat is shuffled small."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        ids, texts = batch.column("page_id").to_pylist(), [t if t is None or "&" not in t else entities.unescape(t) for t in batch.column("text").to_pylist()]
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "block", "blocks")), strict=True)):
+            groups.setdefault(key, []).append(i)
+        blobs = [zip_.compress(pickle.dumps(("pages", [ids[i] for i in at], [texts[i] for i in at]))) for at in groups.values()]
+        yield _rows(list(groups), blobs)
+
+
+def _rows(keys: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
+    columns = list(zip(*keys, strict=True)) if keys else [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(blobs, pa.binary())], ["host", "block", "blocks", "blob"])
+
+
+def _together(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions(*by)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, int, list[Any]]]:
+    """Groups of rows that follow each other: their key, their number of blocks, and their opened blobs."""
+    unzip = zstandard.ZstdDecompressor()
+    now, blocks, blobs = None, 0, []
+    for batch in batches:
+        for *key, n, blob in zip(*(batch.column(c).to_pylist() for c in (*by, "blocks", "blob")), strict=True):
+            if tuple(key) != now:
+                if blobs:
+                    yield now, blocks, blobs
+                now, blobs = tuple(key), []
+            blocks = n
+            blobs.append(pickle.loads(unzip.decompress(blob)))
+    if blobs:
+        yield now, blocks, blobs
+
+
+def _unpacked(blobs: list[Any]) -> tuple[list, np.ndarray, Stream, np.ndarray]:
+    """Ids, which texts are null, the stream, and the sorted prefixes from other blocks."""
+    splitter, stream = Splitter(), Stream()
+    ids: list = []
+    nulls, keys = [np.zeros(0, bool)], [np.zeros(0, U)]
+    for blob in blobs:
+        if blob[0] == "keys":
+            keys.append(_decoded(blob[1]))
+            continue
+        ids += blob[1]
+        nulls.append(np.array([t is None for t in blob[2]], bool))
+        stream.add(string_column(pa.array(blob[2], pa.large_string())), splitter)
+    return ids, np.concatenate(nulls), stream, np.sort(np.concatenate(keys))
+
+
+def _encoded(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of the bytes of their differences, of which the high ones compress to nothing."""
+    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _decoded(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
+
+
+def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
+    """Rows of BLOCK with the prefixes that on_pages pages of a host have, but not as many of the block.
+
+    Blocks hold distinct pages, so a prefix's pages add up over blocks. Each
+    block sends its distinct prefixes once, in as many ranges as the host has
+    blocks, so that a range is no larger than a block.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for (name, block), blocks, blobs in _groups(batches, "host", "block"):
+            stream = _unpacked(blobs)[2]
+            key, at = prefixes(*stream.tokens(), least)
+            if not len(key):
+                continue
+            page = stream.tokens()[1][at]
+            order = np.lexsort((page, key))
+            key, page = key[order], page[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            begin = np.flatnonzero(first)
+            pages = np.add.reduceat((first | np.concatenate([[True], page[1:] != page[:-1]])).astype(np.int64), begin)
+            key, pages = key[begin], np.minimum(pages, on_pages)
+            width = U(2**64 // blocks + 1)
+            cuts = np.searchsorted(key // width, np.arange(blocks + 1))
+            some = [r for r in range(blocks) if cuts[r + 1] > cuts[r]]
+            yield _rows([(name, r, blocks) for r in some], [zip_.compress(pickle.dumps((block, _encoded(key[cuts[r] : cuts[r + 1]]), pages[cuts[r] : cuts[r + 1]].astype(np.uint16).tobytes()))) for r in some])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for (name, _), blocks, blobs in _groups(batches, "host", "block"):
+            keys = [_decoded(k) for _, k, _ in blobs]
+            key, own = np.concatenate(keys), np.concatenate([np.frombuffer(n, np.uint16) for *_, n in blobs]).astype(np.int64)
+            block = np.repeat([b for b, *_ in blobs], [len(k) for k in keys])
+            order = np.argsort(key, kind="stable")
+            key, own, block = key[order], own[order], block[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = np.repeat(np.add.reduceat(own, begin), np.diff(np.append(begin, len(key))))
+            new = (total >= on_pages) & (own < on_pages)
+            key, block = key[new], block[new]
+            some = np.unique(block).tolist()
+            yield _rows([(name, b, blocks) for b in some], [zip_.compress(pickle.dumps(("keys", _encoded(key[block == b])))) for b in some])
+
+    asked = _together(sent, "host", "block").mapInArrow(send, BLOCK)
+    return _together(asked, "host", "block").mapInArrow(answer, BLOCK)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, on_pages: int = PAGES, run: int = RUN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``page_id, host, text, n_tokens, n_kept`` of every row of pages.
 
     Tokens are what white space separates in the visible text. A host's pages
-    go to one suffix array, in the order of their ids; tokens in a substring of
+    go to one suffix array; tokens in a substring of
     at least least tokens that on_pages distinct pages have are boilerplate,
     and what remains in runs of at least run tokens is the text, a line a run.
-    Hosts of more than block_pages pages are split into blocks by the pages'
-    hashes, and what repeats must do so within a block. Pages of no host (also
-    null URLs) keep all their text. Null HTML gives null text and 0 tokens;
+    Hosts of more than block_bytes of HTML are split into blocks by the pages'
+    hashes; what repeats between blocks is found by between_blocks(), so the
+    result is the same for any size of block. Pages of no host (also null URLs)
+    keep all their text. Null HTML gives null text and 0 tokens;
     rows that repeat a page count as distinct pages, so they lose what they
     share; an empty table gives no rows; extra columns are ignored.
     """
@@ -129,34 +263,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         raise ValueError("least must be a power of two, 2 at least")
     id_type = pages.schema[id_col].dataType
     named = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), pages[html_col].cast("string").alias("html"))
-    large = named.groupBy("host").count().where((F.col("count") > block_pages) | (F.col("host") == "")).withColumn("blocks", F.ceil(F.col("count") / F.lit(block_pages)))
-    blocked = named.join(_scratch.hinted(large.select("host", "blocks")), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), visible(F.col("html")).alias("text"))
+    size = F.sum(F.octet_length("html"))
+    large = _scratch.write(named.groupBy("host").agg(size.alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
+    placed = named.join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), F.when(F.col("host") != "", F.coalesce("blocks", F.lit(1))).otherwise(F.lit(1)).alias("blocks"), visible(F.col("html")).alias("text"))
+    sent = placed.mapInArrow(_packed, BLOCK)
+    if not large.where("host <> ''").isEmpty():
+        sent = sent.unionByName(between_blocks(sent.where("blocks > 1"), least, on_pages))
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_kept", T.LongType())])
 
-    def finish(name: str, ids: list[pa.Array], nulls: list[np.ndarray], stream: Stream) -> Iterator[pa.RecordBatch]:
-        id_, null, at = pa.concat_arrays(ids), np.concatenate(nulls), 0
-        for texts, n, kept in stream.extract(name != "", least, on_pages, run):
-            size = len(texts)
-            yield pa.RecordBatch.from_arrays([id_.slice(at, size), pa.array([name or None] * size, pa.string()), pa.array(texts, pa.string(), mask=null[at : at + size]), pa.array(n.astype(np.int64)), pa.array(kept)], schema.names)
-            at += size
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, now = Splitter(), None
-        ids, nulls, stream = [], [], Stream()
-        for batch in batches:
-            hosts, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            edges = [i for i in range(len(hosts)) if i == 0 or (hosts[i], blocks[i]) != (hosts[i - 1], blocks[i - 1])]
-            for a, b in zip(edges, [*edges[1:], len(hosts)], strict=True):
-                if (hosts[a], blocks[a]) != now:
-                    if ids:
-                        yield from finish(now[0], ids, nulls, stream)
-                    now, ids, nulls, stream = (hosts[a], blocks[a]), [], [], Stream()
-                text = batch.column(3).slice(a, b - a)
-                ids.append(batch.column(0).slice(a, b - a))
-                nulls.append(np.asarray(text.is_null().to_numpy(zero_copy_only=False), bool))
-                plain = pa.array([entities.unescape(x) if "&" in x else x for x in string_column(text).to_pylist()], pa.large_string())
-                stream.add(plain, splitter)
-        if ids:
-            yield from finish(now[0], ids, nulls, stream)
-
-    return blocked.repartition("host", "block").sortWithinPartitions("host", "block", "page_id").mapInArrow(work, schema)
+        for (name, _), _, blobs in _groups(batches, "host", "block"):
+            ids, null, stream, elsewhere = _unpacked(blobs)
+            at = 0
+            for texts, n, kept in stream.extract(name != "", least, on_pages, run, elsewhere):
+                size = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + size], kind), pa.array([name or None] * size, pa.string()), pa.array(texts, pa.string(), mask=null[at : at + size]), pa.array(n.astype(np.int64)), pa.array(kept)], schema.names)
+                at += size
+
+    kind = to_arrow_type(id_type)
+    return _together(sent, "host", "block").mapInArrow(work, schema)
