@@ -4,28 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netspark.llm import _scratch
-from netspark.llm._tokens import U, Splitter, chunks, shingles, signed, string_column
+from netspark.llm._tokens import Splitter, chunks, shingles, signed, string_column
 
-#: Shards, share by which one may exceed the mean, rounds, words of a shingle, one shingle in how many links documents.
-SHARDS, SLACK, ROUNDS, SHINGLE, EVERY = 16, 0.05, 6, 8, 32
+#: Shards, share by which one may exceed the mean, rounds, words of a shingle, consecutive shingles (a power of two) of which the least links documents.
+SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 6, 8, 32
 #: Parts of a quota: candidates of equal gain are admitted by such parts of their hashes.
 PARTS = 256
 MOST_GAIN = 15
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, every: int = EVERY) -> DataFrame:
-    """``a < b, weight``: documents that share k-word shingles among those whose hash is divisible by every.
-
-    The documents with a shingle form a chain in the order of their ids, so a
+def winnowed(x: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least hash of every run of window shingles of a row, or of all of a row's if they are fewer, and its row; runs that follow each other mostly share theirs."""
+    if not len(x):
+        return x, row
+    least, length = x, 1
+    while length < window:
+        least = np.minimum(least[: len(least) - length], least[length:])
+        length *= 2
+    within = row[: len(least)] == row[window - 1 :] if len(least) else np.zeros(0, bool)
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    short = np.diff(np.append(begin, len(row))) < window
+    out, own = np.concatenate([least[within], np.minimum.reduceat(x, begin)[short]]), np.concatenate([row[: len(least)][within], row[begin][short]])
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
+    return out[new], own[new]
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    """``a < b, weight``: documents that share winnowed k-word shingles.
+
+    Of every window consecutive shingles the one of the least hash counts, so
+    any passage of k + window - 1 words that two documents share links them,
+    wherever it stands, and so do equal texts of at least k words. The
+    documents with a shingle form a chain in the order of their ids, so a
     passage of thousands of documents connects them by as many links; weight
     is the number of shingles that link the pair.
     """
+    if window & (window - 1) or window < 1:
+        raise ValueError("window must be a power of two")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("shingle", T.LongType())])
 
@@ -36,8 +59,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
             for a, b in chunks(column):
                 words = splitter.words(column.slice(a, b - a))
                 x, at = shingles(words, k)
-                some = x % U(every) == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + words.row[at[some]])), pa.array(signed(x[some]))], schema.names)
+                x, row = winnowed(x, words.row[at], window)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(signed(x))], schema.names)
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema).distinct()
     chain = rows.select("id", F.lead("id").over(Window.partitionBy("shingle").orderBy("id")).alias("b")).where("b IS NOT NULL")
