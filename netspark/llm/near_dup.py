@@ -108,48 +108,95 @@ def anchors() -> list[Column]:
     return out
 
 
-def _windows_differ(upto: Column) -> Column:
-    """Whether every window with a number under upto has a difference in x0..x3."""
-    out = F.lit(True)
-    for k, window in enumerate(w for step in RINGS for w in windows(step)):
-        masks = [sum(((1 << SEGMENT) - 1) << (i * SEGMENT % 64) for i in window if i * SEGMENT // 64 == q) for q in range(4)]
-        some = [F.col(f"x{q}").bitwiseAND(m - (1 << 64) * (m >> 63)) != 0 for q, m in enumerate(masks) if m]
-        differs = some[0]
-        for x in some[1:]:
-            differs = differs | x
-        out = out & ((upto <= k) | differs)
+def viable(x: np.ndarray, chain: int, most: int) -> np.ndarray:
+    """Pigeonring: which rows of differing bits (rows x 4, unsigned) have a segment that begins a chain whose differences add up to at most l * most / SEGMENTS after each l <= chain segments.
+
+    Every pair within the distance has such a chain, whatever its length. The
+    same condition on the four 64-bit quarters of the ring goes first: it is
+    cheap and prunes nearly all.
+    """
+    quarter = np.bitwise_count(x).astype(np.int16)
+    out = ((quarter <= most // 4) & (quarter + np.roll(quarter, -1, axis=1) <= most // 2)).any(axis=1)
+    some = np.flatnonzero(out)
+    d = np.bitwise_count(np.ascontiguousarray(x[some]).view(np.uint8)).astype(np.int32)
+    begins, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int32)
+    for length in range(1, chain + 1):
+        total += np.roll(d, 1 - length, axis=1)
+        begins &= total * SEGMENTS <= length * most
+    out[some] = begins.any(axis=1)
     return out
 
 
-def viable(chain: int, most: int) -> Column:
-    """Pigeonring: some segment of d begins a chain whose differences add up to at most l * most / SEGMENTS after each l <= chain segments.
+def bucket_links(s: np.ndarray, most: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a spanning forest over the signatures (rows x 4, unsigned) of one bucket: both ends and their distance.
 
-    Every pair within the distance has such a chain, whatever its length.
+    A search visits signatures in order and compares each with those not yet
+    reached, so that a bucket of near copies costs little more than its size,
+    and what is connected by pairs within the distance comes out connected.
     """
-    return F.expr(f"exists(sequence(0, {SEGMENTS - 1}), i -> forall(sequence(1, {chain}), l -> aggregate(slice(d, i + 1, l), 0, (t, e) -> t + e) * {SEGMENTS} <= l * {most}))")
-
+    left, ends, others, distances = np.arange(len(s)), [], [], []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            u = queue.pop()
+            x = s[left] ^ s[u]
+            near = np.flatnonzero(viable(x, chain, most))
+            d = np.bitwise_count(x[near]).sum(axis=1, dtype=np.int64)
+            near, d = near[d <= most], d[d <= most]
+            if len(near):
+                found = left[near]
+                ends.append(np.full(len(found), u))
+                others.append(found)
+                distances.append(d)
+                queue += found.tolist()[::-1]
+                left = np.delete(left, near)
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (ends, others, distances))
+
+
+def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CHAIN) -> DataFrame:
+    """``a, b, distance``: links between ids whose signatures (id, s0..s3; one row each) differ in at most so many bits.
+
+    Signatures meet in a bucket if a chain of ANCHOR segments on one of the
+    rings is the same; each row goes to its buckets by one shuffle. A bucket
+    gives the links of a spanning forest, never all its pairs, so links connect
+    exactly what all pairs within the distance would that share a bucket. There
+    is no cap on a bucket or on the partners of a signature.
+    """
+    id_type = distinct.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.IntegerType())])
 
-def similar_pairs(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CHAIN) -> DataFrame:
-    """Pairs ``a < b`` of ids whose signatures (id, s0..s3; one row each) differ in at most so many bits, found through a shared anchor, with their ``distance``.
+    def links(ids: list[pa.Array], parts: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, d = bucket_links(np.concatenate(parts), most, chain)
+        own = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b)), pa.array(d.astype(np.int32))], schema.names)
 
-    Two signatures meet if a chain of ANCHOR segments on one of the rings is the
-    same in both; each pair is taken at the first such chain only. There is no
-    cap on the partners of a signature.
-    """
-    keyed = distinct.select("id", "s0", "s1", "s2", "s3", F.explode(F.array(*anchors())).alias("key"))
-    left = keyed.select(F.col("id").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(4)], "key")
-    right = keyed.select(F.col("id").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(4)], F.col("key").alias("key_b"))
-    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")))
-    x = pairs.select("a", "b", F.shiftrightunsigned("key", ANCHOR * SEGMENT).alias("w"), *[F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")).alias(f"x{i}") for i in range(4)])
-    total = F.bit_count("x0") + F.bit_count("x1") + F.bit_count("x2") + F.bit_count("x3")
-    d = F.expr(f"transform(sequence(0, {SEGMENTS + chain - 2}), i -> bit_count(shiftrightunsigned(array(x0, x1, x2, x3)[i div {64 // SEGMENT} % 4], cast(i * {SEGMENT} % 64 AS int)) & {(1 << SEGMENT) - 1}))")
-    # A cheap chain of two 64-bit quarters of the ring goes before that of its segments: it prunes nearly all.
-    quarter = F.lit(False)
-    for i in range(4):
-        one, two = F.bit_count(f"x{i}"), F.bit_count(f"x{(i + 1) % 4}")
-        quarter = quarter | ((one <= most // 4) & (one + two <= most // 2))
-    pruned = x.where(quarter).where(_windows_differ(F.col("w"))).withColumn("d", d).where(viable(chain, most))
-    return pruned.select("a", "b", total.cast("int").alias("distance")).where(F.col("distance") <= most)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts = None, [], []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch.column("key").to_numpy()
+            s = np.stack([batch.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            if key[0] != now and ids:
+                if sum(map(len, ids)) > 1:
+                    yield links(ids, parts)
+                ids, parts = [], []
+            for i in np.flatnonzero((np.diff(cut) > 1) | (np.arange(len(cut) - 1) == 0) | (np.arange(len(cut) - 1) == len(cut) - 2)).tolist():
+                a, b = int(cut[i]), int(cut[i + 1])
+                ids.append(batch.column("id").slice(a, b - a))
+                parts.append(s[a:b])
+                if i < len(cut) - 2:
+                    if sum(map(len, ids)) > 1:
+                        yield links(ids, parts)
+                    ids, parts = [], []
+            now = key[-1]
+        if sum(map(len, ids)) > 1:
+            yield links(ids, parts)
+
+    keyed = distinct.select(F.explode(F.array(*anchors())).alias("key"), "id", "s0", "s1", "s2", "s3")
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -169,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = Window.partitionBy("s0", "s1", "s2", "s3")
     members = _scratch.write(table.select("id", "s0", "s1", "s2", "s3").select("*", F.min("id").over(same).alias("rep")), "members")
     distinct = members.where("id = rep").select("id", "s0", "s1", "s2", "s3").distinct()
-    edges = similar_pairs(distinct, max_distance).select("a", "b").unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    edges = similar_links(distinct, max_distance).select("a", "b").unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     groups = components(edges)
     _scratch.drop(table, members)
     size = F.count("*").over(Window.partitionBy("component"))
