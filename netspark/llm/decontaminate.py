@@ -50,6 +50,29 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndar
     return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
 
 
+def _best_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of hits in order, the most distinct shingles within span of a hit, and the first such hit, negated: two pointers pass each hit once."""
+    for batch in batches:
+        most, first = [], []
+        for span, pos, shingle in zip(batch.column("span").to_pylist(), batch.column("pos").to_pylist(), batch.column("shingle").to_pylist(), strict=True):
+            count: dict[int, int] = {}
+            best, at, end = 0, 0, 0
+            for i, p in enumerate(pos):
+                while end < len(pos) and pos[end] <= p + span:
+                    count[shingle[end]] = count.get(shingle[end], 0) + 1
+                    end += 1
+                if len(count) > best:
+                    best, at = len(count), p
+                if count[shingle[i]] == 1:
+                    del count[shingle[i]]
+                else:
+                    count[shingle[i]] -= 1
+            most.append(best)
+            first.append(-at)
+        window = pa.StructArray.from_arrays([pa.array(most, pa.int64()), pa.array(first, pa.int64())], ["n", "before"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "item_id", "size", "need")], window], ["doc_id", "item_id", "size", "need", "best"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, sent: int = SENT_SHINGLES) -> DataFrame:
     """Pairs ``doc_id, item_id`` of which some window of the document, as long as the item, holds at least threshold of the item's distinct k-word shingles.
 
@@ -86,9 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     mine = hits.join(_scratch.hinted(ranked.select("item_id", "shingle")), "shingle")
     near = stretches.join(mine, ["doc_id", "item_id"]).where((F.col("pos") >= F.col("lo") - F.col("span")) & (F.col("pos") <= F.col("hi") + F.col("span")))
     found = near.groupBy("doc_id", "item_id", "stretch").agg(F.first("span").alias("span"), F.first("size").alias("size"), F.first("need").alias("need"), F.count_distinct("shingle").alias("there"), F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("hits")).where("there >= need")
-    # Each hit begins a window: the distinct shingles up to a span later.
-    windows = F.expr("transform(hits, h -> struct(size(array_distinct(transform(filter(hits, x -> x.pos >= h.pos AND x.pos <= h.pos + span), x -> x.shingle))) AS n, -h.pos AS before))")
-    best = found.select("doc_id", "item_id", "size", "need", F.array_max(windows).alias("best")).where("best.n >= need")
+    best = found.select("doc_id", "item_id", "span", "size", "need", "hits.pos", "hits.shingle").mapInArrow(_best_window, T.StructType([*[found.schema[c] for c in ("doc_id", "item_id", "size", "need")], T.StructField("best", T.StructType([T.StructField("n", T.LongType()), T.StructField("before", T.LongType())]))])).where("best.n >= need")
     top = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.first("size").alias("size"))
     return top.select("doc_id", "item_id", (F.col("best.n") / F.col("size")).alias("containment"), (-F.col("best.before")).alias("window_start"), F.col("size").alias("item_shingles"))
 
