@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netspark.errors import ValidationError
@@ -81,7 +81,7 @@ class IDMapper:
         return {"original_to_internal": {r[0]: r[1] for r in rows}, "internal_to_original": {r[1]: r[0] for r in rows}}
 
     def get_internal(self, original_id: Any) -> int:
-        row = self.nodes.where(F.col("node_id") == F.lit(original_id)).select("code").first()
+        row = self.nodes.where(self._is(original_id)).select("code").first()
         if row is None:
             raise KeyError(original_id)
         return row[0]
@@ -108,6 +108,10 @@ class IDMapper:
             raise KeyError(missing[0])
         return [found[x] for x in wanted]
 
+    def _is(self, original_id: Any) -> Column:
+        """Whether a row has the id, compared as the ids' own type."""
+        return F.col("node_id") == F.lit(original_id).try_cast(self.nodes.schema["node_id"].dataType)
+
     def encode(self, df: DataFrame, column: str, to: str) -> DataFrame:
         """df with the code of a column's ids; rows with unknown ids go."""
         side = self.nodes.select(F.col("node_id").alias("__id"), F.col("code").alias(to))
@@ -119,7 +123,7 @@ class IDMapper:
         return df.join(side, df[column] == side["__code"]).drop("__code")
 
     def add_mapping(self, original_id: Any, internal_id: int) -> None:
-        clash = self.nodes.where((F.col("node_id") == F.lit(original_id)) | (F.col("code") == internal_id)).select("node_id", "code").collect()
+        clash = self.nodes.where((self._is(original_id)) | (F.col("code") == internal_id)).select("node_id", "code").collect()
         if clash and any((r[0], r[1]) != (original_id, internal_id) for r in clash):
             raise ValidationError("id or code is already mapped", field="mapping", value=(original_id, internal_id))
         if not clash:
@@ -145,7 +149,7 @@ class IDMapper:
         return "is_source" in self.nodes.columns
 
     def has_original(self, original_id: Any) -> bool:
-        return not self.nodes.where(F.col("node_id") == F.lit(original_id)).isEmpty()
+        return not self.nodes.where(self._is(original_id)).isEmpty()
 
     def has_internal(self, internal_id: int) -> bool:
         return not self.nodes.where(F.col("code") == internal_id).isEmpty()

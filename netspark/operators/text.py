@@ -176,7 +176,7 @@ def phrases(text: Column, stops: set[str], min_word_length: int, case_sensitive:
     def run(segment: Column) -> Column:
         words = F.regexp_extract_all(segment, F.lit(TOKEN), F.lit(0))
         marked = F.transform(words, lambda w: F.when((F.char_length(w) >= min_word_length) & ~F.array_contains(barred, F.lower(w)), w).otherwise(F.lit("\x01")))
-        return F.filter(F.transform(F.split(F.array_join(marked, " "), "\x01"), F.trim), lambda p: p != "")
+        return F.filter(F.transform(F.split(F.array_join(marked, " "), "\x01"), lambda p: F.trim(p)), lambda p: p != "")
 
     return F.flatten(F.transform(F.split(base, r"(?U)[^\w\s]+"), run))
 
