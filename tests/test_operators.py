@@ -6,12 +6,11 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from netspark.edges import EdgeList, IDMapper, from_frame
+from netspark.edges import IDMapper, from_frame
 from netspark.errors import ComputationError, ConvergenceError, ValidationError
 from netspark.functions.stats import poisson_upper
 from netspark.operators import backbone, categories, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate
 from netspark.operators.centrality import centrality, compare_centrality_metrics, extract_centrality, identify_central_nodes
-from netspark.plans import pipelines
 from netspark.sources.export import export_graph, export_reduced_graph, get_export_info
 from netspark.sources.load import read_edgelist_parquet, write_edgelist_parquet
 from netspark.streaming.slices import stream_slices
@@ -235,14 +234,3 @@ def test_similar_senders(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "sender string, e array<double>").selectExpr("*", "'' AS post")
     rows = {(r["source"], r["target"]) for r in embed.extract_embedding_similarity_edgelist(v, embedding_col="e", k=1, mutual=True).collect()}
     assert rows == {("a", "b")}
-
-
-def test_pipeline_stages_in_all_modes(spark):
-    rows = [(f"u{i}", f"x{j}", datetime(2024, 1, 1 + (i * 7 + j) % 20)) for i in range(12) for j in range(12) if (i + j) % 3]
-    df = spark.createDataFrame(rows, "user string, item string, at timestamp")
-    found = []
-    for mode in ("fast", "balanced", "low"):
-        out = pipelines.run_canonical_pipeline(df, source_col="user", target_col="item", timestamp_col="at", bipartite_target_fraction=0.8, memory_mode=mode, keep_intermediates=True)
-        assert [s.name for s in out.stage_stats][0] == "build_edgelist_from_frame" and isinstance(out.edgelist, EdgeList) and len(out.intermediates) == 4
-        found.append({k: round(v, 9) for k, v in edges(out.edgelist.frame(out.id_mapper)).items()})
-    assert found[0] == found[1] == found[2]
