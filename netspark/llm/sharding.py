@@ -37,20 +37,20 @@ def winnowed(x: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, n
     return out[new], own[new]
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
-    """``a < b, weight``: documents that share winnowed k-word shingles.
+def holders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    """``x, y, doc_id, weight``: the documents of every group that holds the same winnowed k-word shingles, and how many of them.
 
     Of every window consecutive shingles the one of the least hash counts, so
     any passage of k + window - 1 words that two documents share links them,
-    wherever it stands, and so do equal texts of at least k words. The
-    documents with a shingle form a chain in the order of their ids, so a
-    passage of thousands of documents connects them by as many links; weight
-    is the number of shingles that link the pair.
+    wherever it stands, and so do equal texts of at least k words. Every
+    holder of a shingle takes part: a group stands for the links between all
+    its pairs, in one row a member. Shingles with the same holders are one
+    group, named by two hashes of those; shingles with one holder are left out.
     """
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("shingle", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("shingle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
@@ -62,43 +62,86 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
                 x, row = winnowed(x, words.row[at], window)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(signed(x))], schema.names)
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema).distinct()
-    chain = rows.select("id", F.lead("id").over(Window.partitionBy("shingle").orderBy("id")).alias("b")).where("b IS NOT NULL")
-    return chain.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("weight"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
+    same = Window.partitionBy("shingle")
+    named = rows.repartition("shingle").distinct().select("doc_id", F.count("*").over(same).alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(same).alias(c) for i, c in enumerate("xy")])
+    return named.where("n > 1").groupBy("x", "y", "doc_id").agg(F.count("*").alias("weight"))
 
 
-def even_start(ids: DataFrame, shards: int) -> DataFrame:
-    """``doc_id, shard`` with sizes that differ by at most one: ids are numbered by the ranges of their hash, without a global sort."""
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    """``a < b, weight``: all pairs of documents that share winnowed k-word shingles, and how many; n documents of one group give n(n-1)/2 rows, so shard() works on holders()."""
+    rows = _scratch.write(holders(docs, id_col, text_col, k, window), "holders")
+    pairs = rows.select("x", "y", F.col("doc_id").alias("a"), "weight").join(rows.select("x", "y", F.col("doc_id").alias("b")), ["x", "y"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def near_by_groups(groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """``doc_id, there, weight``: weight of the links of every document into each shard, from the number of members that each group of holders() has there; a document is no neighbour of its own."""
+    at = groups.join(linked.select("doc_id", "shard"), "doc_id")
+    counts = at.groupBy("x", "y", F.col("shard").alias("there")).agg(F.count("*").alias("members"))
+    sent = at.join(counts, ["x", "y"]).select("doc_id", "there", (F.col("weight") * (F.col("members") - (F.col("there") == F.col("shard")).cast("int"))).alias("weight"))
+    return sent.groupBy("doc_id", "there").agg(F.sum("weight").alias("weight")).where("weight > 0")
+
+
+def near_by_pairs(both: DataFrame, linked: DataFrame) -> DataFrame:
+    """The same from links in both directions."""
+    return both.join(linked.select(F.col("doc_id").alias("b"), F.col("shard").alias("there")), "b").groupBy(F.col("a").alias("doc_id"), "there").agg(F.sum("weight").alias("weight"))
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """``doc_id, number`` from 0, by the ranges of the ids' hash, without a global sort."""
     parts = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
     first = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    numbered = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))).join(F.broadcast(first), "part")  # 1024 rows at any size
-    return numbered.select("doc_id", F.pmod(F.coalesce("before", F.lit(0)) + F.col("at") - 1, F.lit(shards)).cast("int").alias("shard"))
+    at = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))).join(F.broadcast(first), "part")  # 1024 rows at any size
+    return at.select("doc_id", (F.coalesce("before", F.lit(0)) + F.col("at") - 1).alias("number"))
+
+
+def even_start(ids: DataFrame, shards: int) -> DataFrame:
+    """``doc_id, shard`` with sizes that differ by at most one."""
+    return numbered(ids).select("doc_id", F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
+
+
+def even_rest(sizes: list[int], n: int) -> list[int]:
+    """How many of n documents each shard gets so that the largest of those that get some is as small as can be."""
+    low, high = 0, max(sizes) + n
+    while low < high:
+        level = (low + high) // 2
+        low, high = (low, level) if sum(max(level - x, 0) for x in sizes) >= n else (level + 1, high)
+    out = [max(low - x, 0) for x in sizes]
+    for i in [i for i, x in enumerate(out) if x][: sum(out) - n]:
+        out[i] -= 1
+    return out
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS, edges: DataFrame | None = None) -> DataFrame:
     """``doc_id, shard`` of every distinct id; linked documents gather, sizes stay within ceil((1 + slack) * documents / shards).
 
-    Documents start evenly spread. In each round the half of the linked ones
+    Linked documents start evenly spread. In each round the half of the linked ones
     that its hash chooses may move to the shard with the largest weight of
     neighbours (the lowest number of equal ones) if it beats their own; into
     each shard the largest gains go first, and no more than its free places.
     Rounds end early when none moves. A table of 16 x 256 counts per shard
     decides who is admitted, so no shard's candidates are sorted on one
-    machine. edges (a, b, weight) replaces links(); ends that aren't ids of
-    docs are ignored. Null ids have no row; null and empty texts have no links
-    and stay where they start; rows that repeat an id are one document; an
+    machine. edges (a, b, weight) replaces holders(); ends that aren't ids of
+    docs are ignored. Documents without links, as of null and empty texts, fill
+    the shards up evenly at the end, so their places are free for those that
+    gather. Null ids have no row; rows that repeat an id are one document; an
     empty table gives no rows; extra columns are ignored.
     """
     start = _scratch.write(even_start(docs.select(docs[id_col].alias("doc_id")).where("doc_id IS NOT NULL").distinct(), shards), "start")
-    pairs = links(docs, id_col, text_col) if edges is None else edges.select("a", "b", "weight").where("a <> b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    both = _scratch.write(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "links")
-    sizes = {r["shard"]: r["count"] for r in start.groupBy("shard").count().collect()}
-    capacity = -(-sum(sizes.values()) * (1 + slack) // shards)
-    linked = _scratch.write(start.join(both.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shards")
+    if edges is None:
+        near_of, both = near_by_groups, _scratch.write(holders(docs, id_col, text_col), "links")
+    else:
+        pairs = edges.select("a", "b", "weight").where("a <> b")
+        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        near_of, both = near_by_pairs, _scratch.write(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "links")
+    total = start.count()
+    capacity = -(-total * (1 + slack) // shards)
+    linked = _scratch.write(start.join(both.select(F.col("doc_id" if edges is None else "a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shards")
     first = linked
+    sizes = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
     for turn in range(rounds):
-        near = both.join(linked.select(F.col("doc_id").alias("b"), F.col("shard").alias("there")), "b").groupBy(F.col("a").alias("doc_id"), "there").agg(F.sum("weight").alias("weight"))
+        near = near_of(both, linked)
         best = near.groupBy("doc_id").agg(F.max(F.struct("weight", (-F.col("there")).alias("back"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("there", "weight"))).alias("all"))
         wish = linked.join(best, "doc_id", "left").select("doc_id", "shard", (-F.col("best.back")).cast("int").alias("to"), (F.col("best.weight") - F.coalesce(F.expr("try_element_at(all, shard)"), F.lit(0))).alias("gain"), F.xxhash64("doc_id", F.lit(turn)).alias("hash"))
         able = (F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod("hash", F.lit(2)) == 0)
@@ -118,7 +161,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if not flows:
             break
     _scratch.drop(both)
-    return start.join(linked.select("doc_id", F.col("shard").alias("now")), "doc_id", "left").select("doc_id", F.coalesce("now", "shard").alias("shard"))
+    rest = even_rest([sizes.get(i, 0) for i in range(shards)], total - sum(sizes.values()))
+    ends = np.cumsum(rest)[:-1].tolist()
+    filled = numbered(start.join(linked, "doc_id", "left_anti").select("doc_id")).select("doc_id", sum([(F.col("number") >= e).cast("int") for e in ends], F.lit(0)).alias("shard"))
+    return linked.select("doc_id", "shard").unionByName(filled)
 
 
 def cut_weight(pairs: DataFrame, shards_: DataFrame) -> DataFrame:

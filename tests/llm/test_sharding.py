@@ -52,3 +52,33 @@ def test_sharding_odd_rows(spark):
     assert sorted(r["doc_id"] for r in rows) == [0, 1, 2, 3, 4, 5]
     assert sorted(np.bincount([r["shard"] for r in rows], minlength=2))[1] <= 4
     assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_copy_groups_gather_by_all_their_pairs(spark):
+    rng = random.Random(11)
+    sizes = [10, 50, 1000]
+    texts = [t for n in sizes for t in [prose(rng, 60)] * n] + [None] * 17_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sharding.shard(docs)
+    at = {r["doc_id"]: r["shard"] for r in out.collect()}
+    assert max(np.bincount(list(at.values()))) <= np.ceil(1.05 * len(texts) / sharding.SHARDS)
+    first = 0
+    for n in sizes:
+        assert max(np.bincount([at[i] for i in range(first, first + n)])) >= 0.95 * n
+        group = docs.where(f"doc_id >= {first} AND doc_id < {first + n}")
+        pairs = sharding.links(group)
+        assert pairs.count() == n * (n - 1) // 2
+        cut, total = sharding.cut_weight(pairs, out).first()
+        assert cut <= 0.1 * total
+        first += n
+
+
+def test_the_rest_fills_shards_evenly():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes, n = [rng.randint(0, 20) for _ in range(rng.randint(1, 8))], rng.randint(0, 60)
+        want = list(sizes)
+        for _ in range(n):
+            want[want.index(min(want))] += 1
+        out = sharding.even_rest(sizes, n)
+        assert sum(out) == n and min(out) >= 0 and sorted(a + b for a, b in zip(sizes, out, strict=True)) == sorted(want)
