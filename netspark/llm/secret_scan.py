@@ -28,10 +28,12 @@ FINDINGS = 6000
 RUN, VALUE = 16, 6
 MASK = "<SECRET>"
 
-_KEYS = r"(?:api|access|auth|secret|private|client|encryption|signing)?[ _-]?(?:token|secret|key|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
+_KEY = r"(?:token|secret|key|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
+_KEYS = r"(?:api|access|auth|secret|private|client|encryption|signing)?[ _-]?" + _KEY
 ASSIGNED = re.compile(_KEYS + r"[\"']?\s*[:=]\s*[\"'`]?([^\s\"'`,;]{%d,})" % VALUE, re.IGNORECASE)
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.DOTALL)
-ANY = r"(?i)(?:token|secret|key|passw|pwd|credential|bearer)[\"']?\s*[:=]|-----BEGIN [A-Z ]*PRIVATE KEY"
+#: Matches, in RE2, all that ASSIGNED and PEM match; there \s is ASCII only.
+ANY = "(?i)" + _KEY + r"[\"']?[\s\x0b\x1c-\x1f\x{85}\p{Z}]*[:=]|-----BEGIN [A-Z ]*PRIVATE KEY"
 
 _RUN_BYTE = np.zeros(256, bool)
 _RUN_BYTE[list((string.ascii_letters + string.digits + "+/_-=").encode())] = True

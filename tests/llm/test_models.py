@@ -52,6 +52,18 @@ def test_secrets_are_found_in_place_and_masked(spark, net):
     assert {r["doc_id"]: r["n_chars"] for r in sized.collect()} == {1: len("token: " + secret_scan.MASK), 2: 0}
 
 
+@pytest.mark.parametrize("key", ["token", "api_key", "SECRET", "password", "Passwd", "passwd", "pwd", "credential", "credentials", "bearer"])
+def test_short_assigned_values_are_candidates_without_other_runs(key):
+    texts = [f"{key}{told}Tr0ub4dor3 and prose" for told in (": ", "=", " = ", '": "', "' : '", "\u00a0:\u2003", "\x0b=\x1f", "\x85: ")]
+    found = {r: [text[a:b] for a, b in spans] for r, text, spans in secret_scan.find_candidates(pa.array(texts, pa.large_string()))}
+    assert found == {i: ["Tr0ub4dor3"] for i in range(len(texts))}
+
+
+def test_a_short_password_alone_is_masked(spark, net):
+    df = spark.createDataFrame([(1, 'the login has password: "Tr0ub4dor3xQ" for now'), (2, "credentials = 'x8Kq2LmZ9v' ")], "doc_id long, text string")
+    assert [secret_scan.MASK in r["text"] for r in secret_scan.redact(df, net).sort("doc_id").collect()] == [True, True]
+
+
 def test_losses_against_sql(spark, sf):
     df = llm.op5_lm_scoring(spark, sf)
     q = connection(sf).execute(llm.oracle_sql()["op5_lm_scoring"])
