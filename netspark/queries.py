@@ -1,7 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, and the SQL that gives the same rows.
 
 Real numbers are rounded to six digits on both sides, since sums depend on
-their order. Every query runs over its whole tables.
+their order. Every query runs over its whole tables, but those of stars().
 """
 
 from __future__ import annotations
@@ -270,7 +270,7 @@ query(f"WITH {SUMMED}, {_DEGREE}, k AS (SELECT id FROM g WHERE d >= 20) SELECT {
 
 
 def stars(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and customers of positive balance, each with its nation."""
+    """Suppliers with a balance above 0 and customers with one above 9000, as in STARS, each with its nation."""
     s = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"))
     c = table(spark, d, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
     return s.union(c).withColumn("weight", F.lit(1.0))
