@@ -6,23 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netspark.llm import _scratch
 from netspark.llm._graph import components
-from netspark.llm._tokens import U, Splitter, chunks, mix, signed, string_column
+from netspark.llm._tokens import U, Splitter, chunks, mix, string_column
 
 #: Bits of a signature, and of a segment of the ring.
 BITS, SEGMENT = 256, 8
 SEGMENTS = BITS // SEGMENT
-#: Steps through the segments, each coprime to their number: the rings on which chains lie.
-RINGS = (1, 3, 5, 7, 11, 13)
-#: Segments without any difference at which a chain begins.
-ANCHOR = 3
 MAX_DISTANCE = 36
 CHAIN = 8
+#: Segments at the begin of a chain whose bits are the key of the search within a cell.
+KEYED = 3
+#: Signatures that one task compares; a cell of more is split by the bits of its chains' first segment, and then into blocks of which every two meet.
+CELL = 1_000_000
+#: Pairs that are looked at at once.
+PAIRS = 1 << 22
 
 
 def _lanes() -> np.ndarray:
@@ -86,45 +89,34 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
 
 
-def windows(step: int) -> list[list[int]]:
-    """Chains' first segments on one ring: disjoint runs of ANCHOR segments along it."""
-    ring = [(i * step) % SEGMENTS for i in range(SEGMENTS)]
-    return [ring[i : i + ANCHOR] for i in range(0, SEGMENTS - ANCHOR + 1, ANCHOR)]
+def budgets(most: int, chain: int = CHAIN) -> list[int]:
+    """Differences that the first l segments of a chain may have, l = 1.. chain."""
+    return [length * most // SEGMENTS for length in range(1, chain + 1)]
 
 
-def _segment(prefix: str, i: int) -> Column:
-    """Segment i of the four numbers s0..s3."""
-    return F.shiftrightunsigned(F.col(f"{prefix}{i * SEGMENT // 64}"), i * SEGMENT % 64).bitwiseAND((1 << SEGMENT) - 1)
-
-
-def anchors() -> list[Column]:
-    """Keys, one for each window of each ring: its number and its segments' bits."""
-    out = []
-    for window in [w for step in RINGS for w in windows(step)]:
-        key = F.lit(len(out)).cast("long")
-        for i in window:
-            key = F.shiftleft(key, SEGMENT).bitwiseOR(_segment("s", i))
-        out.append(key)
-    return out
+def key_masks(most: int, keyed: int = KEYED) -> np.ndarray:
+    """Differences of two keys, of the first keyed segments of a chain, that stay within the budgets; 0 first, then by their number of bits."""
+    masks = np.zeros(1, np.int64)
+    one = np.arange(1 << SEGMENT)
+    for limit in budgets(most, keyed):
+        masks = ((masks[:, None] << SEGMENT) | one).ravel()
+        masks = masks[np.bitwise_count(masks) <= limit]
+    return masks[np.lexsort((masks, np.bitwise_count(masks)))]
 
 
 def viable(x: np.ndarray, chain: int, most: int) -> np.ndarray:
-    """Pigeonring: which rows of differing bits (rows x 4, unsigned) have a segment that begins a chain whose differences add up to at most l * most / SEGMENTS after each l <= chain segments.
-
-    Every pair within the distance has such a chain, whatever its length. The
-    same condition on the four 64-bit quarters of the ring goes first: it is
-    cheap and prunes nearly all.
-    """
-    quarter = np.bitwise_count(x).astype(np.int16)
-    out = ((quarter <= most // 4) & (quarter + np.roll(quarter, -1, axis=1) <= most // 2)).any(axis=1)
-    some = np.flatnonzero(out)
-    d = np.bitwise_count(np.ascontiguousarray(x[some]).view(np.uint8)).astype(np.int32)
+    """Pigeonring: which rows of differing bits (rows x 4, unsigned) have a segment that begins a chain whose differences add up to at most l * most / SEGMENTS after each l <= chain segments. Every pair within the distance has such a chain, whatever its length."""
+    d = np.bitwise_count(np.ascontiguousarray(x).view(np.uint8)).astype(np.int32)
     begins, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int32)
-    for length in range(1, chain + 1):
+    for length, limit in enumerate(budgets(most, chain), 1):
         total += np.roll(d, 1 - length, axis=1)
-        begins &= total * SEGMENTS <= length * most
-    out[some] = begins.any(axis=1)
-    return out
+        begins &= total <= limit
+    return begins.any(axis=1)
+
+
+def _chained(x: np.ndarray, limits: list[int]) -> np.ndarray:
+    """Which rows of differing bits have such a chain at their own first segment."""
+    return (np.cumsum(np.bitwise_count(x.view(np.uint8))[:, : len(limits)], axis=1, dtype=np.int32) <= limits).all(axis=1)
 
 
 def bucket_links(s: np.ndarray, most: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,64 +131,239 @@ def bucket_links(s: np.ndarray, most: int, chain: int) -> tuple[np.ndarray, np.n
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             u = queue.pop()
-            x = s[left] ^ s[u]
-            near = np.flatnonzero(viable(x, chain, most))
-            d = np.bitwise_count(x[near]).sum(axis=1, dtype=np.int64)
-            near, d = near[d <= most], d[d <= most]
+            d = np.bitwise_count(s[left] ^ s[u]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(d <= most)
             if len(near):
                 found = left[near]
                 ends.append(np.full(len(found), u))
                 others.append(found)
-                distances.append(d)
+                distances.append(d[near])
                 queue += found.tolist()[::-1]
                 left = np.delete(left, near)
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else none for x in (ends, others, distances))
 
 
-def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CHAIN) -> DataFrame:
-    """``a, b, distance``: links between ids whose signatures (id, s0..s3; one row each) differ in at most so many bits.
+def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    up = parent[x]
+    while not np.array_equal(up, again := parent[up]):
+        up = again
+    return up
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. of size[0] numbers, then the same of the next."""
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+class Forest:
+    """Signatures of one cell, rotated so that their chains begin at the first segment, and the links found so far."""
+
+    def __init__(self, s: np.ndarray, most: int, chain: int):
+        key = np.zeros(len(s), np.int64)
+        for i in range(KEYED):
+            key = (key << SEGMENT) | s.view(np.uint8)[:, i]
+        self.order = np.argsort(key, kind="stable")
+        self.s, key = s[self.order], key[self.order]
+        self.most, self.limits, self.parent = most, budgets(most, chain), np.arange(len(s))
+        self.word, self.word_limit = np.ascontiguousarray(self.s[:, 0]), 64 // SEGMENT * most // SEGMENTS
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.key, self.first, self.size = key[begin], begin, np.diff(np.append(begin, len(s)))
+        self.ends: list[tuple[int, int, int]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+        """Keep those of the links that connect what nothing did."""
+        n = len(self.parent)
+        ra, rb = _roots(self.parent, a), _roots(self.parent, b)
+        _, some = np.unique(np.minimum(ra, rb) * n + np.maximum(ra, rb), return_index=True)
+        parent = self.parent
+        for x, y, i in zip(ra[some].tolist(), rb[some].tolist(), some.tolist(), strict=True):
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.ends.append((int(a[i]), int(b[i]), int(d[i])))
+
+    def check(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Join the pairs of members within the distance; whether there were any. The chain prunes first by its first 64 bits, then segment by segment."""
+        near = np.flatnonzero(np.bitwise_count(self.word[a] ^ self.word[b]) <= self.word_limit)
+        x = self.s[a[near]] ^ self.s[b[near]]
+        ok = _chained(x, self.limits)
+        near, x = near[ok], x[ok]
+        d = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        near, d = near[d <= self.most], d[d <= self.most]
+        if len(near):
+            self.join(a[near], b[near], d)
+        return len(near) > 0
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Look for links between the members of groups a and b (indices of groups, pairwise) that aren't connected yet, some PAIRS at a time."""
+        while len(a):
+            new = _roots(self.parent, self.group_first[a]) != _roots(self.parent, self.group_first[b])
+            a, b = a[new], b[new]
+            if not len(a):
+                return
+            pairs = np.cumsum(self.group_size[a] * self.group_size[b])
+            n = int(np.searchsorted(pairs, PAIRS, "right"))
+            if n:
+                size = self.group_size[b[:n]]
+                left = _ranges(self.group_first[a[:n]], self.group_size[a[:n]])
+                width = np.repeat(size, self.group_size[a[:n]])
+                self.check(np.repeat(left, width), _ranges(np.repeat(self.group_first[b[:n]], self.group_size[a[:n]]), width))
+            else:  # two large groups, which one link makes one
+                n, other = 1, np.arange(self.group_size[b[0]]) + self.group_first[b[0]]
+                step = max(1, PAIRS // len(other))
+                members = np.arange(self.group_size[a[0]]) + self.group_first[a[0]]
+                for i in range(0, len(members), step):
+                    part = members[i : i + step]
+                    if self.check(np.repeat(part, len(other)), np.tile(other, len(part))):
+                        break
+            a, b = a[n:], b[n:]
+
+    def same_key(self) -> None:
+        """Links within buckets of one key; then members of a bucket that are connected become one group, so that later keys look at a group as a whole."""
+        for i in np.flatnonzero(self.size > 64).tolist():
+            a, b, d = bucket_links(self.s[self.first[i] : self.first[i] + self.size[i]], self.most, len(self.limits))
+            if len(a):
+                self.join(a + self.first[i], b + self.first[i], d)
+        few = np.flatnonzero((self.size > 1) & (self.size <= 64))
+        for n in np.unique(self.size[few]).tolist():
+            i, j = np.triu_indices(n, 1)
+            begin = self.first[few[self.size[few] == n]]
+            for k in range(0, len(begin), max(1, PAIRS // len(i))):
+                part = begin[k : k + max(1, PAIRS // len(i)), None]
+                self.check((part + i).ravel(), (part + j).ravel())
+        root = _roots(self.parent, np.arange(len(self.parent)))
+        bucket = np.repeat(np.arange(len(self.first)), self.size)
+        order = np.lexsort((root, bucket))
+        self._reorder(order)
+        root, bucket = _roots(self.parent, np.arange(len(self.parent))), bucket[order]
+        begin = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (bucket[1:] != bucket[:-1])]))
+        self.group_first, self.group_size = begin, np.diff(np.append(begin, len(root)))
+        self.groups_first = np.searchsorted(begin, self.first)
+        self.groups = np.diff(np.append(self.groups_first, len(begin)))
+
+    def _reorder(self, order: np.ndarray) -> None:
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        root = place[_roots(self.parent, order)]
+        least = np.full(len(order), len(order))
+        np.minimum.at(least, root, np.arange(len(order)))
+        self.order, self.s, self.word = self.order[order], self.s[order], self.word[order]
+        self.parent = least[root]
+        self.ends = [(int(place[a]), int(place[b]), d) for a, b, d in self.ends]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ends and distances of a spanning forest of all pairs in the cell whose chain begins at their first segment."""
+        self.same_key()
+        there = np.zeros(1 << KEYED * SEGMENT, bool)
+        there[self.key] = True
+        low = [self.key[(self.key >> bit) & 1 == 0] for bit in range(KEYED * SEGMENT)]
+        for mask in key_masks(self.most)[1:].tolist():
+            mine = low[(mask & -mask).bit_length() - 1]  # of two keys that differ so, the one without the lowest bit
+            mine = mine[np.flatnonzero(there.take(mine ^ mask, mode="clip"))]
+            if not len(mine):
+                continue
+            a, b = np.searchsorted(self.key, mine), np.searchsorted(self.key, mine ^ mask)
+            width = np.repeat(self.groups[b], self.groups[a])
+            left = np.repeat(_ranges(self.groups_first[a], self.groups[a]), width)
+            self.compare(left, _ranges(np.repeat(self.groups_first[b], self.groups[a]), width))
+        a, b, d = (np.array(x, np.int64) for x in zip(*self.ends, strict=True)) if self.ends else (np.zeros(0, np.int64),) * 3
+        return self.order[a], self.order[b], d
+
+
+def group_bits(n: int, cell: int) -> int:
+    """Bits of a chain's first segment by which n signatures are told apart so that a cell has about cell of them."""
+    return min(SEGMENT, max(0, (-(-n // cell) - 1).bit_length()))
+
+
+def _cells(first: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``group, rows`` for first segments of chains: a row's own group, and the lower ones that differ in one bit, since the first segment may."""
+    own = first.astype(np.int64) >> (SEGMENT - bits)
+    out = [(own, np.arange(len(first)))]
+    for bit in range(bits):
+        some = np.flatnonzero(own & (1 << bit))
+        out.append((own[some] ^ (1 << bit), some))
+    return out
 
-    Signatures meet in a bucket if a chain of ANCHOR segments on one of the
-    rings is the same; each row goes to its buckets by one shuffle. A bucket
-    gives the links of a spanning forest, never all its pairs, so links connect
-    exactly what all pairs within the distance would that share a bucket. There
-    is no cap on a bucket or on the partners of a signature.
+
+def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CHAIN, cell: int = CELL) -> DataFrame:
+    """``a, b, distance``: links between ids whose signatures (id, s0..s3; one row each) differ in at most most bits, as many as connect what all such pairs connect.
+
+    Complete for most up to 63: by the pigeonring principle some segment of
+    every such pair begins a chain within its budgets. Each signature goes to
+    one cell for every segment, where Forest tries all differences of the
+    chain's first KEYED segments that the budgets allow. Beyond cell
+    signatures a cell is split by bits of the first segment (of which the
+    budget may spend one, so neighbouring cells exchange signatures), and if one is
+    still larger, as of a text with very many copies, into blocks, a task for
+    every two. The result is the same for any size of cell.
     """
+    if most // SEGMENTS > 1:
+        raise ValueError(f"max_distance is {2 * SEGMENTS - 1} at most")
     id_type = distinct.schema["id"].dataType
+    kind = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.IntegerType())])
-
-    def links(ids: list[pa.Array], parts: list[np.ndarray]) -> pa.RecordBatch:
-        a, b, d = bucket_links(np.concatenate(parts), most, chain)
+    bits = group_bits(distinct.count(), cell)
+    parts: dict[tuple[int, int], int] = {}
+    if bits:
+        # At most SEGMENTS x 256 rows, whatever the input.
+        segments = [F.shiftrightunsigned(F.col(f"s{i * SEGMENT // 64}"), i * SEGMENT % 64).bitwiseAND((1 << SEGMENT) - 1) for i in range(SEGMENTS)]
+        counts = distinct.select(F.posexplode(F.array(*segments)).alias("place", "first")).groupBy("place", "first").count().collect()
+        for r in counts:
+            for group, rows in _cells(np.array([r["first"]]), bits):
+                if len(rows):
+                    parts[r["place"], int(group[0])] = parts.get((r["place"], int(group[0])), 0) + r["count"]
+    blocks = {k: -(-n // cell) for k, n in parts.items() if n > cell}
+    names = ["place", "cell", "i", "j"]
+    sent = T.StructType([*[T.StructField(c, T.IntegerType()) for c in names], T.StructField("ids", T.ArrayType(id_type)), T.StructField("s", T.BinaryType())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            s = np.stack([batch.column(f"s{i}").to_numpy() for i in range(4)], axis=1)
+            every, own = s.view(np.uint8), mix(np.ascontiguousarray(s[:, 0]).view(U))
+            keys, takes = [], []
+            for place in range(SEGMENTS):
+                for group, rows in _cells(every[:, place], bits):
+                    for g in np.unique(group).tolist():
+                        at = rows[group == g]
+                        n = blocks.get((place, g), 1)
+                        block = (own[at] % U(n)).astype(np.int64)
+                        for i in range(n):
+                            for j in range(i, n):
+                                both = at if n == 1 else at[(block == i) | (block == j)]
+                                if len(both) and (i < j or n == 1 or i == j == n - 1):
+                                    keys.append((place, g, i, j))
+                                    takes.append(both)
+            ids = batch.column("id").take(pa.array(np.concatenate(takes)))
+            offsets = np.cumsum([0, *map(len, takes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in zip(*keys, strict=True)], pa.ListArray.from_arrays(offsets, ids), pa.array([np.roll(every[at], -k[0], axis=1).tobytes() for k, at in zip(keys, takes, strict=True)], pa.binary())], sent.names)
+
+    def links(ids: list[pa.Array], blobs: list[bytes]) -> pa.RecordBatch:
         own = pa.concat_arrays(ids)
+        a, b, d = Forest(np.frombuffer(b"".join(blobs), U).reshape(-1, 4), most, chain).links()
         return pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b)), pa.array(d.astype(np.int32))], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts = None, [], []
+        now, ids, blobs = None, [], []
         for batch in batches:
-            if not len(batch):
-                continue
-            key = batch.column("key").to_numpy()
-            s = np.stack([batch.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            if key[0] != now and ids:
-                if sum(map(len, ids)) > 1:
-                    yield links(ids, parts)
-                ids, parts = [], []
-            for i in np.flatnonzero((np.diff(cut) > 1) | (np.arange(len(cut) - 1) == 0) | (np.arange(len(cut) - 1) == len(cut) - 2)).tolist():
-                a, b = int(cut[i]), int(cut[i + 1])
-                ids.append(batch.column("id").slice(a, b - a))
-                parts.append(s[a:b])
-                if i < len(cut) - 2:
-                    if sum(map(len, ids)) > 1:
-                        yield links(ids, parts)
-                    ids, parts = [], []
-            now = key[-1]
-        if sum(map(len, ids)) > 1:
-            yield links(ids, parts)
-
-    keyed = distinct.select(F.explode(F.array(*anchors())).alias("key"), "id", "s0", "s1", "s2", "s3")
-    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, schema)
+            lists, s = batch.column("ids"), batch.column("s")
+            for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if key != now:
+                    if ids:
+                        yield links(ids, blobs)
+                    now, ids, blobs = key, [], []
+                ids.append(lists[r].values.cast(kind))
+                blobs.append(s[r].as_py())
+        if ids:
+            yield links(ids, blobs)
+
+    rows = distinct.select("id", "s0", "s1", "s2", "s3").mapInArrow(send, sent)
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -208,9 +375,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the search, so thousands of copies cost no more than two. Null ids and
     texts and texts without a word have no signature and are never grouped;
     rows that repeat an id count as one document, also with different texts.
-    An empty table gives none. Extra columns are ignored. The search is
-    approximate: a pair must agree on 24 consecutive bits of one of six
-    rings at one of 60 places (tests measure its recall against brute force).
+    An empty table gives none. Extra columns are ignored. Every pair within
+    max_distance takes part in the groups (similar_links()), however large
+    a group is and however long the texts are.
     """
     table = _scratch.write(signatures(docs, id_col, text_col), "signatures")
     same = Window.partitionBy("s0", "s1", "s2", "s3")

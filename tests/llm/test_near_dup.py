@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -16,28 +17,48 @@ def texts():
     return out
 
 
-def test_recall_against_brute_force(spark, texts):
+def test_groups_are_those_of_brute_force(spark, texts):
     found = {r["doc_id"]: r["keep_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     root, d = near_groups(texts, near_dup.MAX_DISTANCE)
-    mine = [found.get(i, i) for i in range(len(texts))]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if d[i, j] <= near_dup.MAX_DISTANCE]
-    assert len(pairs) > 200
-    assert np.mean([mine[i] == mine[j] for i, j in pairs]) >= 0.9
-    assert all(root[i] == root[k] for i, k in found.items())
+    assert np.sum(d[np.triu_indices(len(texts), 1)] <= near_dup.MAX_DISTANCE) > 200
+    assert [found.get(i, i) for i in range(len(texts))] == root
 
 
-def test_link_recall_of_single_pairs(spark):
-    """Pairs by themselves, at the distances that edits of up to a tenth of the words give."""
+def test_no_single_pair_is_lost_up_to_the_distance(spark):
+    """Pairs by themselves, at the distances that edits of up to a fifth of the words give: all within the distance are found, no other."""
     rng = random.Random(9)
     texts = []
-    for _ in range(150):
+    for i in range(200):
         t = prose(rng, 200)
-        texts += [t, edited(rng, t, 0.05)]
+        texts += [t, edited(rng, t, rng.choice([0.03, 0.08, 0.12, 0.2]))]
     _, d = near_groups(texts, near_dup.MAX_DISTANCE)
-    true = [i for i in range(0, len(texts), 2) if d[i, i + 1] <= near_dup.MAX_DISTANCE]
+    of = [int(d[i, i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(30 <= x <= near_dup.MAX_DISTANCE for x in of) > 15 and sum(x > near_dup.MAX_DISTANCE for x in of) > 15
     found = {r["doc_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert len(true) > 100
-    assert np.mean([i + 1 in found for i in true]) >= 0.9
+    assert found == {2 * i + 1 for i, x in enumerate(of) if x <= near_dup.MAX_DISTANCE}
+
+
+@pytest.mark.parametrize("cell", [1_000_000, 150, 60])
+def test_links_are_complete_at_any_size_of_cell(spark, cell):
+    """Clusters whose members differ in up to the distance, and a large one, against all pairs; small cells are split by bits and into blocks."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**63, (60, 4)).astype(np.uint64)
+    s = centres[np.concatenate([np.arange(60), rng.integers(0, 60, 90), np.zeros(150, int)])]
+    for row in s[60:]:
+        for bit in rng.choice(256, rng.integers(10, 37), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    df = spark.createDataFrame([(f"d{i}", *row) for i, row in enumerate(s.view(np.int64).tolist())], "id string, s0 long, s1 long, s2 long, s3 long")
+    rows = near_dup.similar_links(df, cell=cell).collect()
+    distance = np.bitwise_count(s[:, None] ^ s[None]).sum(axis=-1)
+    links = [(int(r["a"][1:]), int(r["b"][1:])) for r in rows]
+    assert all(distance[a, b] == r["distance"] <= 36 for (a, b), r in zip(links, rows, strict=True))
+    assert groups(len(s), links) == groups(len(s), [(i, j) for i, j in zip(*np.nonzero(distance <= 36), strict=True) if i < j])
+
+
+def test_key_masks_are_all_differences_within_the_budgets():
+    masks = set(near_dup.key_masks(36).tolist())
+    d = [[int(x).bit_count() for x in ((m >> 16) & 255, (m >> 8) & 255, m & 255)] for m in sorted({0, *(sum(1 << i for i in c) for k in (1, 2, 3) for c in itertools.combinations(range(24), k))})]
+    assert len(masks) == sum(a <= 1 and a + b <= 2 and a + b + c <= 3 for a, b, c in d)
 
 
 def test_bucket_links_connect_what_pairs_connect():
