@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netspark.session import doomed, shared_folder
+
 #: A join side of at most so many rows of a few numbers is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -16,13 +17,9 @@ def root(spark: SparkSession) -> str:
     """Folder for this application's tables: under ``spark.checkpoint.dir``.
 
     Only where neither that setting nor a checkpoint directory of the context
-    exists, as in a bare local session, a temporary one is set.
+    exists and the master is local, a temporary one is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="netspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/netspark-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/netspark-{spark.sparkContext.applicationId}"
 
 
 def write(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +27,7 @@ def write(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    doomed(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
