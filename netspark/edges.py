@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netspark.errors import ValidationError
+from netspark.session import checkpointed, released
 
 log = logging.getLogger("netspark.edges")
 
@@ -226,14 +227,23 @@ Graph = EdgeList
 
 
 def from_frame(frame: DataFrame, directed: bool = False, bipartite: bool = False, nodes: DataFrame | None = None, extra: Iterable[str] = ()) -> tuple[EdgeList, IDMapper]:
-    """Edge list and mapper of ``source_id, target_id[, weight]`` in original ids; nodes (node_id) adds isolated ones."""
+    """Edge list and mapper of ``source_id, target_id[, weight]`` in original ids; nodes (node_id) adds isolated ones.
+
+    The input is read once; the mapper and the coded edges are tables in the
+    shared folder, so whatever follows reads those.
+    """
+    weight = ["weight"] if "weight" in frame.columns else []
+    frame, own = frame.select("source_id", "target_id", *weight, *extra), hasattr(frame, "checkpoint_path")
+    frame = frame if own else checkpointed(frame)
     ends = frame.select(F.col("source_id").alias("node_id")).union(frame.select("target_id"))
     if nodes is not None:
         ends = ends.union(nodes.select("node_id"))
-    mapper = IDMapper(dense_codes(ends, "node_id"))
-    weight = ["weight"] if "weight" in frame.columns else []
+    mapper = IDMapper(checkpointed(dense_codes(checkpointed(ends.distinct()), "node_id")))
     coded = mapper.encode(mapper.encode(frame, "source_id", "src"), "target_id", "tgt")
-    return EdgeList(coded.select("src", "tgt", *weight, *extra), directed, bipartite), mapper
+    edges = EdgeList(checkpointed(coded.select("src", "tgt", *weight, *extra)), directed, bipartite)
+    if not own:
+        released(frame)
+    return edges, mapper
 
 
 def as_frame(edges: EdgeList | DataFrame, mapper: IDMapper | None = None) -> DataFrame:

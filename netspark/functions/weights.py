@@ -34,7 +34,7 @@ def transformed(weight: Column, transform: WeightTransform | None) -> Column:
         return weight
     try:
         out = transform(weight)
-    except TypeError:
+    except (TypeError, ValueError):  # what columns raise in a comparison or a float() of them
         out = None
     if isinstance(out, Column):
         return out

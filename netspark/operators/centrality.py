@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netspark.edges import EdgeList, IDMapper
+from netspark.edges import EdgeList, IDMapper, as_frame
 from netspark.errors import ValidationError
-from netspark.session import checkpointed, released
+from netspark.session import checkpointed, fits, measured, released
 
 log = logging.getLogger("netspark.centrality")
 METRICS = ["degree", "in_degree", "out_degree", "betweenness", "closeness", "eigenvector", "pagerank", "katz"]
@@ -37,50 +37,51 @@ def _symmetric(frame: DataFrame, directed: bool) -> DataFrame:
     return out if directed else out.union(out.where("a <> b").select("b", "a", "w"))
 
 
-def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None, every: int = 5) -> DataFrame:
+def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None) -> DataFrame:
     """``node_id, value`` of PageRank, eigenvector or Katz centrality by joins.
 
-    A round is one join along the arcs and one aggregation; every few rounds
-    the table is written, which cuts the plan, and the largest change is read.
+    A round is one join along the arcs and one aggregation, whose table is
+    written, which cuts the plan; the same pass measures the largest change,
+    the weight on nodes without out-arcs and the norm.
     """
     arcs = _symmetric(frame, directed).groupBy("a", "b").agg(F.sum("w").alias("w"))
     if step == "pagerank":
         total = arcs.groupBy("a").agg(F.sum("w").alias("t"))
         arcs = arcs.join(total, "a").where("t > 0").select("a", "b", (F.col("w") / F.col("t")).alias("w"))
     arcs = checkpointed(arcs)
-    n = nodes.count()
+    nodes = nodes.select("node_id").distinct().join(arcs.select(F.col("a").alias("node_id"), F.lit(False).alias("ends")).distinct(), "node_id", "left").select("node_id", F.coalesce("ends", F.lit(True)).alias("ends"))
+    nodes, seen = measured(nodes, F.count("*").alias("n"), F.count_if("ends").alias("ends"))
+    n, lost = seen["n"], 0.0
     if not n:
-        return nodes.withColumn("value", F.lit(0.0))
+        return nodes.select("node_id", F.lit(0.0).alias("value"))
     start = 1.0 / n if step == "pagerank" else 1.0 / n**0.5 if step == "eigenvector" else 0.0
-    x = checkpointed(nodes.select("node_id").distinct().withColumn("value", F.lit(start)))
+    lost = seen["ends"] / n
+    x = checkpointed(nodes.withColumn("value", F.lit(start)))
+    released(nodes)
     if step == "katz" and katz_alpha is None:
         most = arcs.groupBy("b").agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
         katz_alpha = 1.0 / (most + 1)
-    done = 0
-    while done < iterations:
-        old = x
-        for _ in range(min(every, iterations - done)):
-            got = x.join(arcs, F.col("node_id") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("value") * F.col("w")).alias("m"))
-            y = x.select("node_id").join(got, F.col("node_id") == F.col("to"), "left").select("node_id", F.coalesce("m", F.lit(0.0)).alias("m"))
-            if step == "pagerank":
-                y = y.crossJoin(F.broadcast(y.agg((1 - F.sum("m")).alias("lost"))))
-                x = y.select("node_id", ((1 - damping) / n + damping * (F.col("m") + F.col("lost") / n)).alias("value"))
-            elif step == "katz":
-                x = y.select("node_id", (1.0 + katz_alpha * F.col("m")).alias("value"))
-            else:
-                y = y.crossJoin(F.broadcast(y.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))))
-                x = y.select("node_id", F.coalesce(F.try_divide(F.col("m"), F.col("norm")), F.lit(0.0)).alias("value"))
-            done += 1
-        x = checkpointed(x)
-        change = x.join(old.select("node_id", F.col("value").alias("was")), "node_id").agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0]
-        released(old)
+    written = x
+    for _ in range(iterations):
+        got = x.join(arcs, F.col("node_id") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("value") * F.col("w")).alias("m"))
+        m = F.coalesce("m", F.lit(0.0))
+        value = (1 - damping) / n + damping * (m + lost / n) if step == "pagerank" else 1.0 + katz_alpha * m if step == "katz" else m
+        y = x.withColumnRenamed("value", "was").join(got, F.col("node_id") == F.col("to"), "left").select("node_id", "ends", "was", value.alias("value"))
+        then, seen = measured(y, F.max(F.abs(F.col("value") - F.col("was"))).alias("most"), F.sum(F.when(F.col("ends"), F.col("value"))).alias("lost"), F.sum(F.col("value") * F.col("value")).alias("square"))
+        released(written)
+        x, written, lost, change = then, then, seen["lost"] or 0.0, seen["most"]
+        if step == "eigenvector":
+            norm = seen["square"] ** 0.5 or 1.0
+            x = then.select("node_id", "ends", "was", (F.col("value") / norm).alias("value"))
+            change = x.agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0]
+        x = x.select("node_id", "ends", "value")
         if change < tol:
             break
     released(arcs)
-    return x
+    return x.select("node_id", "value")
 
 
-#: Sources whose shortest paths one task follows, and edges of a graph that each task may hold.
+#: Least sources whose shortest paths one task follows, and edges of a graph that each task may hold.
 SOURCES, PATH_EDGES = 64, 5_000_000
 
 
@@ -91,11 +92,13 @@ def shortest_path_sums(frame: DataFrame, nodes: DataFrame, directed: bool, metri
     PATH_EDGES arcs, since any exact algorithm needs all of it for each source)
     and follows its sources breadth first in numpy.
     """
-    ids = [r[0] for r in nodes.orderBy("node_id").collect()]
     arcs = frame.where("source_id <> target_id").select("source_id", "target_id").distinct()
     rows = arcs.limit(PATH_EDGES + 1).toArrow()
     if rows.num_rows > PATH_EDGES:
         raise ValidationError(f"{metric} takes up to {PATH_EDGES} edges", field="graph")
+    if not fits(nodes, 2 * PATH_EDGES):
+        raise ValidationError(f"{metric} takes up to {2 * PATH_EDGES} nodes", field="graph")
+    ids = [r[0] for r in nodes.orderBy("node_id").collect()]
     index = {x: i for i, x in enumerate(ids)}
     a = np.fromiter((index[x] for x in rows["source_id"].to_pylist()), np.int64, rows.num_rows)
     b = np.fromiter((index[x] for x in rows["target_id"].to_pylist()), np.int64, rows.num_rows)
@@ -130,21 +133,23 @@ def shortest_path_sums(frame: DataFrame, nodes: DataFrame, directed: bool, metri
                     levels.append((tail, head))
                     front = np.unique(head)
                 if metric == "closeness":
-                    far = distance > 0
-                    total[s] += (1.0 / distance[far]).sum()
+                    count = np.bincount(distance[distance > 0])  # summed by distance, so that equal nodes get equal values
+                    total[s] += (count[1:] / np.arange(1, len(count))).sum()
                 else:
                     share = np.zeros(n)
                     for tail, head in reversed(levels):
                         np.add.at(share, tail, paths[tail] / paths[head] * (1 + share[head]))
                     share[s] = 0
                     total += share
-        yield pd.DataFrame({"code": np.arange(n), "value": total})
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"code": some, "value": total[some]})
 
-    parts = max(1, -(-n // SOURCES))
+    # A task adds up all its sources, and tasks are as many as the cluster runs some times over, so that n values a task stay few.
+    parts = max(1, min(-(-n // SOURCES), 4 * spark.sparkContext.defaultParallelism))
     out = spark.range(0, n, 1, parts).mapInPandas(follow, "code long, value double").groupBy("code").agg(F.sum("value").alias("value"))
     names = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "code long, node_id " + nodes.schema["node_id"].dataType.simpleString())
     half = 0.5 if metric == "betweenness" and not directed else 1.0
-    return names.join(out, "code").select("node_id", (F.col("value") * half).alias("value"))
+    return names.join(out, "code", "left").select("node_id", (F.coalesce("value", F.lit(0.0)) * half).alias("value"))
 
 
 def centrality(frame: DataFrame, metric: str, nodes: DataFrame | None = None, directed: bool = False, normalized: bool = True) -> DataFrame:
@@ -156,8 +161,9 @@ def centrality(frame: DataFrame, metric: str, nodes: DataFrame | None = None, di
     """
     if metric not in METRICS:
         raise ValidationError(f"unknown metric {metric!r}", field="metrics", value=metric, expected=str(METRICS))
-    all_ = checkpointed(_nodes(frame, nodes))
-    n = all_.count()
+    frame = checkpointed(as_frame(frame))
+    all_, seen = measured(_nodes(frame, nodes), F.count("*").alias("n"))
+    n = seen["n"]
     if metric.endswith("degree"):
         out = _degree(frame, metric, directed, all_)
         below = (n - 1) * (2 if directed and metric == "degree" else 1)

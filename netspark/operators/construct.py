@@ -13,6 +13,7 @@ from netspark.edges import EdgeList, IDMapper, dense_codes, from_frame
 from netspark.errors import GraphConstructionError, ValidationError, validate_parameter
 from netspark.operators.components import connected_components
 from netspark.operators.validators import validate_edgelist_dataframe
+from netspark.session import checkpointed, released
 from netspark.sources.load import load_edges
 
 log = logging.getLogger("netspark.construct")
@@ -93,14 +94,14 @@ def build_edgelist_from_frame(edgelist: str | Path | DataFrame, source_col: str
     if bipartite:
         df = apply_bipartite_overlap_policy(df, source_col, target_col, bipartite_overlap)
     df = apply_min_degree_filter(df, source_col, target_col, min_source_degree, min_target_degree)
-    if weight_col is None and auto_weight and df.where("weight > 1").isEmpty():
-        df = df.drop("weight")
-    renamed = df.withColumnsRenamed({source_col: "source_id", target_col: "target_id"})
-    el, mapper = from_frame(renamed, directed, bipartite, extra=extra)
+    renamed = checkpointed(df.withColumnsRenamed({source_col: "source_id", target_col: "target_id"}))
+    plain = weight_col is None and auto_weight and renamed.where("weight > 1").isEmpty()
+    el, mapper = from_frame(renamed.drop("weight") if plain else renamed, directed, bipartite, extra=extra)
+    released(renamed)
     if bipartite:
-        sides = [renamed.select(F.col(c).alias("node_id")).distinct().withColumn(flag, F.lit(True)) for c, flag in (("source_id", "is_source"), ("target_id", "is_target"))]
-        nodes = mapper.nodes.join(sides[0], "node_id", "left").join(sides[1], "node_id", "left")
-        mapper = IDMapper(nodes.select("node_id", "code", F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_target", F.lit(False)).alias("is_target")))
+        sides = [el.df.select(F.col(c).alias("code")).distinct().withColumn(flag, F.lit(True)) for c, flag in (("src", "is_source"), ("tgt", "is_target"))]
+        nodes = mapper.nodes.join(sides[0], "code", "left").join(sides[1], "code", "left")
+        mapper = IDMapper(checkpointed(nodes.select("node_id", "code", F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_target", F.lit(False)).alias("is_target"))))
     return el, mapper
 
 

@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 from netspark.edges import EdgeList, IDMapper, from_frame
 from netspark.errors import GraphConstructionError, ValidationError, validate_parameter
 from netspark.operators.construct import partitions
+from netspark.session import checkpointed, small
 from netspark.sources.load import load_edges
 
 WEIGHTS = ("count", "jaccard", "overlap")
+#: Members of a shared id that one join key pairs with each other; an id of more is split, and every two of its parts meet under a key of their own.
+PART = 1024
+
+
+def _met(rows: DataFrame, part: Column, parts: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows for both sides of a join of a shared id's members with each other, with keys ``x <= y``: the parts that meet."""
+    parted = rows.withColumn("__part", part).withColumn("__parts", parts)
+    left = parted.withColumn("y", F.explode(F.sequence("__part", F.col("__parts") - 1))).withColumnRenamed("__part", "x").drop("__parts")
+    right = parted.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), "__part"))).withColumnRenamed("__part", "y").drop("__parts")
+    return left, right
 
 
 def projected_pairs(frame: DataFrame, projected: str, shared: str, weight_method: str = "count") -> DataFrame:
     """``source_id < target_id, weight`` for pairs of projected ids with a common shared id.
 
     Duplicate edges count once and input weights don't matter. The self-join
-    shuffles distinct pairs by the shared id only; degrees join the pairs
-    afterwards, and only for weights that need them.
+    shuffles distinct pairs by the shared id; ids of more than PART members are
+    split so that no task pairs more than PART with as many. Degrees join the
+    pairs afterwards, and only for weights that need them.
     """
     validate_parameter(weight_method, list(WEIGHTS), "weight_method")
-    pairs = frame.select(F.col(projected).alias("p"), F.col(shared).alias("s")).dropna().distinct()
-    a, b = pairs.select(F.col("p").alias("source_id"), "s"), pairs.select(F.col("p").alias("target_id"), "s")
-    common = a.join(b, "s").where("source_id < target_id").groupBy("source_id", "target_id").agg(F.count("*").cast("double").alias("n"))
+    pairs = checkpointed(frame.select(F.col(projected).alias("p"), F.col(shared).alias("s")).dropna().distinct())
+    large = checkpointed(pairs.groupBy("s").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
+    split = pairs.join(small(large), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    left, right = _met(split, F.pmod(F.xxhash64("p"), F.col("parts")), F.col("parts"))
+    a, b = left.select("s", "x", "y", F.col("p").alias("a")), right.select("s", "x", "y", F.col("p").alias("b"))
+    met = a.join(b, ["s", "x", "y"]).where("a < b OR x < y")
+    common = met.select(F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id")).groupBy("source_id", "target_id").agg(F.count("*").cast("double").alias("n"))
     if weight_method == "count":
         return common.withColumnRenamed("n", "weight")
     degree = pairs.groupBy("p").agg(F.count("*").cast("double").alias("d"))
@@ -81,6 +97,8 @@ def temporal_pairs(df: DataFrame, intermediate_col: str, projected_col: str, tim
     from the latest to the earliest; equal times are ordered by the projected
     id. A pair's weight is the mean of both shares' weights (1 without any),
     with time_decay over 1 plus the days between, summed over intermediates.
+    An intermediate of more than PART shares is split by ranges of positions,
+    of which only those meet that have later and earlier shares.
     """
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     time = (F.col(timestamp_col) if timestamp_col else F.lit(None)).cast("timestamp")
@@ -88,10 +106,13 @@ def temporal_pairs(df: DataFrame, intermediate_col: str, projected_col: str, tim
     rows = df.select(F.col(intermediate_col).alias("i"), F.col(projected_col).alias("p"), weight.alias("w"), time.alias("t"), *given).dropna(subset=["i", "p"])
     by = [F.col(f"o{k}") for k in range(len(given))] or [F.col("t").desc_nulls_last(), F.col("p")]
     one = rows.withColumn("k", F.row_number().over(Window.partitionBy("i", "p").orderBy(*by, "w"))).where("k = 1")
-    ranked = one.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(*by)))
-    late = ranked.select("i", F.col("k").alias("ka"), F.col("p").alias("source_id"), F.col("w").alias("wa"), F.col("t").alias("ta"))
-    early = ranked.select("i", F.col("k").alias("kb"), F.col("p").alias("target_id"), F.col("w").alias("wb"), F.col("t").alias("tb"))
-    pairs = late.join(early, "i").where("ka < kb")
+    ranked = checkpointed(one.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(*by))).select("i", "k", "p", "w", "t"))
+    large = checkpointed(ranked.groupBy("i").agg(F.ceil(F.max("k") / PART).alias("parts")).where("parts > 1"))
+    split = ranked.join(small(large), "i", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    left, right = _met(split, F.floor((F.col("k") - 1) / PART), F.col("parts"))
+    late = left.select("i", "x", "y", F.col("k").alias("ka"), F.col("p").alias("source_id"), F.col("w").alias("wa"), F.col("t").alias("ta"))
+    early = right.select("i", "x", "y", F.col("k").alias("kb"), F.col("p").alias("target_id"), F.col("w").alias("wb"), F.col("t").alias("tb"))
+    pairs = late.join(early, ["i", "x", "y"]).where("ka < kb")
     if remove_self_loops:
         pairs = pairs.where("source_id <> target_id")
     weight = (F.col("wa") + F.col("wb")) / 2 if add_edge_weights and weight_col else F.lit(1.0)

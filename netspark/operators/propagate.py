@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import logging
-import random
 from collections.abc import Iterable
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from netspark.edges import EdgeList, IDMapper
 from netspark.errors import ConfigurationError, ConvergenceError, ValidationError
 from netspark.functions.weights import WeightTransform, transformed
 from netspark.operators.seeds import known_seeds, normalize_seed_input
-from netspark.session import checkpointed, released
+from netspark.session import checkpointed, measured, released, small
 
 log = logging.getLogger("netspark.propagate")
 NOISE = "noise"
@@ -30,41 +30,49 @@ def transition(graph: EdgeList, direction: str, weight_transform: WeightTransfor
         e = e.union(e.select("tgt", "src", "w"))
     elif direction == "in_degree":
         e = e.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "w")
-    e = e.groupBy(F.col("src").alias("row"), F.col("tgt").alias("col")).agg(F.sum("w").alias("w"))
+    e = checkpointed(e.groupBy(F.col("src").alias("row"), F.col("tgt").alias("col")).agg(F.sum("w").alias("w")))
     total = e.groupBy("row").agg(F.sum("w").alias("t"))
     return e.join(total, "row").where("t > 0").select("row", "col", (F.col("w") / F.col("t")).alias("p"))
 
 
-def spread(p: DataFrame, y: DataFrame, alpha: float, iterations: int, prior: DataFrame | None = None, every: int = 5, tol: float | None = None) -> tuple[DataFrame, int, float]:
+def spread(p: DataFrame, y: DataFrame, alpha: float, iterations: int, prior: DataFrame | None = None, every: int = 5, tol: float | None = None, snapshots: list | None = None) -> tuple[DataFrame, int, float]:
     """``node, f`` after iterations of F = alpha P (F * D) + (1 - alpha) Y from F = Y, arrays of labels; the rounds done and the last largest change.
 
     A round joins along the arcs, adds arrays element by element in one
-    aggregation per label, and joins the start back. Every few rounds the
-    table is written, which cuts the plan, and the change is read if a
-    tolerance may end the rounds.
+    aggregation per label, and joins that to the nodes. With a tolerance each
+    round's table is written, which cuts the plan, and the pass that writes it
+    measures the change; without one every few rounds are. snapshots takes the
+    ``node, f`` tables of all rounds.
     """
-    k = len(y.first()["y"])
-    start = checkpointed(y if prior is None else y.join(prior, "node"))
-    p = checkpointed(p)
-    x = start.select("node", F.col("y").alias("f"))
+    x = checkpointed((y if prior is None else y.join(prior, "node")).withColumn("f", F.col("y")))
+    head = x.first()
+    k = len(head["y"]) if head else 0
+    if not k:
+        return x.select("node", "f"), 0, 0.0
+    p, first = checkpointed(p), x
     weight = (lambda i: F.col("f")[i]) if prior is None else (lambda i: F.col("f")[i] * F.col("d")[i])
-    done, change = 0, float("inf")
+    same = [c for c in x.columns if c != "f"]
+    done, change, written = 0, float("inf"), x
     while done < iterations:
-        x = x if prior is None else x.join(start.select("node", "d"), "node")
-        got = p.join(x, F.col("col") == F.col("node")).groupBy(F.col("row").alias("to")).agg(*[F.sum(F.col("p") * weight(i)).alias(f"m{i}") for i in range(k)])
+        got = p.join(x.drop("y"), F.col("col") == F.col("node")).groupBy(F.col("row").alias("to")).agg(*[F.sum(F.col("p") * weight(i)).alias(f"m{i}") for i in range(k)])
         f = F.array(*[alpha * F.coalesce(f"m{i}", F.lit(0.0)) + (1 - alpha) * F.col("y")[i] for i in range(k)])
-        new = start.select("node", "y").join(got, F.col("node") == F.col("to"), "left").select("node", f.alias("f"))
+        new = x.withColumnRenamed("f", "g").join(got, F.col("node") == F.col("to"), "left").withColumn("f", f)
         done += 1
-        if done % every == 0 or done == iterations or tol is not None:
-            last = x
-            new = checkpointed(new) if done % every == 0 or done == iterations else new
-            if tol is not None and (done % every == 0 or done == iterations):
-                before = last.select("node", F.col("f").alias("g"))
-                change = new.join(before, "node").agg(F.max(F.array_max(F.zip_with("f", "g", lambda a, b: F.abs(a - b))))).first()[0] or 0.0
-                if change < tol:
-                    x = new
-                    break
-        x = new
+        if tol is not None or snapshots is not None:
+            new, seen = measured(new.select(*same, "f", F.array_max(F.zip_with("f", "g", lambda a, b: F.abs(a - b))).alias("moved")), F.max("moved").alias("most"))
+            change = seen["most"] or 0.0
+        elif done % every == 0 or done == iterations:
+            new = checkpointed(new.select(*same, "f"))
+        x = new.select(*same, "f")
+        if hasattr(new, "checkpoint_path"):
+            if written is not first and snapshots is None:
+                released(written)
+            written = new
+        if snapshots is not None:
+            snapshots.append(x.select("node", "f"))
+        if tol is not None and change < tol:
+            break
+    released(p)
     return x.select("node", "f"), done, change
 
 
@@ -113,10 +121,11 @@ def distance_prior(graph: EdgeList, id_mapper: IDMapper, seeds: DataFrame, label
 
 
 def _noise_seeds(id_mapper: IDMapper, seeds: dict, count: int, seed: int) -> list[Any]:
-    """A seeded sample of nodes without a label, by their codes."""
-    taken = set(seeds)
-    pool = [(r[0], r[1]) for r in id_mapper.nodes.select("code", "node_id").orderBy("code").collect() if r[1] not in taken]
-    return [n for _, n in random.Random(seed).sample(pool, min(count, len(pool)))]
+    """A seeded sample of nodes without a label: those of the least hashes of code and seed; only count ids reach the driver."""
+    kind = id_mapper.nodes.schema["node_id"].dataType.simpleString()
+    taken = id_mapper.nodes.sparkSession.createDataFrame([(x,) for x in seeds], f"node_id {kind}")
+    free = id_mapper.nodes.join(small(taken), "node_id", "left_anti")
+    return [r[0] for r in free.orderBy(F.xxhash64("code", F.lit(seed)), "code").limit(count).select("node_id").collect()]
 
 
 def noise_count(n_seeds: int, ratio: float) -> int:
@@ -159,14 +168,14 @@ def _seed_codes(id_mapper: IDMapper, seeds: dict) -> DataFrame:
     """``node, label`` of seeds in codes."""
     kind = id_mapper.nodes.schema["node_id"].dataType.simpleString()
     rows = id_mapper.nodes.sparkSession.createDataFrame(list(seeds.items()), f"node_id {kind}, label string")
-    return id_mapper.nodes.join(F.broadcast(rows), "node_id").select(F.col("code").alias("node"), "label")
+    return id_mapper.nodes.join(small(rows), "node_id").select(F.col("code").alias("node"), "label")
 
 
 def start_matrix(id_mapper: IDMapper, seeds: dict, labels: list[str]) -> DataFrame:
     """``node, y``: one-hot rows of seeds, zeros elsewhere."""
     hot = _seed_codes(id_mapper, seeds)
     y = F.array(*[F.coalesce((F.col("label") == x).cast("double"), F.lit(0.0)) for x in labels])
-    return id_mapper.nodes.select(F.col("code").alias("node")).join(F.broadcast(hot), "node", "left").select("node", y.alias("y"))
+    return id_mapper.nodes.select(F.col("code").alias("node")).join(small(hot), "node", "left").select("node", y.alias("y"))
 
 
 def _converged(iterations: int, change: float, tol: float, most: int) -> None:
@@ -185,7 +194,7 @@ def propagate_matrix(graph: EdgeList, id_mapper: IDMapper, y: DataFrame, alpha:
     rows = y.orderBy("node").limit(KERNEL_CELLS + 1).toArrow() if arcs.num_rows <= KERNEL_ARCS else None
     k = len(rows["y"][0]) if rows is not None and rows.num_rows else 1
     if rows is None or rows.num_rows * k > KERNEL_CELLS:
-        f, done, change = spread(p, y, alpha, max_iterations, prior, tol=tol)
+        f, done, change = spread(p, y, alpha, max_iterations, prior, tol=tol, snapshots=snapshots)
         _converged(done, change, tol, max_iterations)
         return f, done
     nodes = rows["node"].to_numpy()
@@ -193,12 +202,18 @@ def propagate_matrix(graph: EdgeList, id_mapper: IDMapper, y: DataFrame, alpha:
     at = lambda c: np.searchsorted(nodes, arcs[c].to_numpy())
     d = None
     if prior is not None:
-        d = np.array([r[0] for r in prior.orderBy("node").select("d").collect()], float)
-    f, done, change = _kernel((at("row"), at("col"), arcs["p"].to_numpy()), start, alpha, max_iterations, tol, d, snapshots)
+        d = np.array([r[0] for r in prior.orderBy("node").select("d").collect()], float).reshape(len(nodes), -1)
+    rounds: list | None = None if snapshots is None else []
+    f, done, change = _kernel((at("row"), at("col"), arcs["p"].to_numpy()), start, alpha, max_iterations, tol, d, rounds)
     _converged(done, change, tol, max_iterations)
-    import pandas as pd
 
-    return y.sparkSession.createDataFrame(pd.DataFrame({"node": nodes, "f": f.tolist()}), "node long, f array<double>"), done
+    def table(f: np.ndarray) -> DataFrame:
+        values = pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), f.shape[1]) if f.size else pa.array([], pa.list_(pa.float64()))
+        return y.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "f": values.cast(pa.list_(pa.float64()))}))
+
+    if snapshots is not None:
+        snapshots += [table(x) for x in rounds]
+    return table(f), done
 
 
 def results(f: DataFrame, id_mapper: IDMapper, labels: list[str], seeds: dict, normalize: bool = True) -> DataFrame:
@@ -210,7 +225,7 @@ def results(f: DataFrame, id_mapper: IDMapper, labels: list[str], seeds: dict, n
     top = F.array_max("f")
     named = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position("f", top).cast("int"))
     hot = _seed_codes(id_mapper, seeds).select("node", F.lit(True).alias("s"))
-    decoded = id_mapper.nodes.select(F.col("code").alias("node"), "node_id").join(f, "node").join(F.broadcast(hot), "node", "left")
+    decoded = id_mapper.nodes.select(F.col("code").alias("node"), "node_id").join(f, "node").join(small(hot), "node", "left")
     return decoded.select("node_id", *[F.col("f")[i].alias(f"{x}_prob") for i, x in enumerate(labels)], named.alias("dominant_label"), top.alias("confidence"), F.coalesce("s", F.lit(False)).alias("is_seed"))
 
 
@@ -229,7 +244,7 @@ def guided_label_propagation(graph: EdgeList, id_mapper: IDMapper, seed_labels:
 
     Seeds aren't clamped. Rounds end when no probability changes by the
     threshold; if they run out, a change of at most ten thresholds is only
-    warned of. return_snapshots adds the matrices of all rounds (small graphs).
+    warned of. return_snapshots adds the ``node, f`` tables of all rounds, at any size.
     """
     seeds = _validated(graph, id_mapper, seed_labels, labels, alpha, max_iterations, convergence_threshold, enable_noise_category, noise_ratio, confidence_threshold, seed_node_col, seed_label_col)
     own = dict(seeds)
@@ -272,11 +287,11 @@ def ensemble_label_propagation(graph: EdgeList, id_mapper: IDMapper, seed_labels
     spark = id_mapper.nodes.sparkSession
     hot = spark.createDataFrame([(n, own.index(x)) for n, x in real.items()] + [(n, k + e) for e, ns in enumerate(epochs) for n in ns], f"node_id {kind}, c int")
     hot = hot.groupBy("node_id").agg(F.collect_set("c").alias("cs"))
-    y = id_mapper.nodes.join(F.broadcast(hot), "node_id", "left").select(F.col("code").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(k + n_epochs - 1)), lambda i: F.coalesce(F.array_contains("cs", i).cast("double"), F.lit(0.0))).alias("y"))
+    y = id_mapper.nodes.join(small(hot), "node_id", "left").select(F.col("code").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(k + n_epochs - 1)), lambda i: F.coalesce(F.array_contains("cs", i).cast("double"), F.lit(0.0))).alias("y"))
     prior = None
     if g["distance_prior"]:
         marks = spark.createDataFrame([(n, x) for n, x in real.items()] + [(n, f"{NOISE}{e}") for e, ns in enumerate(epochs) for n in ns], f"node_id {kind}, label string")
-        codes = id_mapper.nodes.join(F.broadcast(marks), "node_id").select(F.col("code").alias("node"), "label")
+        codes = id_mapper.nodes.join(small(marks), "node_id").select(F.col("code").alias("node"), "label")
         prior = distance_prior(graph, id_mapper, codes, own + [f"{NOISE}{e}" for e in range(n_epochs)], g["distance_prior_exponent"])
     names = [*own, NOISE]
     out = []

@@ -6,11 +6,13 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from netspark.edges import IDMapper, from_frame
+from netspark.edges import EdgeList, IDMapper, from_frame
 from netspark.errors import ComputationError, ConvergenceError, ValidationError
 from netspark.functions.stats import poisson_upper
+from netspark.functions.weights import transformed
 from netspark.operators import backbone, categories, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate
 from netspark.operators.centrality import centrality, compare_centrality_metrics, extract_centrality, identify_central_nodes
+from netspark.plans import pipelines
 from netspark.sources.export import export_graph, export_reduced_graph, get_export_info
 from netspark.sources.load import read_edgelist_parquet, write_edgelist_parquet
 from netspark.streaming.slices import stream_slices
@@ -234,3 +236,53 @@ def test_similar_senders(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "sender string, e array<double>").selectExpr("*", "'' AS post")
     rows = {(r["source"], r["target"]) for r in embed.extract_embedding_similarity_edgelist(v, embedding_col="e", k=1, mutual=True).collect()}
     assert rows == {("a", "b")}
+
+
+def test_pipeline_stages_in_all_modes(spark):
+    rows = [(f"u{i}", f"x{j}", datetime(2024, 1, 1 + (i * 7 + j) % 20)) for i in range(12) for j in range(12) if (i + j) % 3]
+    df = spark.createDataFrame(rows, "user string, item string, at timestamp")
+    found = []
+    for mode in ("fast", "balanced", "low"):
+        out = pipelines.run_canonical_pipeline(df, source_col="user", target_col="item", timestamp_col="at", bipartite_target_fraction=0.8, memory_mode=mode, keep_intermediates=True)
+        assert [s.name for s in out.stage_stats][0] == "build_edgelist_from_frame" and isinstance(out.edgelist, EdgeList) and len(out.intermediates) == 4
+        found.append({k: round(v, 9) for k, v in edges(out.edgelist.frame(out.id_mapper)).items()})
+    assert found[0] == found[1] == found[2]
+    kept = pipelines.run_canonical_pipeline(df, source_col="user", target_col="item", timestamp_col="at", bipartite_target_fraction=0.8, memory_mode="low")
+    assert {k: round(v, 9) for k, v in edges(kept.edgelist.frame(kept.id_mapper)).items()} == found[0]
+
+
+def test_a_transition_reads_its_input_once(spark, tmp_path):
+    """The plans of what follows from_frame() hold no scan of the tables it was made of."""
+    rows = [(f"u{i}", f"k{(i * j) % 9}") for i in range(30) for j in range(1, 5)]
+    spark.createDataFrame(rows, "p string, s string").write.parquet(f"{tmp_path}/base.parquet")
+    el, mapper = from_frame(project.projected_pairs(spark.read.parquet(f"{tmp_path}/base.parquet"), "p", "s"))
+    for df in (el.df, mapper.nodes, propagate.transition(el, "out_degree")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "base.parquet" not in plan and plan.count("FileScan") <= 2
+
+
+def test_float_transforms_that_compare(spark):
+    df = spark.createDataFrame([(0.5,), (3.0,)], "w double")
+    assert [r[0] for r in df.select(transformed(df["w"], lambda w: min(w, 1.0))).collect()] == [0.5, 1.0]
+    assert [r[0] for r in df.select(transformed(df["w"], lambda w: w if w > 1 else 0.0)).collect()] == [0.0, 3.0]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """One item that all share, in parts of 5, gives the pairs of the plain join."""
+    rows = [(f"u{i:02}", "hot", i % 7) for i in range(23)] + [(f"u{i:02}", f"k{i % 4}", i) for i in range(23)]
+    df = spark.createDataFrame(rows, "source string, target string, t int").selectExpr("source", "target", "timestamp_seconds(t) AS t")
+    whole = [edges(project.projected_pairs(df, "source", "target")), edges(project.temporal_pairs(df, "target", "source", "t"))]
+    monkeypatch.setattr(project, "PART", 5)
+    assert [edges(project.projected_pairs(df, "source", "target")), edges(project.temporal_pairs(df, "target", "source", "t"))] == whole
+    assert len(whole[0]) == 23 * 22 // 2
+
+
+def test_propagation_by_joins_equals_the_kernel(spark, triangles, monkeypatch):
+    """Both routes, with the rounds' snapshots and the same number of rounds."""
+    el, mapper = triangles
+    runs = []
+    for limit in (propagate.KERNEL_ARCS, 0):
+        monkeypatch.setattr(propagate, "KERNEL_ARCS", limit)
+        out, rounds = propagate.guided_label_propagation(el, mapper, {"A": "x", "F": "y"}, ["x", "y"], convergence_threshold=1e-4, return_snapshots=True)
+        runs.append(({r["node_id"]: round(r["x_prob"], 9) for r in out.collect()}, len(rounds), {r["node"]: [round(x, 9) for x in r["f"]] for r in rounds[2].collect()}))
+    assert runs[0] == runs[1]
