@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from netspark.session import doomed, shared_folder
@@ -33,6 +33,13 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """write() and the values of named aggregates over the rows, from the same pass."""
+    seen = Observation()
+    out = write(df.observe(seen, *metrics), name)
+    return out, seen.get
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that write() made and that no later plan reads."""
     for t in tables:

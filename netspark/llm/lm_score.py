@@ -1,164 +1,281 @@
-"""Cross-entropy difference between two n-gram models over one vocabulary of symbols."""
+"""Cross-entropy difference between two n-gram models of words over one vocabulary."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netspark.llm import _scratch
-from netspark.llm._tokens import chunks, raw, string_column
-
-#: Order of the models, weight of the next lower order in counts.
-ORDER, WEIGHT = 4, 5.0
-#: The vocabulary: 0 stands before a text; then what each code point becomes.
-PAD, LETTERS, UPPER, DIGIT, SPACE, LINE, STOP, COMMA, DASH, QUOTE, BRACKET, SYMBOL, ACCENT, OTHER, CONTROL = 0, 1, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39
-SIZE = 40
-GROUPS = {SPACE: " \t", LINE: "\n\r", STOP: ".!?", COMMA: ",;:", DASH: "-", QUOTE: "\"'`", BRACKET: "()[]{}", SYMBOL: "#$%&*+/<=>@\\^_|~"}
-
-
-def _symbols() -> np.ndarray:
-    """The symbol of each code point up to U+0250, beyond which all are OTHER."""
-    t = np.full(0x251, OTHER, np.int32)
-    t[:32] = t[127] = CONTROL
-    t[0xC0:0x250] = ACCENT
-    for i in range(26):
-        t[ord("a") + i] = LETTERS + i
-        t[ord("A") + i] = UPPER
-    for i in range(10):
-        t[ord("0") + i] = DIGIT
-    for symbol, characters in GROUPS.items():
-        t[[ord(c) for c in characters]] = symbol
-    return t
-
-
-SYMBOLS = _symbols()
-
-
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, as a number in base SIZE, and the offsets of rows."""
-    data, offsets = raw(column)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    ends = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))[offsets]
-    s = SYMBOLS[np.minimum(points, 0x250)]
-    begin = ends[:-1]
-    out = s.copy()
-    scale = 1
-    for back in range(1, ORDER):
-        scale *= SIZE
-        part = np.zeros_like(s)
-        part[back:] = s[:-back] if back < len(s) else 0
-        for k in range(back):  # characters before the text's own
-            at = begin + k
-            part[at[at < ends[1:]]] = PAD
-        out += scale * part
-    return out, ends
-
-
-def counts(docs: DataFrame, target: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
-    """``gram, background, target``: how often each n-gram occurs in docs, and in those whose id is in target. Each task adds up its own before one shuffle."""
-    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    marked = plain.join(_scratch.hinted(target.select(F.col(id_col).alias("id"), F.lit(True).alias("mark")).distinct()), "id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
+from netspark.llm._tokens import Splitter, U, chunks, mix, raw, string_column
 
+#: Weight of the unigrams in a bigram's estimate, in counts, and count that every word of the vocabulary has beside its own.
+WEIGHT, ADDED = 5.0, 0.5
+#: Bytes of text whose grams one task asks for together, and bytes of text for every range of grams that one task counts.
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 48 << 20
+#: What stands before a text's first word.
+START = U(0x5DEECE66D1CE4E5B)
+_WORDS, _PAIRS = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest needs, low bytes first, which compress apart."""
+    x = x.astype(U)
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([size]) + x.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    size = planes[0]
+    x = np.frombuffer(planes, np.uint8, offset=1).reshape(size, -1)
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, :size] = x.T
+    return out.view(U).ravel()
+
+
+def _sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    return _planes(np.diff(x, prepend=U(0)))
+
+
+def _ascending(planes: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(planes), dtype=U)
+
+
+def _packed(x: Any) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
+
+
+def _opened(x: bytes) -> Any:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
+def _before(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The word before each word of texts of n words each, START before the first."""
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    begin = (np.cumsum(n) - n)[n > 0]
+    out[begin] = START
+    return out
+
+
+def _pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(before * _PAIRS + token)
+
+
+class Block:
+    """Some documents of a task: ids, marks of the target, and the hash of every word."""
+
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.marks: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        self.token: list[np.ndarray] = []
+        self.bytes = 0
+
+    def rows(self, block: int, ranges: int) -> tuple[list[tuple], dict]:
+        """``to, block, blob`` rows: the block's documents, and for every range of grams its distinct ones with their counts; and the block's sums."""
+        n, mark, token = np.concatenate(self.n), np.concatenate(self.marks), np.concatenate(self.token)
+        word, local, times = np.unique(token, return_inverse=True, return_counts=True)
+        own = np.repeat(mark, n)
+        common = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        place = np.empty(len(word), np.int64)
+        place[common] = np.arange(len(word))
+        key, pair_of = np.unique(_pairs(_before(token, n), token), return_inverse=True)
+        sent = [(mix(word ^ _WORDS), times, np.bincount(local[own], minlength=len(word))), (key, np.bincount(pair_of, minlength=len(key)), np.bincount(pair_of[own], minlength=len(key)))]
+        order = np.argsort(sent[0][0])
+        sent[0] = tuple(x[order] for x in sent[0])
+        width = U(2**63 // ranges + 1)
+        cuts = [np.searchsorted((k >> U(1)) // width, np.arange(ranges + 1).astype(U)) for k, *_ in sent]
+        out = [(int(mix(np.array([block], U))[0] % U(ranges)), block, _packed(("docs", pa.concat_arrays(self.ids), _planes(n), _sorted(word), _planes(common), _planes(place[local]))))]
+        for r in range(ranges):
+            if any(c[r + 1] > c[r] for c in cuts):
+                out.append((r, block, _packed(("ask", *[(_sorted(k[c[r] : c[r + 1]]), _planes(b[c[r] : c[r + 1]]), _planes(t[c[r] : c[r + 1]])) for (k, b, t), c in zip(sent, cuts, strict=True)]))))
+        texts = n > 0
+        return out, {"background": int(n.sum() + texts.sum()), "target": int(own.sum() + texts[mark].sum()), "texts": int(texts.sum()), "target_texts": int(texts[mark].sum())}
+
+
+_SUMS = ("background", "target", "texts", "target_texts", "vocabulary")
+_SENT = "to long, block long, blob binary, " + ", ".join(f"{c} long" for c in _SUMS)
+
+
+def _batch(rows: list[tuple], sums: dict | None = None) -> pa.RecordBatch:
+    """Rows of _SENT; the sums stand in the first."""
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    values = [pa.array([(sums or {}).get(c, 0), *[0] * (len(rows) - 1)][: len(rows)], pa.int64()) for c in _SUMS]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *values], ["to", "block", "blob", *_SUMS])
+
+
+def _asked(ranges: int, block_bytes: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIZE**ORDER), np.int64)
+        splitter, now, number = Splitter(), Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            column, mark = string_column(batch.column(0)), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            column, mark = string_column(batch.column(1)), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
             for a, b in chunks(column):
-                g, ends = grams(column.slice(a, b - a))
-                total[0] += np.bincount(g, minlength=SIZE**ORDER)
-                own = np.repeat(mark[a:b], np.diff(ends))
-                total[1] += np.bincount(g[own], minlength=SIZE**ORDER)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])], ["gram", "background", "target"])
-
-    return marked.mapInArrow(run, "gram int, background long, target long").groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def log_probabilities(grams_: np.ndarray, n: np.ndarray, weight: float = WEIGHT) -> np.ndarray:
-    """ln P(last symbol | the others) of every n-gram: counts plus weight times the next lower order, down to uniform over the vocabulary."""
-    c = np.zeros(SIZE**ORDER)
-    c[grams_] = n
-    c = c.reshape((SIZE,) * ORDER)
-    levels = [c]
-    while levels[-1].ndim > 1:
-        levels.append(levels[-1].sum(axis=0))
-    p: np.ndarray | float = 1 / SIZE
-    for c in reversed(levels):
-        p = (c + weight * p) / (c.sum(axis=-1, keepdims=True) + weight)
-    return np.log(p).ravel()
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT) -> DataFrame:
+                words = splitter.words(column.slice(a, b - a))
+                now.ids.append(batch.column(0).slice(a, b - a))
+                now.marks.append(mark[a:b])
+                now.n.append(np.diff(words.first))
+                now.token.append(words.hash)
+                now.bytes += int(raw(column.slice(a, b - a))[1][-1])
+                if now.bytes >= block_bytes:
+                    yield _batch(*now.rows(number, ranges))
+                    now, number = Block(), number + 1
+        if now.ids:
+            yield _batch(*now.rows(number, ranges))
+
+    return run
+
+
+def _totals(asks: list[tuple], kind: int) -> tuple[list[tuple[bytes, bytes]], int]:
+    """For every asking block the counts over all blocks of the grams it asks for, and the number of distinct grams."""
+    keys = [_ascending(a[kind][0]) for a in asks]
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+    del key, keys
+    found = []
+    for i in (1, 2):
+        own = np.concatenate([_numbers(a[kind][i]).astype(np.int64) for a in asks])
+        total = np.zeros(len(begin), np.int64)
+        np.add.at(total, group, own)
+        found.append([_planes(x) for x in np.split(total[group], cuts)])
+    return list(zip(*found, strict=True)), len(begin)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to the blocks of each range of grams; documents pass through, on their way to the blocks' next task."""
+
+    def answers(to: int, blocks: list[int], asks: list[tuple]) -> pa.RecordBatch:
+        (words, distinct), (pairs, _) = _totals(asks, 0), _totals(asks, 1)
+        return _batch([(to, b, _packed(("counts", to, w, p))) for b, w, p in zip(blocks, words, pairs, strict=True)], {"vocabulary": distinct})
+
+    now, blocks, asks = None, [], []
+    for batch in batches:
+        for to, block, blob, *sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if to != now and asks:
+                yield answers(now, blocks, asks)
+                blocks, asks = [], []
+            now = to
+            what, *rest = _opened(blob)
+            if what == "docs":
+                yield _batch([(to, block, blob)], dict(zip(_SUMS, sums, strict=True)))
+            else:
+                blocks.append(block)
+                asks.append(tuple(rest))
+    if asks:
+        yield answers(now, blocks, asks)
+
+
+def losses(counts: np.ndarray, pairs: np.ndarray, local: np.ndarray, pair_of: np.ndarray, n: np.ndarray, total: int, texts: int, vocabulary: int, weight: float, added: float) -> np.ndarray:
+    """-ln P of every word under one model: its bigram's count and weight times its unigram estimate, to the count of the word before and weight."""
+    one = (counts + added) / (total + added * (vocabulary + 1))
+    before = np.empty(len(local))
+    before[1:] = counts[local[:-1]]
+    before[(np.cumsum(n) - n)[n > 0]] = texts
+    return -np.log((pairs[pair_of] + weight * one[local]) / (before + weight))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, added: float = ADDED, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """How much better each text is told by a model of the target documents than by one of all.
 
     ``doc_id, n_tokens, target_loss, background_loss, score``: losses are mean
-    nats per token under two models that share order, smoothing and vocabulary;
-    score is target_loss - background_loss, low for texts like the target.
-    target has ids (column of the same name). Counts come from every character
-    of every document; the models have SIZE**ORDER entries at any size of the
-    corpus, so they are sent to all tasks. Null and empty texts have n_tokens 0
-    and null losses; null ids are scored and never in the target; rows that
-    repeat an id all count; with an empty target its model is uniform; an empty
-    table gives no rows; extra columns are ignored.
+    nats per word under two bigram models that share smoothing and one
+    vocabulary, the distinct words of docs; score is target_loss -
+    background_loss, low for texts like the target. target has ids (column of
+    the same name). A word's estimate is (c(v w) + weight P(w)) / (c(v) +
+    weight) after v, with P(w) = (c(w) + added) / (N + added (V + 1)); N has the
+    ends of texts as well, and before a first word c(v) is the number of texts.
+
+    All counts are of all documents and are never on the driver: every task
+    sends the distinct grams of its blocks, counted, to the tasks of their
+    ranges, which send back the totals; a block's words follow as small
+    numbers, so texts aren't shuffled. A gram that all texts have is one
+    entry a block. Equal 64-bit hashes count as one gram.
+
+    Null texts and texts without a word have n_tokens 0 and null losses; a very
+    long text is a block of its own; null ids are scored and never in the
+    target; rows that repeat an id all count; with an empty target its
+    model is uniform; an empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    table = counts(docs, target, id_col, text_col).toArrow()
-    seen = table["gram"].to_numpy()
-    sent = spark.sparkContext.broadcast(np.stack([log_probabilities(seen, table[c].to_numpy(), weight) for c in ("target", "background")]))
     id_type = docs.schema[id_col].dataType
+    kind = to_arrow_type(id_type)
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // range_bytes))
+    marked = plain.join(_scratch.hinted(target.select(F.col(id_col).alias("id"), F.lit(True).alias("mark")).distinct()), "id", "left").select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark"))
+    asked = marked.mapInArrow(_asked(ranges, block_bytes), _SENT)
+    counted = asked.repartition("to").sortWithinPartitions("to").mapInArrow(_counted, _SENT)
+    table, sums = _scratch.measured(counted, "lm", *[F.sum(c).alias(c) for c in _SUMS])
+    found = {c: sums[c] or 0 for c in _SUMS}
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")]])
 
+    def score(blobs: list[bytes]) -> pa.RecordBatch:
+        rows = [_opened(b) for b in blobs]
+        (_, ids, n, word, common, local), = [r for r in rows if r[0] == "docs"]
+        n, word = _numbers(n).astype(np.int64), _ascending(word)
+        local = _numbers(common).astype(np.int64)[_numbers(local).astype(np.int64)]
+        replies = sorted([r[1:] for r in rows if r[0] == "counts"], key=lambda r: r[0])
+        counts = [[np.concatenate([np.zeros(0, U), *[_numbers(r[1 + k][i]) for r in replies]]).astype(float) for k in range(2)] for i in range(2)]
+        token = word[local]
+        pair_of = np.unique(_pairs(_before(token, n), token), return_inverse=True)[1]
+        order = np.argsort(mix(word ^ _WORDS))
+        place = np.empty(len(word), np.int64)
+        place[order] = np.arange(len(word))
+        some = np.flatnonzero(n)
+        begin = (np.cumsum(n) - n)[some]
+        mean = np.zeros((2, len(n)))
+        for i, (total, texts) in enumerate((("background", "texts"), ("target", "target_texts"))):
+            if len(some):
+                each = losses(counts[i][0][place], counts[i][1], local, pair_of, n, found[total], found[texts], found["vocabulary"], weight, added)
+                mean[i, some] = np.add.reduceat(each, begin) / n[some]
+        none = n == 0
+        return pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(n), *[pa.array(x, mask=none) for x in (mean[1], mean[0], mean[1] - mean[0])]], schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sent.value
+        now, blobs = None, []
         for batch in batches:
-            column = string_column(batch.column(1))
-            n, losses = np.zeros(len(column), np.int64), np.zeros((2, len(column)))
-            for a, b in chunks(column):
-                g, ends = grams(column.slice(a, b - a))
-                n[a:b] = np.diff(ends)
-                for k in range(2):
-                    sums = np.concatenate([[0.0], np.cumsum(logs[k][g])])
-                    losses[k, a:b] = sums[ends[:-1]] - sums[ends[1:]]
-            none = n == 0
-            losses /= np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(x, mask=none) for x in (losses[0], losses[1], losses[0] - losses[1])]], schema.names)
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now and blobs:
+                    yield score(blobs)
+                    blobs = []
+                now = block
+                blobs.append(blob.as_py())
+        if blobs:
+            yield score(blobs)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return table.select("block", "blob").repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
-def oracle_sql(target: str, digits: int = 6, weight: float = WEIGHT) -> str:
+def oracle_sql(target: str, digits: int = 6, weight: float = WEIGHT, added: float = ADDED) -> str:
     """DuckDB SQL of cross_entropy_difference() with rounded losses; target is a query of doc_ids."""
-    quoted = {s: "'" + c.replace("'", "''") + "'" for s, c in GROUPS.items()}
-    cases = " ".join(f"WHEN contains({c}, ch) THEN {s}" for s, c in quoted.items())
-    symbol = f"CASE WHEN ch BETWEEN 'a' AND 'z' AND unicode(ch) < 128 THEN unicode(ch) - 96 WHEN unicode(ch) BETWEEN 65 AND 90 THEN {UPPER} WHEN unicode(ch) BETWEEN 48 AND 57 THEN {DIGIT} {cases} WHEN unicode(ch) < 32 OR unicode(ch) = 127 THEN {CONTROL} WHEN unicode(ch) BETWEEN 192 AND 591 THEN {ACCENT} ELSE {OTHER} END"
-    parts, levels = [], []
-    for m, side in (("t", "WHERE doc_id IN (SELECT doc_id FROM target)"), ("b", "")):
-        parts.append(f"{m}4 AS (SELECT a, b, c, d, count(*) AS n FROM g {side} GROUP BY ALL)")
-        parts.append(f"{m}3 AS (SELECT b, c, d, sum(n) AS n FROM {m}4 GROUP BY ALL)")
-        parts.append(f"{m}2 AS (SELECT c, d, sum(n) AS n FROM {m}3 GROUP BY ALL)")
-        parts.append(f"{m}1 AS (SELECT d, sum(n) AS n FROM {m}2 GROUP BY ALL)")
-        parts.append(f"{m}x3 AS (SELECT a, b, c, sum(n) AS n FROM {m}4 GROUP BY ALL)")
-        parts.append(f"{m}x2 AS (SELECT b, c, sum(n) AS n FROM {m}3 GROUP BY ALL)")
-        parts.append(f"{m}x1 AS (SELECT c, sum(n) AS n FROM {m}2 GROUP BY ALL)")
-        parts.append(f"{m}x0 AS (SELECT coalesce(sum(n), 0) AS n FROM {m}1)")
-        p = f"{1 / SIZE!r}"
-        for order, (num, den) in enumerate((("1", "x0"), ("2", "x1"), ("3", "x2"), ("4", "x3"))):
-            p = f"((coalesce({m}{order + 1}.n, 0) + {weight!r} * {p}) / (coalesce({m}{den}.n, 0) + {weight!r}))"
-        levels.append(p)
-    joins = " ".join(f"LEFT JOIN {m}4 USING (a, b, c, d) LEFT JOIN {m}3 USING (b, c, d) LEFT JOIN {m}2 USING (c, d) LEFT JOIN {m}1 USING (d) LEFT JOIN {m}x3 USING (a, b, c) LEFT JOIN {m}x2 USING (b, c) LEFT JOIN {m}x1 USING (c) CROSS JOIN {m}x0" for m in "tb")
+
+    def loss(m: str) -> str:
+        one = f"(c.{m} + {added!r}) / (n.{m} + {added!r} * (n.v + 1))"
+        return f"avg(-ln((p.{m} + {weight!r} * {one}) / (h.{m} + {weight!r})))"
+
     return f"""
 WITH target AS ({target}),
-ch AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text <> ''),
-s AS (SELECT doc_id, i, {symbol} AS d FROM ch),
-g AS (SELECT doc_id, d, lag(d, 1, 0) OVER w AS c, lag(d, 2, 0) OVER w AS b, lag(d, 3, 0) OVER w AS a FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-{", ".join(parts)},
-k AS (SELECT DISTINCT a, b, c, d FROM g),
-p AS (SELECT a, b, c, d, -ln({levels[0]}) AS t, -ln({levels[1]}) AS u FROM k {joins}),
-l AS (SELECT doc_id, count(*) AS n_tokens, avg(t) AS t, avg(u) AS u FROM g JOIN p USING (a, b, c, d) GROUP BY doc_id)
-SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(t, {digits}) AS target_loss, round(u, {digits}) AS background_loss, round(t - u, {digits}) AS score FROM documents LEFT JOIN l USING (doc_id)
+d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM target) AS own, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+g AS (SELECT doc_id, own, unnest(list_prepend('', w[1:len(w) - 1])) AS a, unnest(w) AS b FROM d WHERE len(w) > 0),
+words AS (SELECT b AS w, count(*) AS t, count(*) FILTER (own) AS o FROM g GROUP BY b),
+pairs AS (SELECT a, b, count(*) AS t, count(*) FILTER (own) AS o FROM g GROUP BY a, b),
+starts AS (SELECT '' AS w, count(*) AS t, count(*) FILTER (own) AS o FROM d WHERE len(w) > 0),
+before AS (SELECT * FROM words UNION ALL SELECT * FROM starts),
+n AS (SELECT sum(t) AS t, sum(o) AS o, count(*) - 1 AS v FROM before),
+l AS (SELECT doc_id, count(*) AS n_tokens, {loss("o")} AS target_loss, {loss("t")} AS background_loss FROM g JOIN words c ON c.w = g.b JOIN pairs p ON p.a = g.a AND p.b = g.b JOIN before h ON h.w = g.a CROSS JOIN n GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(target_loss, {digits}) AS target_loss, round(background_loss, {digits}) AS background_loss, round(target_loss - background_loss, {digits}) AS score FROM documents LEFT JOIN l USING (doc_id)
 """

@@ -1,10 +1,11 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import ODD, odd_rows, prose
+from brute import ODD, odd_rows, prose, words
 from compare import connection, difference
 
 from netspark.llm import lm_score, quality_classifier, secret_scan
@@ -81,10 +82,34 @@ def test_losses_tell_the_target_and_odd_rows(spark):
     assert (rows[40]["n_tokens"], rows[40]["score"], rows[41]["n_tokens"], rows[41]["target_loss"]) == (0, None, 0, None)
     assert rows[42]["score"] == pytest.approx(rows[0]["score"]) and rows[None]["score"] == pytest.approx(rows[1]["score"])
     none = lm_score.cross_entropy_difference(df, target.limit(0)).collect()
-    assert all(r["target_loss"] is None or math.isclose(r["target_loss"], math.log(lm_score.SIZE)) for r in none)
+    vocabulary = len({w for t in texts if t for w in words(t)})
+    assert all(r["target_loss"] is None or math.isclose(r["target_loss"], math.log(vocabulary + 1)) for r in none)
     assert lm_score.cross_entropy_difference(df.limit(0), target).count() == 0
 
 
+@pytest.mark.parametrize(("block", "ranges"), [(1, 1 << 30), (3000, 2000), (1 << 24, 700)])
+def test_losses_are_the_same_for_all_blocks_and_ranges(spark, block, ranges):
+    """One document a block, a text longer than a block, and many ranges, against the plain formula."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice([1, 20, 200])) for _ in range(40)] + [prose(rng, 3000), "Один два два", "!!", "", None, "one"]
+    rows = lm_score.cross_entropy_difference(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3), spark.createDataFrame([(f"d{i}",) for i in range(0, 46, 3)], "doc_id string"), block_bytes=block, range_bytes=ranges).collect()
+    w = [words(t or "") for t in texts]
+    vocabulary = len({x for t in w for x in t})
+    expected = []
+    for side in (w[::3], w):
+        one, two = Counter(x for t in side for x in ["", *t][: len(t) + 1] if t), Counter(p for t in side for p in zip(["", *t], t, strict=False))
+        total = sum(one.values())
+        expected.append([-sum(math.log((two[a, b] + 5 * (one[b] + 0.5) / (total + 0.5 * (vocabulary + 1))) / (one[a] + 5)) for a, b in zip(["", *t], t, strict=False)) / max(1, len(t)) for t in w])
+    assert len(rows) == len(texts)
+    for r in rows:
+        i = int(r["doc_id"][1:])
+        assert r["n_tokens"] == len(w[i])
+        if w[i]:
+            assert (r["target_loss"], r["background_loss"], r["score"]) == pytest.approx((expected[0][i], expected[1][i], expected[0][i] - expected[1][i]))
+        else:
+            assert (r["target_loss"], r["background_loss"], r["score"]) == (None, None, None)
+
+
 def test_discriminant_is_the_difference_of_log_densities():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 15))
