@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netspark.llm import _scratch
 from netspark.llm._tokens import WORD, chunks, raw, string_column
 
-#: Tokens of a window, open windows of a partition, consecutive ids of a partition, partitions whose leftovers are merged together.
+#: Tokens of a window, open windows of a partition, documents of a partition, partitions (then groups of them) whose leftovers one task merges.
 CAPACITY, OPEN, BLOCK, MERGE = 2048, 16, 65536, 256
+#: Ranges of hashes in which documents are numbered.
+RANGES = 4096
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -102,17 +105,35 @@ def merge_leftovers(leftovers: list[list], capacity: int) -> list[list]:
     return merged
 
 
+def numbered(sizes: DataFrame, block: int) -> DataFrame:
+    """``block, doc_id, n, copies``: documents (doc_id, n tokens) numbered in the order of a hash of both, then of themselves, in blocks of so many numbers.
+
+    Equal rows are one entry with their number, which is cut where blocks end,
+    so neither sparse ids nor rows that repeat make a block larger or smaller
+    than others. Ranges of hashes are sorted each by itself.
+    """
+    one = sizes.groupBy("doc_id", "n").agg(F.count("*").alias("copies")).withColumn("range", F.pmod(F.xxhash64("doc_id", "n"), F.lit(RANGES)))
+    order = Window.partitionBy("range").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    one = _scratch.write(one.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))), "sizes")
+    first = one.groupBy("range").agg(F.sum("copies").alias("all")).select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    at = one.join(F.broadcast(first), "range").withColumn("first", F.col("first") + F.col("before"))  # RANGES rows at any size
+    last = F.col("first") + F.col("copies") - 1
+    cut = at.select("doc_id", "n", "first", last.alias("last"), F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(last / block))).alias("block"))
+    return cut.select("block", "doc_id", "n", (F.least("last", F.col("block") * block + block - 1) - F.greatest("first", F.col("block") * block) + 1).alias("copies"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, most_open: int = OPEN, block: int = BLOCK, merge: int = MERGE, counter: Callable[[pa.Array], np.ndarray] = count_tokens) -> DataFrame:
     """Windows of at most capacity tokens that hold every token of docs once.
 
-    ``window_id`` (string: block and number within it), ``n_tokens``,
+    ``window_id`` (string: level, block and number within it), ``n_tokens``,
     ``n_docs``, ``merged`` (made of leftovers), and the parallel arrays
     ``doc_ids``, ``starts`` and ``lengths`` in tokens. A partition is a block
-    of consecutive integer ids (of ids' hashes, if they aren't integers) in
-    ascending order, so the result doesn't depend on how the table is split;
-    leftovers are merged among merge neighbouring blocks. Only ids and token
-    counts are shuffled. Null ids, null and empty texts and texts of only
-    white space have no piece; rows that repeat an id are packed one by one,
+    of numbered() documents in the order of ids, so the result depends neither
+    on how the table is split nor on gaps between ids; its open windows are left
+    over. Leftovers of merge blocks are merged by one task, which leaves the most_open
+    emptiest of its windows to the next level, until one task merges the last.
+    Only ids and token counts are shuffled. Null ids, null and empty texts and texts of only
+    white space have no piece; a text longer than a window fills windows of its own and one more piece; rows that repeat an id are packed one by one,
     those of equal ids by their token count; an empty table gives no windows;
     extra columns are ignored.
     """
@@ -124,9 +145,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             n = counter(string_column(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], counted.names).filter(pa.array(n > 0))
 
-    whole = isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    at = F.floor(F.col("doc_id") / F.lit(block)).cast("long") if whole else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))
-    sizes = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(count, counted).withColumn("block", at)
+    sizes = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(count, counted)
     window = T.StructType([T.StructField("block", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("left", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
 
     def table(block_: int, windows: list[list], left: list[bool], like: pa.DataType) -> pa.Table:
@@ -135,21 +154,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def one_block(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        closed, left = pack_block(zip(rows["doc_id"].to_pylist(), rows["n"].to_pylist(), strict=True), capacity, most_open)
+        every = ((d, n) for d, n, k in zip(*(rows[c].to_pylist() for c in ("doc_id", "n", "copies")), strict=True) for _ in range(k))
+        closed, left = pack_block(every, capacity, most_open)
         return table(key[0].as_py(), closed + left, [False] * len(closed) + [True] * len(left), rows["doc_id"].type)
 
-    def one_merge(key: tuple, rows: pa.Table) -> pa.Table:
-        pieces = [list(zip(d, s, n, strict=True)) for d, s, n in zip(rows["doc_ids"].to_pylist(), rows["starts"].to_pylist(), rows["lengths"].to_pylist(), strict=True)]
-        windows = merge_leftovers(pieces, capacity)
-        return table(key[0].as_py(), windows, [True] * len(windows), rows["doc_ids"].type.value_type)
+    def one_merge(last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            pieces = [list(zip(d, s, n, strict=True)) for d, s, n in zip(rows["doc_ids"].to_pylist(), rows["starts"].to_pylist(), rows["lengths"].to_pylist(), strict=True)]
+            windows = merge_leftovers(pieces, capacity)
+            rank = sorted(range(len(windows)), key=lambda i: (sum(p[2] for p in windows[i]), windows[i][0]))
+            again = set() if last else set(rank[:most_open])
+            return table(key[0].as_py(), windows, [i in again for i in range(len(windows))], rows["doc_ids"].type.value_type)
+
+        return run
 
-    packed = sizes.groupBy("block").applyInArrow(one_block, window)
-    # Both kinds come from one table: leftovers and closed windows are told apart after it is made once.
-    keyed = packed.withColumn("group", F.when(F.col("left"), F.floor(F.col("block") / F.lit(merge)).cast("long")))
-    keyed = _scratch.write(keyed, "windows")
-    left = keyed.where("left").select("group", "doc_ids", "starts", "lengths").groupBy("group").applyInArrow(one_merge, window)
     shape = ["doc_ids", "starts", "lengths"]
-    closed = keyed.where("NOT left").select(F.concat_ws("-", F.lit("w"), "block", "seq").alias("window_id"), F.lit(False).alias("merged"), *shape)
-    merged = left.select(F.concat_ws("-", F.lit("m"), "block", "seq").alias("window_id"), F.lit(True).alias("merged"), *shape)
+    made, level, found = _scratch.write(numbered(sizes, block).groupBy("block").applyInArrow(one_block, window), "windows"), 0, []
+    while True:
+        found.append(made.where("NOT left").select(F.concat_ws("-", F.lit("w" if level == 0 else f"m{level}"), "block", "seq").alias("window_id"), F.lit(level > 0).alias("merged"), *shape))
+        left = made.where("left")
+        blocks = left.agg(F.max("block")).first()[0]
+        if blocks is None:
+            break
+        level += 1
+        merged = left.withColumn("block", F.floor(F.col("block") / merge)).select("block", *shape).groupBy("block").applyInArrow(one_merge(blocks < merge), window)
+        made = _scratch.write(merged, "windows")
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda t, x: t + x)
-    return closed.unionByName(merged).select("window_id", total.alias("n_tokens"), F.size(F.array_distinct("doc_ids")).alias("n_docs"), "merged", *shape)
+    return reduce(DataFrame.unionByName, found).select("window_id", total.alias("n_tokens"), F.size(F.array_distinct("doc_ids")).alias("n_docs"), "merged", *shape)

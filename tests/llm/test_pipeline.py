@@ -7,14 +7,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from brute import contained, edited, near_groups, prose
-from test_rules_and_packing import brute_windows
+from test_rules_and_packing import blocks_of, brute_windows, pieces
 
 from netspark.llm import decontaminate, near_dup, packing, quality_rules, secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def plain(docs: list[tuple[int, str | None]], items: list[str]) -> list[tuple]:
+def plain(spark, docs: list[tuple[int, str | None]], items: list[str]) -> list[tuple]:
     zip_ = zstandard.ZstdCompressor(level=3)
     docs = [d for d in docs if quality_rules.judge(d[1], quality_rules.BANDS, zip_)[6]]
     root, _ = near_groups([t for _, t in docs], near_dup.MAX_DISTANCE)
@@ -29,7 +29,7 @@ def plain(docs: list[tuple[int, str | None]], items: list[str]) -> list[tuple]:
                 if text.startswith("-----BEGIN", a) or net.probability(secret_scan.encode(text, a, b)[None])[0] >= net.threshold:
                     t = t[:a] + secret_scan.MASK + t[b:]
         out.append((i, int(packing.count_tokens(pa.array([t], pa.large_string()))[0])))
-    return brute_windows([x for x in out if x[1]], packing.CAPACITY, packing.OPEN, packing.BLOCK, packing.MERGE)
+    return brute_windows(blocks_of(spark, [x for x in out if x[1]], "long", packing.BLOCK), packing.CAPACITY, packing.OPEN, packing.MERGE)
 
 
 def test_run(spark, tmp_path):
@@ -48,8 +48,8 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    mine = sorted((r["merged"], tuple(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))) for r in out)
-    assert mine == plain(rows, items) and len(mine) > 10
+    mine = pieces(out)
+    assert mine == plain(spark, rows, items) and len(mine) > 10
 
 
 def test_stages_return_the_columns_of_documents(spark, sf):

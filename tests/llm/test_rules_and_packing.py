@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import zstandard
 from brute import ODD, odd_rows, prose
 
@@ -40,52 +41,84 @@ def test_clean_documents_stay(spark):
     assert kept > 0.97
 
 
-def brute_windows(rows: list[tuple[int, int]], capacity: int, most_open: int, block: int, merge: int) -> list[tuple]:
-    """Every window as (merged, pieces), by the rule as written, with plain lists."""
+def brute_windows(blocks: list[list[tuple]], capacity: int, most_open: int, merge: int) -> list[tuple]:
+    """Every window as (merged, pieces), by the rule as written, with plain lists; blocks hold (id, tokens)."""
+
+    def fill(w: list) -> int:
+        return sum(p[2] for p in w)
+
     out, left = [], {}
-    for b in sorted({i // block for i, _ in rows}):
+    for b, rows in enumerate(blocks):
         open_ = []
-        for doc, n in sorted(r for r in rows if r[0] // block == b):
+        for doc, n in sorted(rows):
             for start in range(0, n, capacity):
                 size = min(capacity, n - start)
-                room = [w for w in open_ if sum(p[2] for p in w) + size <= capacity]
+                room = [w for w in open_ if fill(w) + size <= capacity]
                 if room:
-                    w = max(room, key=lambda w: sum(p[2] for p in w))
+                    w = max(room, key=fill)
                     w.append((doc, start, size))
                 else:
                     if size < capacity and len(open_) == most_open:
-                        full = max(open_, key=lambda w: sum(p[2] for p in w))
+                        full = max(open_, key=fill)
                         open_.remove(full)
                         out.append((False, full))
                     w = [(doc, start, size)]
                     open_.append(w)
-                if sum(p[2] for p in w) == capacity:
+                if fill(w) == capacity:
                     open_ = [x for x in open_ if x is not w]
                     out.append((False, w))
-        left.setdefault(b // merge, []).extend(open_)
-    for windows in left.values():
-        merged = []
-        for w in sorted(windows, key=lambda w: (-sum(p[2] for p in w), w[0])):
-            room = [m for m in merged if sum(p[2] for p in m + w) <= capacity]
-            if room:
-                max(room, key=lambda m: sum(p[2] for p in m)).extend(w)
-            else:
-                merged.append(list(w))
-        out += [(True, w) for w in merged]
+        left[b] = open_
+    while left and any(left.values()):
+        last, groups = max(left) < merge, {}
+        for b, windows in left.items():
+            groups.setdefault(b // merge, []).extend(windows)
+        left = {}
+        for b, windows in groups.items():
+            merged = []
+            for w in sorted(windows, key=lambda w: (-fill(w), w[0])):
+                room = [m for m in merged if fill(m) + fill(w) <= capacity]
+                if room:
+                    max(room, key=fill).extend(w)
+                else:
+                    merged.append(list(w))
+            merged.sort(key=lambda w: (fill(w), w[0]))
+            left[b] = [] if last else merged[:most_open]
+            out += [(True, w) for w in (merged if last else merged[most_open:])]
+        left = {b: w for b, w in left.items() if w}
     return sorted((m, tuple(w)) for m, w in out)
 
 
-def test_packing_against_brute_force(spark):
+def blocks_of(spark, sizes: list[tuple], kind: str, block: int) -> list[list[tuple]]:
+    """The blocks of numbered(): rows by their hash range, then in order, cut into runs of block."""
+    df = spark.createDataFrame(sizes, f"doc_id {kind}, n long").selectExpr("doc_id", "n", f"pmod(xxhash64(doc_id, n), {packing.RANGES}) AS r")
+    order = [(i, n) for _, i, n in sorted((r["r"], r["doc_id"], r["n"]) for r in df.collect())]
+    return [order[i : i + block] for i in range(0, len(order), block)]
+
+
+def pieces(rows: list) -> list[tuple]:
+    return sorted((r["merged"], tuple(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))) for r in rows)
+
+
+@pytest.mark.parametrize(("kind", "merge"), [("long", 3), ("string", 3), ("long", 20)])
+def test_packing_against_brute_force(spark, kind, merge):
+    """Also ids that repeat, far apart and as strings, and leftovers of several levels."""
     rng = random.Random(5)
-    texts = [" ".join(["w"] * rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 250])) for _ in range(400)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    rows = packing.pack(df, capacity=64, most_open=4, block=50, merge=3).collect()
-    mine = sorted((r["merged"], tuple(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))) for r in rows)
-    assert mine == brute_windows([(i, len(t.split())) for i, t in enumerate(texts)], 64, 4, 50, 3)
+    ids = [str(i * 10**9) if kind == "string" else i * 10**9 for i in [*range(390), *[7] * 90, *range(20)]]
+    texts = [" ".join(["w"] * rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 250])) for _ in ids]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").repartition(5)
+    rows = packing.pack(df, capacity=64, most_open=4, block=40, merge=merge).collect()
+    assert pieces(rows) == brute_windows(blocks_of(spark, [(i, len(t.split())) for i, t in zip(ids, texts, strict=True)], kind, 40), 64, 4, merge)
     assert all(r["n_tokens"] == sum(r["lengths"]) <= 64 and r["n_docs"] == len(set(r["doc_ids"])) for r in rows)
     assert len({r["window_id"] for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("name", ["doc_id", "doc_id * 1000003 AS doc_id", "concat('d', doc_id) AS doc_id"])
+def test_windows_are_full_whatever_the_ids(spark, name):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr(name, "text")
+    fill = packing.pack(docs).agg({"n_tokens": "avg"}).first()[0] / packing.CAPACITY
+    assert fill > 0.95
+
+
 def test_packing_odd_rows(spark):
     texts = ["a b c", None, "", " \n ", "a b c", "x " * 5000]
     df = spark.createDataFrame([*odd_rows(texts), odd_rows(texts)[0], (1, None, "lost", *["x"] * 3, 1, *["y"] * 5)], ODD)
