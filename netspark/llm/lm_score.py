@@ -21,7 +21,7 @@ from netspark.llm._tokens import Splitter, U, chunks, mix, raw, string_column
 #: Weight of the unigrams in a bigram's estimate, in counts, and count that every word of the vocabulary has beside its own.
 WEIGHT, ADDED = 5.0, 0.5
 #: Bytes of text whose grams one task asks for together, and bytes of text for every range of grams that one task counts.
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 48 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 #: What stands before a text's first word.
 START = U(0x5DEECE66D1CE4E5B)
 _WORDS, _PAIRS = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
