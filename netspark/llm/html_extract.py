@@ -20,7 +20,7 @@ from netspark.llm._tokens import Splitter, U, Words, chunks, raw, shingles, stri
 from netspark.llm.url_filter import host
 
 #: Tokens (a power of two) from which a repeated substring is boilerplate, pages on which it must occur, and shortest run that is kept.
-LEAST, PAGES, RUN = 8, 2, 3
+LEAST, PAGES, RUN = 8, 2, 1
 #: Bytes of HTML whose token streams make one suffix array on one machine; a host of more has several, which exchange what repeats between them.
 BLOCK_BYTES = 24 << 20
 _TOKEN = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -33,12 +33,15 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"<[A-Za-z/!?][^>]*>", " "), r"[ \t\r\f]*+\n\s*+", "\n")
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES, same: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a substring of at least least tokens that occurs on at least so many distinct pages.
 
-    tokens are any numbers, page the ascending number of each token's page. The
-    suffix array is built by prefix doubling up to the first least tokens of
-    each suffix, which already puts all occurrences of such a substring side by side.
+    tokens are any numbers, page the ascending number of each token's page;
+    same has for each page the number of the page that it counts as. The
+    suffix array is built by prefix doubling and ordered by the first least tokens of
+    each suffix: a longer repeat is the union of its stretches of least
+    tokens, each of which is on the same pages at least, so what further
+    doubling would order changes nothing that is covered.
     """
     n = len(tokens)
     covered = np.zeros(n + 1, np.int64)
@@ -63,8 +66,12 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: in
     suffixes = order[whole[order]]
     group = rank[suffixes]
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    owner = page[suffixes] if same is None else same[page[suffixes]]
+    if same is not None:  # equal numbers must follow each other within a group to be counted once
+        sort = np.lexsort((owner, group))
+        suffixes, owner = suffixes[sort], owner[sort]
     other = np.zeros(len(suffixes), np.int64)
-    other[1:] = page[suffixes[1:]] != page[suffixes[:-1]]
+    other[1:] = owner[1:] != owner[:-1]
     other[begin] = 1
     often = np.add.reduceat(other, begin) >= pages if len(begin) else np.zeros(0, bool)
     at = suffixes[np.repeat(often, np.diff(np.append(begin, len(suffixes))))]
@@ -87,6 +94,8 @@ class Stream:
         self.page: list[np.ndarray] = []
         self.span: list[np.ndarray] = []
         self.pages = 0
+        self.first: dict[tuple, int] = {}
+        self.same: list[int] = []
 
     def add(self, texts: pa.Array, splitter: Splitter) -> None:
         for a, b in chunks(texts):
@@ -99,6 +108,15 @@ class Stream:
             self.texts.append(part)
             self.pages += b - a
 
+    def rows(self, ids: list, texts: list) -> None:
+        """Note which page each row counts as: the first with its id and text."""
+        for key in zip(ids, texts, strict=True):
+            self.same.append(self.first.setdefault(key, len(self.same)))
+
+    def counted_as(self) -> np.ndarray | None:
+        """The page that each page counts as, None if each counts as itself."""
+        return np.array(self.same, np.int64) if len(self.first) < len(self.same) else None
+
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and page of every token."""
         return np.concatenate([np.zeros(0, U), *self.hash]), np.concatenate([np.zeros(0, np.int32), *self.page])
@@ -106,7 +124,7 @@ class Stream:
     def extract(self, shared: bool, least: int, pages: int, run: int, elsewhere: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains. elsewhere has the prefixes that repeat with other blocks of the host."""
         token, page = self.tokens()
-        covered = repeated(token, page, least, pages) if shared else np.zeros(len(token), bool)
+        covered = repeated(token, page, least, pages, self.counted_as()) if shared else np.zeros(len(token), bool)
         if len(elsewhere) and len(token) >= least:
             key, begin = prefixes(token, page, least)
             begin = begin[np.isin(key, elsewhere)]
@@ -186,6 +204,7 @@ def _unpacked(blobs: list[Any]) -> tuple[list, np.ndarray, Stream, np.ndarray]:
             continue
         ids += blob[1]
         nulls.append(np.array([t is None for t in blob[2]], bool))
+        stream.rows(blob[1], blob[2])
         stream.add(string_column(pa.array(blob[2], pa.large_string())), splitter)
     return ids, np.concatenate(nulls), stream, np.sort(np.concatenate(keys))
 
@@ -215,6 +234,7 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
             if not len(key):
                 continue
             page = stream.tokens()[1][at]
+            page = page if stream.counted_as() is None else stream.counted_as()[page]
             order = np.lexsort((page, key))
             key, page = key[order], page[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -245,6 +265,30 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
     return _together(asked, "host", "block").mapInArrow(answer, BLOCK)
 
 
+def _copies(named: DataFrame) -> DataFrame:
+    """named with ``copy``: whether the page's text is that of another page of its host with a lesser id."""
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first")
+    groups = named.where("host <> '' AND text <> ''").groupBy("host", "t1", "t2").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("h"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("first.page_id").alias("first"))
+    groups = _scratch.hinted(_scratch.write(groups, "equal"))
+    same = (named["host"] == groups["h"]) & (named["t1"] == groups["a"]) & (named["t2"] == groups["b"])
+    return named.join(groups, same, "left").select("page_id", "host", "text", "size", (F.col("h").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("copy"))
+
+
+def _without_text(kind: pa.DataType, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of copies: their tokens are counted and none is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter()
+        for batch in batches:
+            texts = string_column(pa.array([entities.unescape(t) for t in batch.column("text").to_pylist()], pa.large_string()))
+            n = np.zeros(len(batch), np.int64)
+            for a, b in chunks(texts):
+                n[a:b] = np.diff(splitter.words_of(*raw(texts.slice(a, b - a)), _TOKEN).first)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(kind), batch.column("host"), pa.array([""] * len(batch), pa.string()), pa.array(n), pa.array(np.zeros(len(batch), np.int64))], names)
+
+    return run
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, on_pages: int = PAGES, run: int = RUN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``page_id, host, text, n_tokens, n_kept`` of every row of pages.
 
@@ -252,21 +296,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     go to one suffix array; tokens in a substring of
     at least least tokens that on_pages distinct pages have are boilerplate,
     and what remains in runs of at least run tokens is the text, a line a run.
-    Hosts of more than block_bytes of HTML are split into blocks by the pages'
+    Pages of a host whose visible text is equal are one page of the suffix array, that of the least id; the
+    others are copies and keep no text. Hosts of more than block_bytes of HTML are split into blocks by the pages'
     hashes; what repeats between blocks is found by between_blocks(), so the
     result is the same for any size of block. Pages of no host (also null URLs)
-    keep all their text. Null HTML gives null text and 0 tokens;
-    rows that repeat a page count as distinct pages, so they lose what they
-    share; an empty table gives no rows; extra columns are ignored.
+    keep all their text. Null HTML gives null text and 0 tokens; null ids are
+    pages like others, the last of equal ones; a very long page is as any other and never cut;
+    rows that repeat id and text count as one page and are returned each;
+    an empty table gives no rows; extra columns are ignored.
     """
     if least & (least - 1) or least < 2:
         raise ValueError("least must be a power of two, 2 at least")
     id_type = pages.schema[id_col].dataType
-    named = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), pages[html_col].cast("string").alias("html"))
-    size = F.sum(F.octet_length("html"))
-    large = _scratch.write(named.groupBy("host").agg(size.alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
-    placed = named.join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), F.when(F.col("host") != "", F.coalesce("blocks", F.lit(1))).otherwise(F.lit(1)).alias("blocks"), visible(F.col("html")).alias("text"))
-    sent = placed.mapInArrow(_packed, BLOCK)
+    html = pages[html_col].cast("string")
+    named = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), visible(html).alias("text"), F.octet_length(html).alias("size"))
+    named = _scratch.write(named.select("*", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")), "pages")
+    large = _scratch.write(named.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
+    marked = _copies(named)
+    placed = marked.where("NOT copy").join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), F.when(F.col("host") != "", F.coalesce("blocks", F.lit(1))).otherwise(F.lit(1)).alias("blocks"), "text")
+    sent = _scratch.write(placed.mapInArrow(_packed, BLOCK), "packed")
     if not large.where("host <> ''").isEmpty():
         sent = sent.unionByName(between_blocks(sent.where("blocks > 1"), least, on_pages))
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_kept", T.LongType())])
@@ -281,4 +329,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 at += size
 
     kind = to_arrow_type(id_type)
-    return _together(sent, "host", "block").mapInArrow(work, schema)
+    copies = marked.where("copy").select("page_id", "host", "text").mapInArrow(_without_text(kind, schema.names), schema)
+    return _together(sent, "host", "block").mapInArrow(work, schema).unionByName(copies)

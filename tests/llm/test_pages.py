@@ -48,10 +48,48 @@ def test_boilerplate_goes_and_the_size_of_blocks_does_not_matter(spark):
     assert by[5][3] == 15 + 60 + 32 and by[5][4] == 60
     assert by[200][4] == by[200][3] and by[300][2] == "no host at all" and by[300][1] is None
     assert by[302][2:] == (None, 0, 0) and by[303][2:] == ("", 0, 0)
-    assert by[0][4] == 0  # the page occurs twice, so all of it repeats
+    assert by[0][4] >= 58  # rows that repeat a page are one page; a word or two may follow the menu on other pages too
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def brute_extract(rows: list[tuple]) -> set[tuple]:
+    """page_id, kept tokens in order and their number, with plain lists; texts hold no markup but one paragraph."""
+    out = set()
+    hosts = {u.split("/")[2] for _, u, _ in rows}
+    for name in hosts:
+        own = [(i, h.removeprefix("<p>").removesuffix("</p>").split()) for i, u, h in rows if u.split("/")[2] == name]
+        first: dict[tuple, int] = {}
+        for i, t in own:
+            first[tuple(t)] = min(i, first.get(tuple(t), i))
+        pages = {i: t for i, t in own if first[tuple(t)] == i}
+        gone = dict(zip(pages, brute_covered(list(pages.values()), html_extract.LEAST, html_extract.PAGES), strict=True))
+        for i, t in own:
+            kept = [w for w, g in zip(t, gone[i], strict=True) if not g] if i in pages else []
+            out.add((i, " ".join(kept), len(t), len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [html_extract.BLOCK_BYTES, 1500])
+def test_extraction_against_brute_force(spark, block_bytes):
+    """Equal pages, on which the first keeps its text, passages that pages share, short unique runs between them, and a very long page."""
+    rng = random.Random(12)
+    shared = [prose(rng, rng.choice([7, 8, 9, 60])) for _ in range(8)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else prose(rng, rng.choice([1, 2, 12])) for _ in range(5)]
+        rows.append((i, f"https://{rng.choice(['a', 'b'])}.example/{i}", f"<p>{' '.join(parts)}</p>"))
+    rows += [(100 + i, *rows[i][1:]) for i in range(6)] + [(110 + i, *rows[0][1:]) for i in range(20)] + [(200, "https://a.example/long", f"<p>{prose(rng, 40_000)} {shared[3]}</p>"), rows[5]]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), block_bytes=block_bytes).collect()
+    assert len(got) == len(rows)
+    assert {(r["page_id"], " ".join(r["text"].split()), r["n_tokens"], r["n_kept"]) for r in got} == brute_extract(rows)
+
+
+def test_null_ids_and_copies(spark):
+    text = "<p>" + " ".join(f"w{i}" for i in range(30)) + "</p>"
+    df = spark.createDataFrame([(None, "https://a.b/1", text), (7, "https://a.b/2", text), (9, "https://a.b/3", text), (9, "https://c.d/3", text)], "page_id long, url string, html string")
+    assert sorted((r["page_id"] or 0, r["host"], r["n_tokens"], r["n_kept"]) for r in html_extract.extract(df).collect()) == [(0, "a.b", 30, 0), (7, "a.b", 30, 30), (9, "a.b", 30, 0), (9, "c.d", 30, 30)]
+
+
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "https://a.b/c", "<p>just some text</p>", "h", 1, "x", [3])], "page_id long, url string, html string, host string, block long, text string, keys array<int>")
     assert html_extract.extract(df).collect()[0][:3] == (1, "a.b", "just some text")
