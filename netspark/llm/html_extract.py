@@ -122,12 +122,12 @@ class Stream:
         return np.concatenate([np.zeros(0, U), *self.hash]), np.concatenate([np.zeros(0, np.int32), *self.page])
 
     def extract(self, shared: bool, least: int, pages: int, run: int, elsewhere: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains. elsewhere has the prefixes that repeat with other blocks of the host."""
+        """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains. elsewhere tells which of the block's distinct prefixes, in order, repeat with other blocks of the host; it is empty if there are none."""
         token, page = self.tokens()
         covered = repeated(token, page, least, pages, self.counted_as()) if shared else np.zeros(len(token), bool)
-        if len(elsewhere) and len(token) >= least:
+        if len(elsewhere):
             key, begin = prefixes(token, page, least)
-            begin = begin[np.isin(key, elsewhere)]
+            begin = begin[elsewhere[np.unique(key, return_inverse=True)[1]]]
             more = np.zeros(len(token) + 1, np.int64)
             np.add.at(more, begin, 1)
             np.add.at(more, begin + least, -1)
@@ -194,19 +194,20 @@ def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple
 
 
 def _unpacked(blobs: list[Any]) -> tuple[list, np.ndarray, Stream, np.ndarray]:
-    """Ids, which texts are null, the stream, and the sorted prefixes from other blocks."""
+    """Ids, which texts are null, the stream, and which of its distinct prefixes repeat in other blocks."""
     splitter, stream = Splitter(), Stream()
     ids: list = []
-    nulls, keys = [np.zeros(0, bool)], [np.zeros(0, U)]
+    nulls, told = [np.zeros(0, bool)], []
     for blob in blobs:
-        if blob[0] == "keys":
-            keys.append(_decoded(blob[1]))
+        if blob[0] == "told":
+            told.append(blob[1:])
             continue
         ids += blob[1]
         nulls.append(np.array([t is None for t in blob[2]], bool))
         stream.rows(blob[1], blob[2])
         stream.add(string_column(pa.array(blob[2], pa.large_string())), splitter)
-    return ids, np.concatenate(nulls), stream, np.sort(np.concatenate(keys))
+    flags = [np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, n, bits in sorted(told)]
+    return ids, np.concatenate(nulls), stream, np.concatenate([np.zeros(0, bool), *flags])
 
 
 def _encoded(keys: np.ndarray) -> bytes:
@@ -223,7 +224,7 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
 
     Blocks hold distinct pages, so a prefix's pages add up over blocks. Each
     block sends its distinct prefixes once, in as many ranges as the host has
-    blocks, so that a range is no larger than a block.
+    blocks, so that a range is no larger than a block; it is told one bit for each.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,30 +249,30 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for (name, _), blocks, blobs in _groups(batches, "host", "block"):
+        for (name, place), blocks, blobs in _groups(batches, "host", "block"):
             keys = [_decoded(k) for _, k, _ in blobs]
             key, own = np.concatenate(keys), np.concatenate([np.frombuffer(n, np.uint16) for *_, n in blobs]).astype(np.int64)
-            block = np.repeat([b for b, *_ in blobs], [len(k) for k in keys])
             order = np.argsort(key, kind="stable")
-            key, own, block = key[order], own[order], block[order]
+            key, own = key[order], own[order]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             total = np.repeat(np.add.reduceat(own, begin), np.diff(np.append(begin, len(key))))
-            new = (total >= on_pages) & (own < on_pages)
-            key, block = key[new], block[new]
-            some = np.unique(block).tolist()
-            yield _rows([(name, b, blocks) for b in some], [zip_.compress(pickle.dumps(("keys", _encoded(key[block == b])))) for b in some])
+            new = np.empty(len(key), bool)
+            new[order] = (total >= on_pages) & (own < on_pages)
+            parts = np.split(new, np.cumsum([len(k) for k in keys])[:-1])
+            yield _rows([(name, b, blocks) for b, *_ in blobs], [zip_.compress(pickle.dumps(("told", place, len(x), np.packbits(x).tobytes()))) for x in parts])
 
     asked = _together(sent, "host", "block").mapInArrow(send, BLOCK)
     return _together(asked, "host", "block").mapInArrow(answer, BLOCK)
 
 
 def _copies(named: DataFrame) -> DataFrame:
-    """named with ``copy``: whether the page's text is that of another page of its host with a lesser id."""
+    """named with ``copy``: whether the page's text is that of another page of its host with a lesser id. Texts are compared by two 64-bit hashes."""
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first")
-    groups = named.where("host <> '' AND text <> ''").groupBy("host", "t1", "t2").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("h"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("first.page_id").alias("first"))
+    hashed = named.where("host <> '' AND text <> ''").select("host", "page_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    groups = hashed.groupBy("host", "t1", "t2").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("h"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("first.page_id").alias("first"))
     groups = _scratch.hinted(_scratch.write(groups, "equal"))
-    same = (named["host"] == groups["h"]) & (named["t1"] == groups["a"]) & (named["t2"] == groups["b"])
-    return named.join(groups, same, "left").select("page_id", "host", "text", "size", (F.col("h").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("copy"))
+    same = (F.col("host") == F.col("h")) & (F.xxhash64("text") == F.col("a")) & (F.xxhash64("text", F.lit(1)) == F.col("b"))
+    return named.join(groups, same, "left").select("page_id", "host", "text", (F.col("h").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("copy"))
 
 
 def _without_text(kind: pa.DataType, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -309,9 +310,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         raise ValueError("least must be a power of two, 2 at least")
     id_type = pages.schema[id_col].dataType
     html = pages[html_col].cast("string")
-    named = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), visible(html).alias("text"), F.octet_length(html).alias("size"))
-    named = _scratch.write(named.select("*", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")), "pages")
-    large = _scratch.write(named.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
+    raw_ = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), html.alias("html"))
+    sized = raw_.select("host", F.octet_length("html").alias("size"))
+    named = raw_.select("page_id", "host", visible(F.col("html")).alias("text"))
+    large = _scratch.write(sized.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
     marked = _copies(named)
     placed = marked.where("NOT copy").join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), F.when(F.col("host") != "", F.coalesce("blocks", F.lit(1))).otherwise(F.lit(1)).alias("blocks"), "text")
     sent = _scratch.write(placed.mapInArrow(_packed, BLOCK), "packed")
