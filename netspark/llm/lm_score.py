@@ -22,8 +22,10 @@ from netspark.llm._tokens import Splitter, U, chunks, mix, raw, string_column
 WEIGHT, ADDED = 5.0, 0.5
 #: Bytes of text whose grams one task asks for together, and bytes of text for every range of grams that one task counts.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
-#: What stands before a text's first word.
-START = U(0x5DEECE66D1CE4E5B)
+#: Tasks of a stage at most; each then has several ranges or blocks, one after the other.
+MOST_TASKS = 20_000
+#: What stands before a text's first word: no hash of a word, which have 48 bits. Grams have 56.
+START, WORD_SHIFT, GRAM_SHIFT = U(1 << 48), U(16), U(8)
 _WORDS, _PAIRS = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
 
 
@@ -69,7 +71,11 @@ def _before(token: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIRS + token)
+    return mix(before * _PAIRS + token) >> GRAM_SHIFT
+
+
+def _singles(word: np.ndarray) -> np.ndarray:
+    return mix(word ^ _WORDS) >> GRAM_SHIFT
 
 
 class Block:
@@ -91,11 +97,11 @@ class Block:
         place = np.empty(len(word), np.int64)
         place[common] = np.arange(len(word))
         key, pair_of = np.unique(_pairs(_before(token, n), token), return_inverse=True)
-        sent = [(mix(word ^ _WORDS), times, np.bincount(local[own], minlength=len(word))), (key, np.bincount(pair_of, minlength=len(key)), np.bincount(pair_of[own], minlength=len(key)))]
+        sent = [(_singles(word), times, np.bincount(local[own], minlength=len(word))), (key, np.bincount(pair_of, minlength=len(key)), np.bincount(pair_of[own], minlength=len(key)))]
         order = np.argsort(sent[0][0])
         sent[0] = tuple(x[order] for x in sent[0])
-        width = U(2**63 // ranges + 1)
-        cuts = [np.searchsorted((k >> U(1)) // width, np.arange(ranges + 1).astype(U)) for k, *_ in sent]
+        width = U(2**56 // ranges + 1)
+        cuts = [np.searchsorted(k // width, np.arange(ranges + 1).astype(U)) for k, *_ in sent]
         out = [(int(mix(np.array([block], U))[0] % U(ranges)), block, _packed(("docs", pa.concat_arrays(self.ids), _planes(n), _sorted(word), _planes(common), _planes(place[local]))))]
         for r in range(ranges):
             if any(c[r + 1] > c[r] for c in cuts):
@@ -125,7 +131,7 @@ def _asked(ranges: int, block_bytes: int) -> Any:
                 now.ids.append(batch.column(0).slice(a, b - a))
                 now.marks.append(mark[a:b])
                 now.n.append(np.diff(words.first))
-                now.token.append(words.hash)
+                now.token.append(words.hash >> WORD_SHIFT)
                 now.bytes += int(raw(column.slice(a, b - a))[1][-1])
                 if now.bytes >= block_bytes:
                     yield _batch(*now.rows(number, ranges))
@@ -165,7 +171,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, blocks, asks = None, [], []
     for batch in batches:
-        for to, block, blob, *sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), *(c.to_pylist() for c in batch.columns[3:]), strict=True)
+        for to, block, blob, *sums in rows:
+            blob = blob.as_py()
             if to != now and asks:
                 yield answers(now, blocks, asks)
                 blocks, asks = [], []
@@ -204,7 +212,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     sends the distinct grams of its blocks, counted, to the tasks of their
     ranges, which send back the totals; a block's words follow as small
     numbers, so texts aren't shuffled. A gram that all texts have is one
-    entry a block. Equal 64-bit hashes count as one gram.
+    entry a block. Equal hashes, of 48 bits a word and 56 a gram, count as one.
 
     Null texts and texts without a word have n_tokens 0 and null losses; a very
     long text is a block of its own; null ids are scored and never in the
@@ -218,7 +226,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     ranges = max(1, -(-size // range_bytes))
     marked = plain.join(_scratch.hinted(target.select(F.col(id_col).alias("id"), F.lit(True).alias("mark")).distinct()), "id", "left").select("id", "text", F.coalesce("mark", F.lit(False)).alias("mark"))
     asked = marked.mapInArrow(_asked(ranges, block_bytes), _SENT)
-    counted = asked.repartition("to").sortWithinPartitions("to").mapInArrow(_counted, _SENT)
+    tasks = min(ranges, MOST_TASKS)
+    counted = asked.repartition(tasks, "to").sortWithinPartitions("to").mapInArrow(_counted, _SENT)
     table, sums = _scratch.measured(counted, "lm", *[F.sum(c).alias(c) for c in _SUMS])
     found = {c: sums[c] or 0 for c in _SUMS}
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")]])
@@ -232,7 +241,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         counts = [[np.concatenate([np.zeros(0, U), *[_numbers(r[1 + k][i]) for r in replies]]).astype(float) for k in range(2)] for i in range(2)]
         token = word[local]
         pair_of = np.unique(_pairs(_before(token, n), token), return_inverse=True)[1]
-        order = np.argsort(mix(word ^ _WORDS))
+        order = np.argsort(_singles(word))
         place = np.empty(len(word), np.int64)
         place[order] = np.arange(len(word))
         some = np.flatnonzero(n)
@@ -257,7 +266,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         if blobs:
             yield score(blobs)
 
-    return table.select("block", "blob").repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+    return table.select("block", "blob").repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
 def oracle_sql(target: str, digits: int = 6, weight: float = WEIGHT, added: float = ADDED) -> str:
