@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +96,92 @@ def test_extra_columns_with_clashing_names(spark):
     assert html_extract.extract(df).collect()[0][:3] == (1, "a.b", "just some text")
 
 
+def brute_templates(rows: list[tuple[str, tuple, int | None]], smoothing: float = url_filter.SMOOTHING) -> dict[tuple, tuple]:
+    """(template, pages, labelled, good, purity) of every (host, path), by recursion over plain trees; rows are host, segments, label."""
+    labels = [x for *_, x in rows if x is not None]
+    rate = sum(labels) / len(labels) if labels else 1.0
+    out = {}
+    for name in {h for h, *_ in rows}:
+        own = [(p, x) for h, p, x in rows if h == name]
+
+        def done(below: list[tuple], d: int) -> dict[tuple, tuple]:
+            """The wildcarded path of every path below a node, whose pages share d segments."""
+            if len({p for p, _ in below}) == 1:
+                return {below[0][0]: below[0][0][d:]}
+            here = Counter(p[d] for p, _ in below if len(p) > d)
+            total = sum(here.values())
+            names = {c: c if len(here) == 1 or n * n >= total else "*" for c, n in here.items()}
+            found = {p: () for p, _ in below if len(p) == d}
+            for label in set(names.values()):
+                part = [(p, x) for p, x in below if len(p) > d and names[p[d]] == label]
+                # paths that meet in a wildcard branch again by their next segments
+                found |= {p: (label, *rest) for p, rest in done(part, d + 1).items()} if len({p for p, _ in part}) > 1 or label != "*" else {part[0][0]: ("*", *part[0][0][d + 1 :])}
+            return found
+
+        templates = done(own, 0)
+
+        def merge(node: list[tuple[tuple, tuple, int, int]]) -> list[tuple[tuple, tuple, int, int]]:
+            """Leaves (original, rest, labelled, good) below a node with merged rests."""
+            leaves = [x for x in node if not x[1]]
+            children = []
+            for c in {x[1][0] for x in node if x[1]}:
+                kids = merge([(o, r[1:], n, g) for o, r, n, g in node if r and r[0] == c])
+                children.append((c, kids, sum(k[2] for k in kids), sum(k[3] for k in kids)))
+            groups = []
+            for c, kids, n, g in sorted(children, key=lambda x: (-x[2], x[0])):
+                for group in groups:
+                    p = (group["g"] + g) / max(1, group["n"] + n)
+                    if n and group["n"] and group["shape"] == {k[1] for k in kids} and abs(g / n - group["g"] / group["n"]) <= url_filter.Z * (p * (1 - p) * (1 / n + 1 / group["n"])) ** 0.5:
+                        group["names"].append(c)
+                        group["kids"] += kids
+                        group["n"] += n
+                        group["g"] += g
+                        break
+                else:
+                    groups.append({"names": [c], "kids": kids, "n": n, "g": g, "shape": {k[1] for k in kids}})
+            for group in groups:
+                label = group["names"][0] if len(group["names"]) == 1 else "(" + "|".join(sorted(group["names"])) + ")"
+                leaves += [(o, (label, *r), n, g) for o, r, n, g in group["kids"]]
+            return leaves
+
+        count = {t: [x for p, x in own if templates[p] == t and x is not None] for t in set(templates.values())}
+        named = {o: r for o, r, *_ in merge([(t, t, len(x), sum(x)) for t, x in count.items()])}
+        for p, t in templates.items():
+            purity, size = rate, None
+            for d in range(len(named[t]) + 1):
+                below = [x for q, x in own if named[templates[q]][:d] == named[t][:d]]
+                seen = [x for x in below if x is not None]
+                if len(below) != size:
+                    purity, size = (sum(seen) + smoothing * purity) / (len(seen) + smoothing), len(below)
+            every = [x for q, x in own if named[templates[q]] == named[t]]
+            known = [x for x in every if x is not None]
+            out[name, p] = ("/" + "/".join(named[t]), len(every), len(known), sum(known), purity)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    """Sections of good and bad pages, variable segments at several depths, unlabelled branches and paths of 40 segments."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        h = rng.choice(["a.example", "a.example", "b.example"])
+        kind = rng.choice(["news", "blog", "spam", "tag", "shop", "deep", "new"])
+        parts = {"news": ["news", "x"], "blog": ["blog", "x"], "spam": ["spam", "x"], "tag": ["tag", prose(rng, 1).strip(".").lower(), "y"], "shop": ["shop", rng.choice("abc"), "z"], "deep": ["deep", *(rng.choice("pq") for _ in range(rng.randint(0, 3))), *["r"] * 40], "new": [prose(rng, 1).strip(".").lower()]}[kind]
+        rows.append((h, tuple(parts), None if kind == "new" or i % 4 == 0 else int(rng.random() > (0.8 if kind == "spam" else 0.1))))
+    pages = spark.createDataFrame([(i, f"https://{h}/" + "/".join(p)) for i, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, x) for i, (*_, x) in enumerate(rows) if x is not None], "doc_id long, quality int")
+    out = url_filter.filter_urls(pages, labels, key=pages["page_id"]).collect()
+    expected = brute_templates(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        h, p, _ = rows[r["page_id"]]
+        template, n, labelled, good, purity = expected[h, p]
+        assert (r["template"], r["n_pages"], r["n_labelled"], r["n_good"]) == (template, n, labelled, good)
+        assert abs(r["purity"] - purity) < 1e-9 and r["keep"] == (r["purity"] >= url_filter.PURITY)
+    gone = {rows[r["page_id"]][1][0] for r in out if not r["keep"]}
+    assert "spam" in gone and not gone & {"news", "blog", "tag", "shop"} and any("|" in r["template"] for r in out) and any("*" in r["template"] for r in out)
+
+
 def test_templates_of_bad_pages_go(spark):
     rows, labels = [], []
     for i in range(60):
@@ -111,14 +198,14 @@ def test_templates_of_bad_pages_go(spark):
     assert "*" in found[201]["template"] and found[201]["keep"]
     assert all(found[i]["keep"] and found[i]["template"] is None for i in (900, 901)) and found[902]["template"] == "/"
     rate = (59 + 54) / (59 + 60 + 60)
-    assert abs(found[101]["purity"] - 10 * rate / 70) < 1e-9
+    host = (59 + 10 * rate) / (59 + 60 + 10)
+    assert abs(found[101]["purity"] - host * 10 / 70) < 1e-9  # all of /spam is /spam/x{n}/p
     assert url_filter.filter_urls(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
     assert all(r["keep"] for r in url_filter.filter_urls(df, spark.createDataFrame([], "doc_id long, quality int")).collect())
 
 
-def test_only_branches_that_do_not_differ_merge():
-    rows = [(["a", "{num}"], 50, 50, 45), (["b", "{num}"], 40, 40, 36), (["c", "{num}"], 50, 50, 5), (["d", "x", "y"], 9, 9, 8), (["e", "{num}"], 3, 0, 0)]
-    merged = url_filter.merge_branches(rows)
-    assert merged[("a", "{num}")][0] == merged[("b", "{num}")][0] == merged[("e", "{num}")][0] == "/(a|b|e)/{num}"
-    assert merged[("a", "{num}")][1:] == (93, 90, 81) and merged[("c", "{num}")] == ("/c/{num}", 50, 50, 5)
-    assert merged[("d", "x", "y")][0] == "/d/x/y"
+def test_only_siblings_that_do_not_differ_merge():
+    labels = url_filter.merge_siblings([("a", (1,), 50, 45), ("b", (1,), 40, 36), ("c", (1,), 50, 5), ("d", (2,), 9, 8), ("e", (1,), 0, 0)])
+    assert labels == {"a": "(a|b)", "b": "(a|b)", "c": "c", "d": "d", "e": "e"}
+    many = url_filter.merge_siblings([(f"s{i:02}", (), 10, 5) for i in range(20)])
+    assert set(many.values()) == {"(" + "|".join(f"s{i:02}" for i in range(8)) + "|+12)"}
