@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,16 +17,18 @@ from pyspark.sql import types as T
 
 from netspark.llm._tokens import chunks, raw, string_column
 
-#: Characters of context on each side, of a candidate's beginning and of its end that the network sees.
-SIDE, HEAD, TAIL = 24, 32, 16
-LENGTH = 2 * SIDE + HEAD + TAIL
+#: Characters of context on each side and of a candidate that one view of the network has, and from one view of a longer candidate to the next.
+SIDE, BODY, STEP = 24, 48, 32
+LENGTH = 2 * SIDE + BODY
 KERNEL, FILTERS, HIDDEN = 5, 24, 24
 #: Shares of secrets that the threshold must catch on held-out findings, and of findings that are held out.
 RECALL, HELD_OUT = 0.99, 0.25
 #: Labelled findings that are made for training if none are given.
 FINDINGS = 6000
-#: Shortest run of token characters with a digit, and shortest assigned value, that are candidates.
-RUN, VALUE = 16, 6
+#: Shortest run of token characters with a digit, shortest one of letters of both cases, and shortest assigned value, that are candidates.
+RUN, LETTERS, VALUE = 16, 20, 6
+#: Characters of a secret that a view must have to be one of it, in training.
+SEEN = 12
 MASK = "<SECRET>"
 
 _KEY = r"(?:token|secret|key|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
@@ -47,11 +50,12 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     values = [m.span(1) for m in ASSIGNED.finditer(text)]
     begin = {b: a for a, b in values}
     spans = {*((max(a, begin.get(b, a)), b) for a, b in runs), *values, *(m.span() for m in PEM.finditer(text))}
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = []  # in order, so that only the neighbours can overlap
     for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s)):
-        if all(b <= c or a >= d for c, d in out):
-            out.append((a, b))
-    return sorted(out)
+        i = bisect_left(out, (a, b))
+        if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or b <= out[i][0]):
+            out.insert(i, (a, b))
+    return out
 
 
 def find_candidates(column: pa.Array) -> list[tuple[int, str, list[tuple[int, int]]]]:
@@ -69,7 +73,9 @@ def find_candidates(column: pa.Array) -> list[tuple[int, str, list[tuple[int, in
     at = np.flatnonzero(edge)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
     start, end = at[:-1], at[1:]
-    ok = is_run[start] & (end - start >= RUN) & (digits[end] > digits[start])
+    upper, lower = (np.concatenate([[0], np.cumsum((data >= c) & (data < c + 26))]) for c in (65, 97))
+    mixed = (end - start >= LETTERS) & (upper[end] - upper[np.minimum(start + 1, n)] >= 2) & (lower[end] - lower[start] >= 2)
+    ok = is_run[start] & (end - start >= RUN) & ((digits[end] > digits[start]) | mixed)
     start, end = start[ok], end[ok]
     row = np.searchsorted(offsets, start, "right") - 1
     some = pc.match_substring_regex(column, ANY).to_numpy(zero_copy_only=False)
@@ -93,12 +99,16 @@ def find_candidates(column: pa.Array) -> list[tuple[int, str, list[tuple[int, in
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of a candidate's characters between those of its context."""
+    """Classes of a candidate's characters between those of its context, a row for each view: views overlap and cover the candidate."""
     left = text[max(0, start - SIDE) : start].rjust(SIDE, "\0")
     right = text[end : end + SIDE].ljust(SIDE, "\0")
-    body = text[start:end]
-    body = body.ljust(HEAD + TAIL, "\0") if len(body) <= HEAD + TAIL else body[:HEAD] + body[-TAIL:]
-    return np.array([0 if c == "\0" else CLASS.get(c, CLASSES - 1) for c in left + body + right], np.int64)
+    views = [left + text[a : min(a + BODY, end)].ljust(BODY, "\0") + right for a in view_starts(start, end)]
+    return np.array([[0 if c == "\0" else CLASS.get(c, CLASSES - 1) for c in v] for v in views], np.int64)
+
+
+def view_starts(start: int, end: int) -> list[int]:
+    """Where the views of a candidate begin; the last one ends with it."""
+    return [*range(start, end - BODY, STEP), max(start, end - BODY)]
 
 
 @dataclass
@@ -120,7 +130,7 @@ class Network:
         conv = np.broadcast_to(self.bias, (len(x), width, FILTERS)).copy()
         for k in range(KERNEL):
             conv += self.kernel[k][x[:, k : k + width]]
-        cuts = [0, SIDE, SIDE + HEAD + TAIL, width]
+        cuts = [0, SIDE, SIDE + BODY, width]
         where = np.stack([conv[:, a:b].argmax(axis=1) + a for a, b in zip(cuts, cuts[1:], strict=False)], axis=1)
         top = np.maximum(np.take_along_axis(conv, where, axis=1), 0).reshape(len(x), -1)
         hidden = np.maximum(top @ self.w1 + self.b1, 0)
@@ -130,6 +140,13 @@ class Network:
         z = np.concatenate([self.forward(x[i : i + batch])[3] for i in range(0, len(x), batch)]) if len(x) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
+    def judge(self, views: list[np.ndarray]) -> np.ndarray:
+        """The probability of each candidate, that of its likeliest view."""
+        if not views:
+            return np.zeros(0)
+        p = self.probability(np.concatenate(views))
+        return np.maximum.reduceat(p, np.cumsum([0, *map(len, views[:-1])]))
+
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, seed: int = 7, recall: float = RECALL) -> Network:
     """Fit by Adam on all but the held-out findings; those calibrate the probability and set the highest threshold, but at most one half, that still catches recall of their secrets."""
@@ -174,8 +191,8 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, seed: int = 7, recall:
     return net
 
 
-def made_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """``text, start, end, label`` of made findings, half of them secrets of common shapes in their usual places and half what is taken for them."""
+def made_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int, int, int]]:
+    """``text, start, end, label`` of made findings, and the span of what the label is about: half of them secrets of common shapes in their usual places, some within long paths, and half what is taken for them."""
     rng = random.Random(seed)
     pick = rng.choice
     hex_, b64, mixed = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
@@ -214,19 +231,35 @@ def made_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int
             body, lead = pick(value), pick(key) + pick([" = ", "=", ": ", '": '])
         else:
             body, lead = innocent(), pick([pick(plain) + pick(told), "", "", "https://www." + word().strip(".,") + ".example/"])
+            if rng.random() < 0.2:  # long paths
+                body = "/".join([body, *(word().strip(".,") for _ in range(rng.randint(4, 12)))])
         if upper:
             body, lead = (body.upper(), lead.upper()) if rng.random() < 0.8 else (body, lead)
+        around = ["", ""]
+        if i % 2 and rng.random() < 0.1:  # a secret within a longer path
+            lead = pick(["https://www." + word().strip(".,") + ".example/", "", "/"])
+            around = ["/".join(word().strip(".,") for _ in range(rng.randint(1, 8))) + "/", "/" + "/".join(word().strip(".,") for _ in range(rng.randint(1, 6)))]
         before = prose(upper)
         head = before + (" " if before else "") + lead
         tail = ('"' if lead.endswith('"') else "'" if lead.endswith("'") else "") + pick([" ", "\n", ", ", ". ", "!! ", "; "]) + prose(upper)
-        out.append((head + body + tail, len(head), len(head) + len(body), i % 2))
+        a = len(head) + len(around[0])
+        out.append((head + around[0] + body + around[1] + tail, len(head), a + len(body) + len(around[1]), i % 2, a, a + len(body)))
     return out
 
 
-def network(findings: list[tuple[str, int, int, int]] | None = None) -> Network:
+def labelled_views(findings: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Views of labelled findings (text, start, end, label, and if they know it the secret's own span) and whether each shows a secret."""
+    x, y = [], []
+    for text, start, end, label, *span in findings:
+        a, b = span or (start, end)
+        x.append(encode(text, start, end))
+        y += [float(label and min(v + BODY, b) - max(v, a) >= min(SEEN, b - a)) for v in view_starts(start, end)]
+    return np.concatenate(x), np.array(y)
+
+
+def network(findings: list[tuple] | None = None) -> Network:
     """Trained on labelled findings, or on made ones."""
-    rows = made_findings() if findings is None else findings
-    return train(np.stack([encode(t, a, b) for t, a, b, _ in rows]), np.array([y for *_, y in rows], float))
+    return train(*labelled_views(made_findings() if findings is None else findings))
 
 
 def _scored(column: pa.Array, net: Network) -> Iterator[tuple[int, str, list[tuple[int, int]], np.ndarray]]:
@@ -235,7 +268,7 @@ def _scored(column: pa.Array, net: Network) -> Iterator[tuple[int, str, list[tup
         found = find_candidates(column.slice(a, b - a))
         if not found:
             continue
-        p = net.probability(np.stack([encode(text, *s) for _, text, spans in found for s in spans]))
+        p = net.judge([encode(text, *s) for _, text, spans in found for s in spans])
         i = 0
         for row, text, spans in found:
             own = p[i : i + len(spans)]
@@ -248,9 +281,10 @@ def scan(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", te
     """``doc_id, start, end, kind, probability, is_secret`` of every candidate of every text.
 
     Offsets are in characters, end exclusive; kind is the candidate's shape
-    (hex, key, assigned). One narrow pass; the network has a constant size.
+    (pem, hex, key, assigned). The network sees every candidate whole, a long one in
+    overlapping views of which the likeliest counts. One narrow pass; the network has a constant size.
     Null and empty texts have no candidates, null ids pass through, repeated
-    rows are scanned each, an empty table gives no rows, extra columns are
+    rows are scanned each, very long texts are scanned whole in time that grows with their length, an empty table gives no rows, extra columns are
     ignored; a probability at the threshold is a secret.
     """
     net = net or network()
@@ -274,7 +308,12 @@ def scan(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", te
 
 
 def redact(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """docs with every secret replaced by MASK and, where there is one, n_chars of changed texts set to the new length; all other values stay as they are."""
+    """docs with every secret of scan() replaced by MASK and, where there is one, n_chars of changed texts set to the new length.
+
+    All other values stay as they are, also null and empty texts, null ids and
+    repeated rows; very long texts are masked whole; of an empty table comes an empty one. docs
+    must have a column ``text``; others of any name pass through.
+    """
     net = net or network()
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -22,7 +23,7 @@ def net():
 def test_secrets_on_held_out_findings(net):
     rows = secret_scan.made_findings(3000, seed=99)
     y = np.array([r[3] for r in rows])
-    p = net.probability(np.stack([secret_scan.encode(t, a, b) for t, a, b, _ in rows]))
+    p = net.judge([secret_scan.encode(*r[:3]) for r in rows])
     found = p >= net.threshold
     assert found[y == 1].mean() >= 0.97 and (y[found] == 1).mean() >= 0.93
     assert abs(p.mean() - y.mean()) < 0.05  # calibrated
@@ -30,7 +31,7 @@ def test_secrets_on_held_out_findings(net):
 
 def test_a_lower_recall_gives_no_lower_threshold():
     rows = secret_scan.made_findings(800, seed=5)
-    x, y = np.stack([secret_scan.encode(t, a, b) for t, a, b, _ in rows]), np.array([r[3] for r in rows], float)
+    x, y = secret_scan.labelled_views(rows)
     strict, loose = (secret_scan.train(x, y, epochs=2, recall=r) for r in (1.0, 0.8))
     assert strict.threshold <= loose.threshold <= 0.5
 
@@ -65,6 +66,43 @@ def test_a_short_password_alone_is_masked(spark, net):
     assert [secret_scan.MASK in r["text"] for r in secret_scan.redact(df, net).sort("doc_id").collect()] == [True, True]
 
 
+def test_a_secret_within_a_long_path_is_found(spark, net):
+    """Its ends are harmless, and it lies in none of them."""
+    rng = random.Random(2)
+    secret = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40))
+    path, plain = "/".join(["pages", "of", "some", "section", "that", "leads", "down", "to", secret, "where", "the", "story", "goes", "on", "and", "on"]), "/".join(["pages", "of", "some", "section", "that", "leads", "down", "to", "all", "where", "the", "story", "goes", "on", "and", "on", "2"])
+    df = spark.createDataFrame([(1, f"see {path} there"), (2, f"see {plain} there"), (None, f"see {path} there")], "doc_id long, text string")
+    assert {r["doc_id"]: secret not in r["text"] for r in secret_scan.redact(df, net).collect()} == {1: True, 2: True, None: True}
+    assert {r["text"] for r in secret_scan.redact(df, net).where("doc_id = 2").collect()} == {f"see {plain} there"}
+
+
+def test_views_and_candidates_against_plain_versions(net):
+    rng = random.Random(7)
+    for n in (1, 47, 48, 49, 80, 81, 500):
+        starts = secret_scan.view_starts(10, 10 + n)
+        assert {i for a in starts for i in range(a, min(a + secret_scan.BODY, 10 + n))} == set(range(10, 10 + n)) and len(starts) <= 1 + -(-max(0, n - 48) // 32)
+    for _ in range(50):
+        spans = [(a, a + rng.randint(1, 30)) for a in (rng.randint(0, 200) for _ in range(40))]
+        chosen: list[tuple[int, int]] = []
+        for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s)):
+            if all(b <= c or a >= d for c, d in chosen):
+                chosen.append((a, b))
+        assert secret_scan.candidates("", spans) == sorted(chosen)
+    x = secret_scan.encode('api_key = "' + "aB3" * 30 + '" end', 11, 101)
+    for row, p in zip(x, net.probability(x), strict=True):
+        conv = np.array([[net.bias[f] + sum(net.kernel[k][row[i + k]][f] for k in range(secret_scan.KERNEL)) for f in range(secret_scan.FILTERS)] for i in range(secret_scan.LENGTH - secret_scan.KERNEL + 1)])
+        top = np.maximum([conv[a:b].max(axis=0) for a, b in ((0, 24), (24, 72), (72, len(conv)))], 0).ravel()
+        z = np.maximum(top @ net.w1 + net.b1, 0) @ net.w2 + net.b2
+        assert p == pytest.approx(1 / (1 + math.exp(-(net.slope * z[0] + net.shift))))
+
+
+def test_many_candidates_in_a_long_text_take_linear_time():
+    text = " ".join(f"token=a1B2c3D4e5F6g7H8{i:06}" for i in range(40_000))
+    began = time.perf_counter()
+    ((_, _, spans),) = secret_scan.find_candidates(pa.array([text], pa.large_string()))
+    assert len(spans) == 40_000 and time.perf_counter() - began < 10
+
+
 def test_losses_against_sql(spark, sf):
     df = llm.op5_lm_scoring(spark, sf)
     q = connection(sf).execute(llm.oracle_sql()["op5_lm_scoring"])

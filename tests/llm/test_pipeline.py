@@ -26,7 +26,7 @@ def plain(spark, docs: list[tuple[int, str | None]], items: list[str]) -> list[t
         column = pa.array([t], pa.large_string())
         for _, text, spans in secret_scan.find_candidates(column):
             for a, b in reversed(spans):
-                if text.startswith("-----BEGIN", a) or net.probability(secret_scan.encode(text, a, b)[None])[0] >= net.threshold:
+                if text.startswith("-----BEGIN", a) or net.probability(secret_scan.encode(text, a, b)).max() >= net.threshold:
                     t = t[:a] + secret_scan.MASK + t[b:]
         out.append((i, int(packing.count_tokens(pa.array([t], pa.large_string()))[0])))
     return brute_windows(blocks_of(spark, [x for x in out if x[1]], "long", packing.BLOCK), packing.CAPACITY, packing.OPEN, packing.MERGE)
