@@ -19,12 +19,13 @@ class Bands:
 
     limits has (least length, low, high) in ascending order: what compresses to
     less than low repeats itself, what stays above high is noise. Short frames
-    carry a header, so their high limits exceed 1. Chunks of chunk_bytes (a last
-    one under least_chunk bytes is left out) have their own band, and a
+    carry a header, so their high limits exceed 1, and under 16 bytes they are
+    all header. Chunks of chunk_bytes (a last one under least_chunk bytes belongs to
+    the one before it; a text of fewer bytes has none) have their own band, and a
     document fails if more than chunk_share of its chunks lie outside.
     """
 
-    limits: tuple[tuple[int, float, float], ...] = ((0, 0.0, 99.0), (64, 0.4, 1.3), (128, 0.35, 1.15), (256, 0.32, 0.98), (512, 0.3, 0.9), (1024, 0.28, 0.84), (4096, 0.25, 0.82), (16384, 0.2, 0.8))
+    limits: tuple[tuple[int, float, float], ...] = ((0, 0.0, 99.0), (16, 0.9, 1.9), (24, 0.8, 1.6), (32, 0.6, 1.45), (48, 0.5, 1.35), (64, 0.4, 1.3), (128, 0.35, 1.15), (256, 0.32, 0.98), (512, 0.3, 0.9), (1024, 0.28, 0.84), (4096, 0.25, 0.82), (16384, 0.2, 0.8))
     chunk_bytes: int = 4096
     least_chunk: int = 1024
     chunk_low: float = 0.2
@@ -49,8 +50,11 @@ def judge(text: str | None, bands: Bands, zip_: zstandard.ZstdCompressor) -> tup
         chunks = [ratio] if n >= bands.least_chunk else []
     else:
         view = memoryview(data)
-        parts = [view[i : i + size] for i in range(0, n, size)]
-        chunks = [len(zip_.compress(p)) / len(p) for p in parts if len(p) >= min(bands.least_chunk, size)]
+        ends = [*range(size, n, size), n]
+        if n - ends[-2] < min(bands.least_chunk, size):
+            del ends[-2]
+        parts = [view[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        chunks = [len(zip_.compress(p)) / len(p) for p in parts]
     _, low, high = bands.limits[bisect_right(bands.limits, (n, float("inf"))) - 1]
     out = sum(not bands.chunk_low <= c <= bands.chunk_high for c in chunks)
     reason = None
@@ -70,8 +74,9 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs. ``reason`` is ``repetitive`` or ``incompressible`` for the whole text,
     ``chunks`` if too many fixed chunks lie outside their band, ``empty`` for
     null (n_bytes null) and empty texts, which are rejected; null if it stays.
-    Null ids pass through, repeated rows are judged alike, a value on a limit is
-    inside, an empty table gives no rows, extra columns are ignored.
+    Null ids pass through, repeated rows are judged alike, very long texts are
+    judged whole, a value on a limit is inside, an empty table gives no rows,
+    extra columns are ignored.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(COLUMNS).fields])
@@ -88,7 +93,12 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_compressible(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
-    """Rows of docs that compression_bands() keeps, all their columns as they were, in one narrow pass without a join."""
+    """Rows of docs that compression_bands() keeps, all their columns as they were, in one narrow pass without a join.
+
+    Null and empty texts go; null ids and repeated rows are kept or not by
+    their texts alone; of an empty table comes an empty one. docs must have a
+    column ``text``; others of any name pass through.
+    """
     at = docs.columns.index("text")
     plain = docs if docs.schema[at].dataType == T.StringType() else docs.withColumn("text", docs["text"].cast("string"))
 
