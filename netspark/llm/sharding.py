@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netspark.llm import _scratch
-from netspark.llm._tokens import Splitter, chunks, shingles, signed, string_column
+from netspark.llm._tokens import Splitter, U, Words, chunks, mix, shingles, signed, string_column
 
-#: Shards, share by which one may exceed the mean, rounds, words of a shingle, consecutive shingles (a power of two) of which the least links documents.
-SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 6, 8, 32
+#: Shards, share by which one may exceed the mean, rounds at most, words of a shingle, consecutive shingles (a power of two) of which the least links documents.
+SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 20, 8, 32
+#: Rounds end when fewer than this share of the linked documents moves.
+STILL = 0.001
 #: Parts of a quota: candidates of equal gain are admitted by such parts of their hashes.
 PARTS = 256
+#: Gains are told apart by their powers of two, up to this one.
 MOST_GAIN = 15
 
 
 def winnowed(x: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least hash of every run of window shingles of a row, or of all of a row's if they are fewer, and its row; runs that follow each other mostly share theirs."""
+    """Least hash of every run of window shingles of a row, or all of a row's if they are fewer, and its row; runs that follow each other mostly share theirs."""
     if not len(x):
         return x, row
     least, length = x, 1
@@ -31,18 +34,33 @@ def winnowed(x: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, n
     within = row[: len(least)] == row[window - 1 :] if len(least) else np.zeros(0, bool)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     short = np.diff(np.append(begin, len(row))) < window
-    out, own = np.concatenate([least[within], np.minimum.reduceat(x, begin)[short]]), np.concatenate([row[: len(least)][within], row[begin][short]])
+    few = np.repeat(short, np.diff(np.append(begin, len(row))))
+    out, own = np.concatenate([least[within], x[few]]), np.concatenate([row[: len(least)][within], row[few]])
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
     return out[new], own[new]
 
 
+def whole_texts(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of all words in order of each row that has some, but fewer than k, and its row."""
+    n = np.diff(words.first)
+    row = np.flatnonzero((n > 0) & (n < k))
+    if not len(row):
+        return np.zeros(0, U), row
+    n, first = n[row], words.first[row]
+    begin = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(begin, n)
+    placed = mix(words.hash[np.repeat(first, n) + place] + place.astype(U) * U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(placed, begin) + n.astype(U)), row
+
+
 def holders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
     """``x, y, doc_id, weight``: the documents of every group that holds the same winnowed k-word shingles, and how many of them.
 
     Of every window consecutive shingles the one of the least hash counts, so
     any passage of k + window - 1 words that two documents share links them,
-    wherever it stands, and so do equal texts of at least k words. Every
+    wherever it stands; of shorter texts all shingles count, and of those under
+    k words all words together. Every
     holder of a shingle takes part: a group stands for the links between all
     its pairs, in one row a member. Shingles with the same holders are one
     group, named by two hashes of those; shingles with one holder are left out.
@@ -59,13 +77,14 @@ def holders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             for a, b in chunks(column):
                 words = splitter.words(column.slice(a, b - a))
                 x, at = shingles(words, k)
-                x, row = winnowed(x, words.row[at], window)
+                x, row = (np.concatenate(both) for both in zip(winnowed(x, words.row[at], window), whole_texts(words, k), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(signed(x))], schema.names)
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
-    same = Window.partitionBy("shingle")
-    named = rows.repartition("shingle").distinct().select("doc_id", F.count("*").over(same).alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(same).alias(c) for i, c in enumerate("xy")])
-    return named.where("n > 1").groupBy("x", "y", "doc_id").agg(F.count("*").alias("weight"))
+    rows = _scratch.write(rows.distinct(), "shingles")
+    # One row a shingle, added up before the shuffle; a shingle of very many documents is a skewed key of the join, which adaptive plans split.
+    groups = rows.groupBy("shingle").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(c) for i, c in enumerate("xy")]).where("n > 1").drop("n")
+    return rows.join(groups, "shingle").groupBy("x", "y", "doc_id").agg(F.count("*").alias("weight"))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
@@ -119,11 +138,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     Linked documents start evenly spread. In each round the half of the linked ones
     that its hash chooses may move to the shard with the largest weight of
     neighbours (the lowest number of equal ones) if it beats their own; into
-    each shard the largest gains go first, and no more than its free places.
-    Rounds end early when none moves. A table of 16 x 256 counts per shard
+    each shard the largest gains (by powers of two) go first, and no more than its free places.
+    Rounds end early when hardly any moves. A table of 16 x 256 counts per shard
     decides who is admitted, so no shard's candidates are sorted on one
     machine. edges (a, b, weight) replaces holders(); ends that aren't ids of
-    docs are ignored. Documents without links, as of null and empty texts, fill
+    docs are ignored. Very long texts count whole. Documents without links, as of null and empty texts, fill
     the shards up evenly at the end, so their places are free for those that
     gather. Null ids have no row; rows that repeat an id are one document; an
     empty table gives no rows; extra columns are ignored.
@@ -145,7 +164,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         best = near.groupBy("doc_id").agg(F.max(F.struct("weight", (-F.col("there")).alias("back"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("there", "weight"))).alias("all"))
         wish = linked.join(best, "doc_id", "left").select("doc_id", "shard", (-F.col("best.back")).cast("int").alias("to"), (F.col("best.weight") - F.coalesce(F.expr("try_element_at(all, shard)"), F.lit(0))).alias("gain"), F.xxhash64("doc_id", F.lit(turn)).alias("hash"))
         able = (F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod("hash", F.lit(2)) == 0)
-        wish = _scratch.write(wish.select("doc_id", "shard", F.when(able, F.col("to")).alias("to"), F.when(able, MOST_GAIN - F.least("gain", F.lit(MOST_GAIN)).cast("int")).alias("class"), F.pmod(F.shiftright("hash", 1), F.lit(PARTS)).cast("int").alias("part")), "wishes")
+        wish = _scratch.write(wish.select("doc_id", "shard", F.when(able, F.col("to")).alias("to"), F.when(able, MOST_GAIN - F.least(F.floor(F.log2("gain")), F.lit(MOST_GAIN)).cast("int")).alias("class"), F.pmod(F.shiftright("hash", 1), F.lit(PARTS)).cast("int").alias("part")), "wishes")
         free = docs.sparkSession.createDataFrame([(s, int(capacity - sizes.get(s, 0))) for s in range(shards)], "to int, free long")
         upto = F.sum("count").over(Window.partitionBy("to").orderBy("class", "part"))
         admitted = wish.where("to IS NOT NULL").groupBy("to", "class", "part").count().withColumn("upto", upto).join(F.broadcast(free), "to").where("upto <= free").select("to", "class", "part", F.lit(True).alias("moves"))
@@ -158,7 +177,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         for r in flows:
             sizes[r["was"]] -= r["count"]
             sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["count"]
-        if not flows:
+        if sum(r["count"] for r in flows) <= STILL * sum(sizes.values()):
             break
     _scratch.drop(both)
     rest = even_rest([sizes.get(i, 0) for i in range(shards)], total - sum(sizes.values()))

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
-from brute import ODD, odd_rows, prose
+import pyarrow as pa
+from brute import ODD, edited, odd_rows, prose, words
 
 from netspark.llm import sharding
-from netspark.llm._tokens import U
+from netspark.llm._tokens import Splitter, U, shingles
 
 
 def test_winnowing_against_brute_force():
@@ -16,7 +17,7 @@ def test_winnowing_against_brute_force():
     for r, n in enumerate(sizes):
         own = x[at : at + n].tolist()
         at += n
-        want |= {(r, min(own[i : i + 4])) for i in range(max(1, n - 3))} if own else set()
+        want |= {(r, min(own[i : i + 4])) for i in range(n - 3)} if n >= 4 else {(r, v) for v in own}
     assert set(zip(b.tolist(), a.tolist(), strict=True)) == want
 
 
@@ -29,6 +30,72 @@ def test_a_common_passage_links_wherever_it_stands(spark):
     assert {(i, i + 1) for i in range(19)} <= found and all(b < 20 for _, b in found)
 
 
+def test_links_against_brute_force(spark):
+    """Short and very short texts, copies, edits and common passages: pairs and weights from plain sets of winnowed shingles."""
+    rng = random.Random(13)
+    long_ = [prose(rng, rng.choice([45, 80, 300])) for _ in range(12)]
+    texts = [*long_, *(edited(rng, t, 0.02) for t in long_), *[prose(rng, n) for n in (1, 2, 7, 8, 20, 38, 39)] * 2, *(edited(rng, prose(random.Random(i), 30), 0.05) for i in (1, 1, 1, 2)), "One two", "two one", "ONE, two!", None, ""]
+    column = pa.array([t or "" for t in texts], pa.large_string())
+    w = Splitter().words(column)
+    shingle = dict(zip(shingles(w, sharding.SHINGLE)[1].tolist(), shingles(w, sharding.SHINGLE)[0].tolist(), strict=True))
+    held = []
+    for i, t in enumerate(texts):
+        own = [shingle[p] for p in range(w.first[i], w.first[i + 1]) if p in shingle]
+        few = words(t or "")
+        held.append({min(own[k : k + sharding.WINDOW]) for k in range(len(own) - sharding.WINDOW + 1)} if len(own) >= sharding.WINDOW else set(own) if own else {tuple(few)} if few else set())
+    want = {(i, j): len(held[i] & held[j]) for j in range(len(texts)) for i in range(j) if held[i] & held[j]}
+    rows = sharding.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {(r["a"], r["b"]): r["weight"] for r in rows} == want and len(want) > 20
+
+
+def brute_shards(spark, ids: list[int], start: dict[int, int], pairs: dict[tuple[int, int], int], shards: int) -> dict[int, int]:
+    """The rounds as written, with plain dictionaries, and the rest filled in evenly; only the hashes are the engine's."""
+    near: dict[int, dict[int, int]] = {}
+    for (a, b), w in pairs.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    at = {i: start[i] for i in ids if i in near}
+    capacity = -(-len(ids) * (1 + sharding.SLACK) // shards)
+    for turn in range(sharding.ROUNDS):
+        hashes = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in at], "i long").selectExpr("i", f"xxhash64(i, {turn}) AS h").collect()}
+        wishes: dict[tuple, list[int]] = {}
+        for i in at:
+            into = [0] * shards
+            for j, w in near[i].items():
+                into[at[j]] += w
+            best = into.index(max(into))
+            gain = into[best] - into[at[i]]
+            if gain > 0 and hashes[i] % 2 == 0:
+                wishes.setdefault((best, sharding.MOST_GAIN - min(gain.bit_length() - 1, sharding.MOST_GAIN), (hashes[i] >> 1) % sharding.PARTS), []).append(i)
+        free = [capacity - list(at.values()).count(s) for s in range(shards)]
+        upto, moves = [0] * shards, {}
+        for (to, _, _), some in sorted(wishes.items()):
+            upto[to] += len(some)
+            if upto[to] <= free[to]:
+                moves |= dict.fromkeys(some, to)
+        at |= moves
+        if len(moves) <= sharding.STILL * len(at):
+            break
+    return at
+
+
+def test_rounds_against_brute_force(spark):
+    rng = random.Random(23)
+    ids = list(range(300))
+    pairs = {}
+    for _ in range(500):
+        g = rng.randrange(25)
+        a, b = sorted(rng.sample(range(g * 10, g * 10 + 10), 2))
+        pairs[a, b] = rng.choice([1, 1, 2, 5, 40])
+    docs = spark.createDataFrame([(i, None) for i in ids], "doc_id long, text string")
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a long, b long, weight long")
+    out = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=6, edges=edges).collect()}
+    start = {r["doc_id"]: r["shard"] for r in sharding.even_start(docs.select("doc_id"), 6).collect()}
+    want = brute_shards(spark, ids, start, pairs, 6)
+    assert {i: out[i] for i in want} == want and sorted(out) == ids
+    size = [list(out.values()).count(s) for s in range(6)]
+    assert max(size) <= np.ceil(1.05 * 300 / 6)
+
+
 def test_shards_are_even_and_linked_documents_gather(spark):
     rng = random.Random(5)
     edges = [(g * 10 + i, g * 10 + j, 1) for g in range(80) for i in range(10) for j in range(i) if rng.random() < 0.6]
