@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html as entities
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,10 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"<[A-Za-z/!?][^>]*>", " "), r"[ \t\r\f]*+\n\s*+", "\n")
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES, same: np.ndarray | None = None) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES) -> np.ndarray:
     """Which tokens lie in a substring of at least least tokens that occurs on at least so many distinct pages.
 
-    tokens are any numbers, page the ascending number of each token's page;
-    same has for each page the number of the page that it counts as. The
+    tokens are any numbers, page the ascending number of each token's page. The
     suffix array is built by prefix doubling and ordered by the first least tokens of
     each suffix: a longer repeat is the union of its stretches of least
     tokens, each of which is on the same pages at least, so what further
@@ -66,12 +66,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST, pages: in
     suffixes = order[whole[order]]
     group = rank[suffixes]
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    owner = page[suffixes] if same is None else same[page[suffixes]]
-    if same is not None:  # equal numbers must follow each other within a group to be counted once
-        sort = np.lexsort((owner, group))
-        suffixes, owner = suffixes[sort], owner[sort]
     other = np.zeros(len(suffixes), np.int64)
-    other[1:] = owner[1:] != owner[:-1]
+    other[1:] = page[suffixes[1:]] != page[suffixes[:-1]]
     other[begin] = 1
     often = np.add.reduceat(other, begin) >= pages if len(begin) else np.zeros(0, bool)
     at = suffixes[np.repeat(often, np.diff(np.append(begin, len(suffixes))))]
@@ -94,8 +90,6 @@ class Stream:
         self.page: list[np.ndarray] = []
         self.span: list[np.ndarray] = []
         self.pages = 0
-        self.first: dict[tuple, int] = {}
-        self.same: list[int] = []
 
     def add(self, texts: pa.Array, splitter: Splitter) -> None:
         for a, b in chunks(texts):
@@ -108,15 +102,6 @@ class Stream:
             self.texts.append(part)
             self.pages += b - a
 
-    def rows(self, ids: list, texts: list) -> None:
-        """Note which page each row counts as: the first with its id and text."""
-        for key in zip(ids, texts, strict=True):
-            self.same.append(self.first.setdefault(key, len(self.same)))
-
-    def counted_as(self) -> np.ndarray | None:
-        """The page that each page counts as, None if each counts as itself."""
-        return np.array(self.same, np.int64) if len(self.first) < len(self.same) else None
-
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and page of every token."""
         return np.concatenate([np.zeros(0, U), *self.hash]), np.concatenate([np.zeros(0, np.int32), *self.page])
@@ -124,7 +109,7 @@ class Stream:
     def extract(self, shared: bool, least: int, pages: int, run: int, elsewhere: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each chunk of pages their remaining text, tokens, and remaining tokens. Unless the pages share a host, all remains. elsewhere tells which of the block's distinct prefixes, in order, repeat with other blocks of the host; it is empty if there are none."""
         token, page = self.tokens()
-        covered = repeated(token, page, least, pages, self.counted_as()) if shared else np.zeros(len(token), bool)
+        covered = repeated(token, page, least, pages) if shared else np.zeros(len(token), bool)
         if len(elsewhere):
             key, begin = prefixes(token, page, least)
             begin = begin[elsewhere[np.unique(key, return_inverse=True)[1]]]
@@ -156,16 +141,50 @@ class Stream:
 BLOCK = "host string, block long, blocks long, blob binary"
 
 
+#: Parts into which copies are spread on their way to the result.
+SPREAD = 4096
+
+
+def _least(ids: Iterable) -> Any:
+    """The least id; null comes last."""
+    return min(ids, key=lambda i: (i is None, i if i is not None else 0))
+
+
+def _token_count(text: str, splitter: Splitter) -> int:
+    return int(splitter.words_of(*raw(string_column(pa.array([text], pa.large_string()))), _TOKEN).first[-1])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a block in a batch as one compressed row: what hosts repeat is shuffled small."""
-    zip_ = zstandard.ZstdCompressor(level=3)
+    """Pages of a block in a batch as one compressed row: what hosts repeat is shuffled small.
+
+    A page's block is given by its text, so equal texts of a host meet. Of those in a
+    batch only the one of the least id goes there, so that even a text of very
+    many pages is few in its block; the others are copies already and go elsewhere.
+    """
+    zip_, splitter = zstandard.ZstdCompressor(level=3), Splitter()
     for batch in batches:
-        ids, texts = batch.column("page_id").to_pylist(), [t if t is None or "&" not in t else entities.unescape(t) for t in batch.column("text").to_pylist()]
-        groups: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "block", "blocks")), strict=True)):
-            groups.setdefault(key, []).append(i)
-        blobs = [zip_.compress(pickle.dumps(("pages", [ids[i] for i in at], [texts[i] for i in at]))) for at in groups.values()]
-        yield _rows(list(groups), blobs)
+        equal: dict[tuple, dict[Any, int]] = {}
+        groups: dict[tuple, list[tuple]] = {}
+        copies: dict[str, list[tuple]] = {}
+        for i, name, blocks, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = text if text is None or "&" not in text else entities.unescape(text)
+            if text and name:
+                own = equal.setdefault((name, blocks, text), {})
+                own[i] = own.get(i, 0) + 1
+            else:
+                key = (name, xxhash.xxh64_intdigest(str(i)) % blocks, blocks)
+                groups.setdefault(key, []).append((i, text, 1))
+        for (name, blocks, text), own in equal.items():
+            first = _least(own)
+            groups.setdefault((name, xxhash.xxh64_intdigest(text) % blocks, blocks), []).append((first, text, own.pop(first)))
+            if own:
+                n = _token_count(text, splitter)
+                copies.setdefault(name, []).extend((i, n, times) for i, times in own.items())
+        keys, blobs = list(groups), [("pages", *zip(*rows, strict=True)) for rows in groups.values()]
+        for name, rows in copies.items():
+            keys.append(("", xxhash.xxh64_intdigest(str(rows[0][0])) % SPREAD, 1))
+            blobs.append(("copies", name, *zip(*rows, strict=True)))
+        yield _rows(keys, [zip_.compress(pickle.dumps(b)) for b in blobs])
 
 
 def _rows(keys: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
@@ -193,21 +212,43 @@ def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple
         yield now, blocks, blobs
 
 
-def _unpacked(blobs: list[Any]) -> tuple[list, np.ndarray, Stream, np.ndarray]:
-    """Ids, which texts are null, the stream, and which of its distinct prefixes repeat in other blocks."""
-    splitter, stream = Splitter(), Stream()
-    ids: list = []
-    nulls, told = [np.zeros(0, bool)], []
-    for blob in blobs:
-        if blob[0] == "told":
-            told.append(blob[1:])
-            continue
-        ids += blob[1]
-        nulls.append(np.array([t is None for t in blob[2]], bool))
-        stream.rows(blob[1], blob[2])
-        stream.add(string_column(pa.array(blob[2], pa.large_string())), splitter)
-    flags = [np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, n, bits in sorted(told)]
-    return ids, np.concatenate(nulls), stream, np.concatenate([np.zeros(0, bool), *flags])
+class Block:
+    """Pages of a block: their stream, each text of a host once, the rows of each, copies, and which distinct prefixes repeat in other blocks."""
+
+    def __init__(self, blobs: list[Any], shared: bool):
+        self.texts: dict[Any, dict[Any, int]] = {}
+        self.copies: list[tuple] = []
+        told = []
+        for what, *rest in blobs:
+            if what == "told":
+                told.append(rest)
+            elif what == "copies":
+                self.copies += [(rest[0], *row) for row in zip(*rest[1:], strict=True)]
+            else:
+                for i, text, times in zip(*rest, strict=True):
+                    own = self.texts.setdefault(text if shared and text else (len(self.texts), text), {})
+                    own[i] = own.get(i, 0) + times
+        self.ids = [self.texts[t] for t in self.texts]
+        plain = [t[1] if isinstance(t, tuple) else t for t in self.texts]
+        self.null = np.array([t is None for t in plain], bool)
+        self.stream, splitter = Stream(), Splitter()
+        self.stream.add(string_column(pa.array(plain, pa.large_string())), splitter)
+        self.elsewhere = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, n, bits in sorted(told)]])
+        del self.texts
+
+    def rows(self, name: str, *rule: Any) -> Iterator[list[tuple]]:
+        """page_id, host, text, n_tokens, n_kept of all rows."""
+        yield [(i, host_, "", n, 0) for host_, i, n, times in self.copies for _ in range(times)]
+        at = 0
+        for texts, n, kept in self.stream.extract(name != "", *rule, self.elsewhere):
+            out = []
+            for k, (text, a, b) in enumerate(zip(texts, n.tolist(), kept.tolist(), strict=True)):
+                own = self.ids[at + k]
+                first = _least(own)
+                text = None if self.null[at + k] else text
+                out += [(i, name or None, *((text, a, b) if i == first else ("", a, 0))) for i, times in own.items() for _ in range(times)]
+            at += len(texts)
+            yield out
 
 
 def _encoded(keys: np.ndarray) -> bytes:
@@ -230,12 +271,11 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for (name, block), blocks, blobs in _groups(batches, "host", "block"):
-            stream = _unpacked(blobs)[2]
+            stream = Block(blobs, True).stream
             key, at = prefixes(*stream.tokens(), least)
             if not len(key):
                 continue
             page = stream.tokens()[1][at]
-            page = page if stream.counted_as() is None else stream.counted_as()[page]
             order = np.lexsort((page, key))
             key, page = key[order], page[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -265,31 +305,6 @@ def between_blocks(sent: DataFrame, least: int, on_pages: int) -> DataFrame:
     return _together(asked, "host", "block").mapInArrow(answer, BLOCK)
 
 
-def _copies(named: DataFrame) -> DataFrame:
-    """named with ``copy``: whether the page's text is that of another page of its host with a lesser id. Texts are compared by two 64-bit hashes."""
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first")
-    hashed = named.where("host <> '' AND text <> ''").select("host", "page_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    groups = hashed.groupBy("host", "t1", "t2").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("h"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("first.page_id").alias("first"))
-    groups = _scratch.hinted(_scratch.write(groups, "equal"))
-    same = (F.col("host") == F.col("h")) & (F.xxhash64("text") == F.col("a")) & (F.xxhash64("text", F.lit(1)) == F.col("b"))
-    return named.join(groups, same, "left").select("page_id", "host", "text", (F.col("h").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("copy"))
-
-
-def _without_text(kind: pa.DataType, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of copies: their tokens are counted and none is kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter()
-        for batch in batches:
-            texts = string_column(pa.array([entities.unescape(t) for t in batch.column("text").to_pylist()], pa.large_string()))
-            n = np.zeros(len(batch), np.int64)
-            for a, b in chunks(texts):
-                n[a:b] = np.diff(splitter.words_of(*raw(texts.slice(a, b - a)), _TOKEN).first)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(kind), batch.column("host"), pa.array([""] * len(batch), pa.string()), pa.array(n), pa.array(np.zeros(len(batch), np.int64))], names)
-
-    return run
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, on_pages: int = PAGES, run: int = RUN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``page_id, host, text, n_tokens, n_kept`` of every row of pages.
 
@@ -298,7 +313,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     at least least tokens that on_pages distinct pages have are boilerplate,
     and what remains in runs of at least run tokens is the text, a line a run.
     Pages of a host whose visible text is equal are one page of the suffix array, that of the least id; the
-    others are copies and keep no text. Hosts of more than block_bytes of HTML are split into blocks by the pages'
+    others are copies and keep no text. Hosts of more than block_bytes of HTML are split into blocks by the texts'
     hashes; what repeats between blocks is found by between_blocks(), so the
     result is the same for any size of block. Pages of no host (also null URLs)
     keep all their text. Null HTML gives null text and 0 tokens; null ids are
@@ -310,26 +325,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         raise ValueError("least must be a power of two, 2 at least")
     id_type = pages.schema[id_col].dataType
     html = pages[html_col].cast("string")
-    raw_ = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), html.alias("html"))
-    sized = raw_.select("host", F.octet_length("html").alias("size"))
-    named = raw_.select("page_id", "host", visible(F.col("html")).alias("text"))
-    large = _scratch.write(sized.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
-    marked = _copies(named)
-    placed = marked.where("NOT copy").join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).alias("block"), F.when(F.col("host") != "", F.coalesce("blocks", F.lit(1))).otherwise(F.lit(1)).alias("blocks"), "text")
-    sent = _scratch.write(placed.mapInArrow(_packed, BLOCK), "packed")
+    named = pages.select(pages[id_col].alias("page_id"), F.coalesce(host(pages[url_col].cast("string")), F.lit("")).alias("host"), html.alias("html"))
+    large = _scratch.write(named.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")).where(F.col("size") > block_bytes).select("host", F.ceil(F.col("size") / F.lit(block_bytes)).alias("blocks")), "hosts")
+    placed = named.join(_scratch.hinted(large), "host", "left").select("page_id", "host", F.coalesce("blocks", F.lit(1)).alias("blocks"), visible(F.col("html")).alias("text"))
+    sent = placed.mapInArrow(_packed, BLOCK)
     if not large.where("host <> ''").isEmpty():
-        sent = sent.unionByName(between_blocks(sent.where("blocks > 1"), least, on_pages))
+        sent = sent.unionByName(between_blocks(placed.where("blocks > 1 AND host <> ''").mapInArrow(_packed, BLOCK).where("host <> ''"), least, on_pages))
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_kept", T.LongType())])
+    kinds = [to_arrow_type(id_type), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name, _), _, blobs in _groups(batches, "host", "block"):
-            ids, null, stream, elsewhere = _unpacked(blobs)
-            at = 0
-            for texts, n, kept in stream.extract(name != "", least, on_pages, run, elsewhere):
-                size = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + size], kind), pa.array([name or None] * size, pa.string()), pa.array(texts, pa.string(), mask=null[at : at + size]), pa.array(n.astype(np.int64)), pa.array(kept)], schema.names)
-                at += size
-
-    kind = to_arrow_type(id_type)
-    copies = marked.where("copy").select("page_id", "host", "text").mapInArrow(_without_text(kind, schema.names), schema)
-    return _together(sent, "host", "block").mapInArrow(work, schema).unionByName(copies)
+            for rows in Block(blobs, name != "").rows(name, least, on_pages, run):
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
+
+    return _together(sent, "host", "block").mapInArrow(work, schema)
