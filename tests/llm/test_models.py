@@ -163,6 +163,28 @@ def test_discriminant_is_the_difference_of_log_densities():
         assert math.isclose(score, d[1] - d[0], rel_tol=1e-6, abs_tol=1e-8)
 
 
+def test_statistics_against_plain_counting():
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (1, 63, 64, 65, 200)] + ["", "!!", "the THE the the 12 #$ é über\n\nß", "a " * 300, "Word\tword\r\nWORD..", prose(rng, 30_000)]
+
+    def odds(part: float, whole: float) -> float:
+        return math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+
+    got = quality_classifier.statistics(pa.array(texts, pa.large_string()))
+    for t, row in zip(texts, got, strict=True):
+        w, b = words(t), t.encode()
+        size = [len(x.encode()) for x in w]
+        mean = sum(size) / max(1, len(w))
+        sd = math.sqrt(max(0.0, sum(x * x for x in size) / max(1, len(w)) - mean**2))
+        kinds = [sum(c in s for c in b) for s in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@\\^_|~", b".,;:!?'\"()-", b" \t\r\n\v\f", b"\n", bytes(range(128, 256)))]
+        lower, upper, digit, symbol, punctuation, space, line, foreign = kinds
+        near = sum(len(set(w[i : i + 64])) for i in range(0, len(w), 64))
+        same = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        n = len(b)
+        want = [math.log1p(len(w)), math.log1p(mean), math.log1p(sd), odds(upper, lower + upper), odds(digit, n), odds(symbol, n), odds(punctuation, n), odds(space, n), odds(line, len(w) + 1), odds(sum(x <= 3 for x in size), len(w)), odds(foreign, n), odds(len(set(w)), len(w)), odds(same, len(w)), odds(max(Counter(w).values(), default=0), len(w)), odds(near, len(w))]
+        np.testing.assert_allclose(row, want, atol=1e-9)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{FULL}/{t}.parquet") for t in ("documents", "labels"))
     train = labels.where("doc_id % 2 = 0")

@@ -69,3 +69,26 @@ def test_every_document_is_packed_or_rejected_once(spark, sf):
     ids = [d for r in out for d in set(r["doc_ids"])]
     known = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert set(ids) <= known and np.all([r["n_tokens"] <= packing.CAPACITY for r in out])
+    pieces_ = sorted(p for r in out for p in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))
+    for (a, start, n), (b, then, _) in zip(pieces_, pieces_[1:], strict=False):  # every token once: pieces of a document follow each other
+        assert then == (start + n if a == b else 0)
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null ids, repeated rows and ids, ties of copies, a very long text, and columns whose names the stages use."""
+    rng = random.Random(31)
+    a, b, long_ = prose(rng, 120), prose(rng, 120), prose(rng, 50_000)
+    rows = [(3, a), (1, a), (1, a), (2, b), (2, b + " more"), (None, b), (None, None), (5, long_), (6, None), (7, "")]
+    columns = ", ".join(f"{c} string" for c in ("id", "key", "s0", "block", "place", "own"))
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * 6) for i, t in rows], f"{SCHEMA}, {columns}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = {}
+    for r in out:
+        for i, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            tokens[i] = tokens.get(i, 0) + n
+    count = lambda t: int(packing.count_tokens(pa.array([t], pa.large_string()))[0])
+    assert tokens == {1: 2 * count(a), 2: 2 * count(b) + 1, 5: count(long_)}
