@@ -1,4 +1,13 @@
-"""The corpus pipeline: documents to packed windows in five stages."""
+"""The corpus pipeline: documents to packed windows in five stages.
+
+Each stage works on all rows that its predecessor kept. Rows with null or empty
+texts leave at the first stage; rows with null ids pass through to the last,
+which has no piece for them; rows that repeat an id share its fate where
+a stage judges ids (near duplicates, decontamination) and are judged by their texts
+where it judges texts; of near duplicates the least id stays, also of ties. Very long texts are
+worked on whole, and empty tables give no windows. Extra columns of documents, of any
+name, pass through to the last stage.
+"""
 
 from __future__ import annotations
 
