@@ -6,8 +6,11 @@ import logging
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netspark.edges import EdgeList, IDMapper, as_frame
 from netspark.errors import ValidationError
@@ -37,50 +40,84 @@ def _symmetric(frame: DataFrame, directed: bool) -> DataFrame:
     return out if directed else out.union(out.where("a <> b").select("b", "a", "w"))
 
 
-def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None) -> DataFrame:
+#: Up to so many arcs and nodes one numpy kernel on the driver iterates; beyond, Spark joins do. Both test convergence after every round.
+KERNEL_ARCS = 2_000_000
+
+
+def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None, restart: DataFrame | None = None, total_change: bool = False) -> DataFrame:
     """``node_id, value`` of PageRank, eigenvector or Katz centrality by joins.
 
     A round is one join along the arcs and one aggregation, whose table is
-    written, which cuts the plan; the same pass measures the largest change,
-    the weight on nodes without out-arcs and the norm.
+    written, which cuts the plan; the same pass measures the change (the largest, or the
+    sum of all), the weight on nodes without out-arcs and the norm. restart (node_id, s)
+    is where PageRank starts and returns to, by default all nodes alike.
     """
     arcs = _symmetric(frame, directed).groupBy("a", "b").agg(F.sum("w").alias("w"))
     if step == "pagerank":
+        arcs = checkpointed(arcs)
         total = arcs.groupBy("a").agg(F.sum("w").alias("t"))
         arcs = arcs.join(total, "a").where("t > 0").select("a", "b", (F.col("w") / F.col("t")).alias("w"))
     arcs = checkpointed(arcs)
     nodes = nodes.select("node_id").distinct().join(arcs.select(F.col("a").alias("node_id"), F.lit(False).alias("ends")).distinct(), "node_id", "left").select("node_id", F.coalesce("ends", F.lit(True)).alias("ends"))
-    nodes, seen = measured(nodes, F.count("*").alias("n"), F.count_if("ends").alias("ends"))
-    n, lost = seen["n"], 0.0
+    if restart is not None:
+        nodes = nodes.join(restart.select("node_id", "s"), "node_id", "left").select("node_id", "ends", F.coalesce("s", F.lit(0.0)).alias("s"))
+    nodes, seen = measured(nodes, F.count("*").alias("n"))
+    n = seen["n"]
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("value"))
-    start = 1.0 / n if step == "pagerank" else 1.0 / n**0.5 if step == "eigenvector" else 0.0
-    lost = seen["ends"] / n
-    x = checkpointed(nodes.withColumn("value", F.lit(start)))
-    released(nodes)
+    if restart is None:
+        nodes = nodes.withColumn("s", F.lit(1.0 / n))
+    value = {"pagerank": F.col("s"), "eigenvector": F.lit(1.0 / n**0.5), "katz": F.lit(0.0)}[step]
     if step == "katz" and katz_alpha is None:
         most = arcs.groupBy("b").agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
         katz_alpha = 1.0 / (most + 1)
-    written = x
+    if n <= KERNEL_ARCS and fits(arcs, KERNEL_ARCS):
+        return _power_kernel(arcs, nodes.select("node_id", "ends", "s", value.alias("value")), step, iterations, tol, damping, katz_alpha, total_change)
+    x, seen = measured(nodes.withColumn("value", value), F.sum(F.when(F.col("ends"), F.col("value"))).alias("lost"))
+    lost, written = seen["lost"] or 0.0, x
+    moved = F.abs(F.col("value") - F.col("was"))
+    moved = F.sum(moved) if total_change else F.max(moved)
     for _ in range(iterations):
         got = x.join(arcs, F.col("node_id") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("value") * F.col("w")).alias("m"))
         m = F.coalesce("m", F.lit(0.0))
-        value = (1 - damping) / n + damping * (m + lost / n) if step == "pagerank" else 1.0 + katz_alpha * m if step == "katz" else m
-        y = x.withColumnRenamed("value", "was").join(got, F.col("node_id") == F.col("to"), "left").select("node_id", "ends", "was", value.alias("value"))
-        then, seen = measured(y, F.max(F.abs(F.col("value") - F.col("was"))).alias("most"), F.sum(F.when(F.col("ends"), F.col("value"))).alias("lost"), F.sum(F.col("value") * F.col("value")).alias("square"))
+        value = (1 - damping) * F.col("s") + damping * (m + lost * F.col("s")) if step == "pagerank" else 1.0 + katz_alpha * m if step == "katz" else m
+        y = x.withColumnRenamed("value", "was").join(got, F.col("node_id") == F.col("to"), "left").select("node_id", "ends", "s", "was", value.alias("value"))
+        then, seen = measured(y, moved.alias("change"), F.sum(F.when(F.col("ends"), F.col("value"))).alias("lost"), F.sum(F.col("value") * F.col("value")).alias("square"))
         released(written)
-        x, written, lost, change = then, then, seen["lost"] or 0.0, seen["most"]
+        x, written, lost, change = then, then, seen["lost"] or 0.0, seen["change"]
         if step == "eigenvector":
             norm = seen["square"] ** 0.5 or 1.0
-            x = then.select("node_id", "ends", "was", (F.col("value") / norm).alias("value"))
-            change = x.agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0]
-        x = x.select("node_id", "ends", "value")
+            x = then.withColumn("value", F.col("value") / norm)
+            change = x.agg(moved).first()[0]
+        x = x.drop("was")
         if change < tol:
             break
     released(arcs)
     return x.select("node_id", "value")
 
 
+def _power_kernel(arcs: DataFrame, nodes: DataFrame, step: str, iterations: int, tol: float, damping: float, katz_alpha: float | None, total_change: bool) -> DataFrame:
+    """The same rounds on one machine."""
+    table, own = arcs.toArrow(), nodes.toArrow()
+    at = [pc.index_in(table[c].combine_chunks(), value_set=own["node_id"].combine_chunks()).to_numpy(zero_copy_only=False) for c in "ab"]
+    w = table["w"].to_numpy()
+    known = ~(np.isnan(at[0].astype(float)) | np.isnan(at[1].astype(float)))
+    a, b, w = at[0][known].astype(np.int64), at[1][known].astype(np.int64), w[known]
+    ends, s, x = own["ends"].to_numpy(zero_copy_only=False).astype(bool), own["s"].to_numpy(), own["value"].to_numpy()
+    for _ in range(iterations):
+        m = np.bincount(b, weights=x[a] * w, minlength=len(x))
+        if step == "pagerank":
+            new = (1 - damping) * s + damping * (m + x[ends].sum() * s)
+        else:
+            new = 1.0 + katz_alpha * m if step == "katz" else m / (np.sqrt((m * m).sum()) or 1.0)
+        moved, x = np.abs(new - x), new
+        if (moved.sum() if total_change else moved.max()) < tol:
+            break
+    out = pa.table({"node_id": own["node_id"], "value": pa.array(x)})
+    released(arcs)
+    return nodes.sparkSession.createDataFrame(out, T.StructType([nodes.schema["node_id"], T.StructField("value", T.DoubleType())]))
+
+
 #: Least sources whose shortest paths one task follows, and edges of a graph that each task may hold.
 SOURCES, PATH_EDGES = 64, 5_000_000
 

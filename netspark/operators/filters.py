@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netspark.edges import EdgeList, IDMapper, as_frame, endpoints
 from netspark.errors import ComputationError, ConfigurationError, ValidationError, validate_parameter
-from netspark.operators.centrality import centrality
+from netspark.operators.centrality import centrality, power_iteration
 from netspark.operators.components import giant_component
 from netspark.operators.construct import induced
 from netspark.session import checkpointed, released
@@ -146,31 +146,14 @@ def khop(graph: EdgeList, seeds: DataFrame, hops: int, direction: str = "both")
 def personalised_pagerank(graph: EdgeList, seeds: DataFrame, nodes: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, direction: str = "both") -> DataFrame:
     """``code, ppr``: alpha P'x + (1 - alpha) s from the uniform s over seeds; mass of nodes without steps returns to the seeds.
 
-    Each round is one join and one aggregation; every fifth also measures the
-    change and cuts the plan.
+    The rounds are those of power_iteration(); they end when all changes add up to less than tol.
     """
-    steps = _steps(graph, direction)
-    out = steps.groupBy("a").agg(F.sum("weight").alias("total"))
-    p = checkpointed(steps.groupBy("a", "b").agg(F.sum("weight").alias("w")).join(out, "a").where("total > 0").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
-    k = seeds.select("code").distinct().count()
-    start = nodes.select("code").join(seeds.select("code").distinct().withColumn("s", F.lit(1.0 / k)), "code", "left").select("code", F.coalesce("s", F.lit(0.0)).alias("s"))
-    x = checkpointed(start.select("code", "s", F.col("s").alias("ppr")))
-    done = 0
-    while done < max_iter:
-        old = x
-        for _ in range(min(5, max_iter - done)):
-            got = x.join(p, F.col("code") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("ppr") * F.col("p")).alias("m"))
-            y = x.drop("ppr").join(got, F.col("code") == F.col("to"), "left").select("code", "s", F.coalesce("m", F.lit(0.0)).alias("m"))
-            lost = y.agg((1 - F.sum("m")).alias("lost"))
-            x = y.crossJoin(F.broadcast(lost)).select("code", "s", (alpha * (F.col("m") + F.col("lost") * F.col("s")) + (1 - alpha) * F.col("s")).alias("ppr"))
-            done += 1
-        x = checkpointed(x)
-        change = x.join(old.select("code", F.col("ppr").alias("was")), "code").agg(F.sum(F.abs(F.col("ppr") - F.col("was")))).first()[0]
-        released(old)
-        if change < tol:
-            break
-    released(p)
-    return x.select("code", "ppr")
+    steps = _steps(graph, direction).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "weight")
+    start = seeds.select("code").distinct()
+    k = start.count()
+    restart = start.select(F.col("code").alias("node_id"), F.lit(1.0 / k).alias("s"))
+    x = power_iteration(steps, nodes.select(F.col("code").alias("node_id")), "pagerank", True, max_iter, tol, alpha, restart=restart, total_change=True)
+    return x.select(F.col("node_id").alias("code"), F.col("value").alias("ppr"))
 
 
 def tightness_expansion(edges: list[tuple[int, int, float]], seeds: Iterable[int], alpha: float = 1.0) -> set[int]:

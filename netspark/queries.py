@@ -1,7 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, and the SQL that gives the same rows.
 
 Real numbers are rounded to six digits on both sides, since sums depend on
-their order. Every query runs over its whole tables, but those of stars().
+their order. Every query runs over its whole tables.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netspark.edges import EdgeList, IDMapper, endpoints, from_frame
+from netspark.functions.urls import TRACKING
 from netspark.functions.weights import log1p_transform, tanh_transform, transformed, winsorize_transform
 from netspark.operators import backbone, categories, centrality, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate, validators
 from netspark.operators.components import connected_components, giant_component
@@ -109,9 +110,10 @@ def edges_no_self_loops(spark: SparkSession, d: str) -> DataFrame:
     return construct.process_edges(x, "source", "target", None, True, False, False)
 
 
-@query("WITH b AS (SELECT l_suppkey AS x FROM lineitem INTERSECT SELECT l_partkey FROM lineitem) SELECT l_suppkey AS source, l_partkey AS target, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT x FROM b) AND l_partkey NOT IN (SELECT x FROM b) GROUP BY ALL")
+@query("WITH x AS (SELECT s_suppkey AS source, s_nationkey * 8 AS target FROM supplier), b AS (SELECT source AS x FROM x INTERSECT SELECT target FROM x) SELECT source, target, CAST(count(*) AS BIGINT) AS n FROM x WHERE source NOT IN (SELECT x FROM b) AND target NOT IN (SELECT x FROM b) GROUP BY ALL")
 def bipartite_overlap_drop(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
+    """Suppliers and nations numbered so that some numbers are on both sides."""
+    x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_nationkey") * 8).alias("target"))
     return construct.apply_bipartite_overlap_policy(x, "source", "target", "drop").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
@@ -270,13 +272,13 @@ query(f"WITH {SUMMED}, {_DEGREE}, k AS (SELECT id FROM g WHERE d >= 20) SELECT {
 
 
 def stars(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers with a balance above 0 and customers with one above 9000, as in STARS, each with its nation."""
-    s = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"))
-    c = table(spark, d, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
+    """All suppliers and customers, each with its nation."""
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("source_id"), F.concat(F.lit("n"), "s_nationkey").alias("target_id"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
     return s.union(c).withColumn("weight", F.lit(1.0))
 
 
-STARS = "e AS (SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 1.0 AS weight FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1.0 FROM customer WHERE c_acctbal > 9000)"
+STARS = "e AS (SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 1.0 AS weight FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1.0 FROM customer)"
 _PARTS = f"WITH {STARS}, m AS (SELECT target_id AS n, least(min(source_id), target_id) AS component FROM e GROUP BY 1, target_id), p AS (SELECT n AS node_id, component FROM m UNION SELECT source_id, component FROM e JOIN m ON n = target_id)"
 
 
@@ -330,7 +332,23 @@ def ppr_fixed(spark: SparkSession, d: str) -> DataFrame:
     return r6(mapper.decode(x, "code", "node_id").select("node_id", "ppr"))
 
 
-@query()
+def _until(step: str, first: str, values: str, tol: float, most: int, name: str = "x") -> str:
+    """Rounds of a step from first (id and values) until no value changes by tol, or most rounds; ``name`` has all rounds, numbered k. step reads {name}."""
+    moved = ", ".join(f"abs(n.{v} - o.{v})" for v in values.split(", "))
+    new = ", ".join(f"n.{v}" for v in values.split(", "))
+    start = ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in values.split(", "))
+    return f"{name} AS (SELECT id, 0 AS k, {start}, CAST(1 AS DOUBLE) AS moved FROM ({first}) UNION ALL SELECT n.id, o.k + 1, {new}, max(greatest({moved})) OVER () FROM ({step}) n JOIN {name} o ON o.id = n.id WHERE o.moved >= {tol!r} AND o.k < {most})"
+
+
+def _last(name: str = "x") -> str:
+    return f"(SELECT * FROM {name} WHERE k = (SELECT max(k) FROM {name}))"
+
+
+_PPR2 = "SELECT n.id, 0.85 * coalesce(sum(v * p), 0) + CASE WHEN n.id IN ('u1', 'u2') THEN 0.075 ELSE 0 END AS v FROM n LEFT JOIN p ON p.b = n.id LEFT JOIN x ON x.id = p.a GROUP BY n.id"
+_TOPN = f"WITH RECURSIVE {PEERS}, {_SYM}, {_until(_PPR2, 'SELECT id, CASE WHEN id IN (' + chr(39) + 'u1' + chr(39) + ', ' + chr(39) + 'u2' + chr(39) + ') THEN 0.5 ELSE 0.0 END AS v FROM n', 'v', 1e-6, 100)}, near AS (SELECT id FROM (SELECT id FROM {_last()} ORDER BY round(v, 9) DESC, id LIMIT 40) UNION SELECT 'u1' UNION SELECT 'u2') SELECT source_id, target_id, round(weight, 6) AS weight FROM e WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near)"
+
+
+@query(_TOPN)
 def ppr_topn(spark: SparkSession, d: str) -> DataFrame:
     el, mapper = _graph(peers(spark, d))
     small, names = filters.filter_by_seed_proximity(el, mapper, ["u1", "u2"], "ppr", top_n=40)
@@ -357,9 +375,13 @@ query(f"WITH {SUMMED}, n AS (SELECT source_id AS id FROM e UNION SELECT target_i
 _PAIRDIST = f"WITH {STARS}, n AS (SELECT source_id AS id FROM e UNION SELECT target_id FROM e), g AS (SELECT target_id AS h, count(*) AS d FROM e GROUP BY 1), v AS (SELECT target_id AS id, CAST(d AS DOUBLE) AS near, 0.0 AS far, d * (d - 1) / 2.0 AS between FROM e JOIN g ON h = target_id GROUP BY ALL UNION ALL SELECT source_id, 1.0, (d - 1) / 2.0, 0.0 FROM e JOIN g ON h = target_id)"
 query(_PAIRDIST + " SELECT id AS node_id, round((near + far) / ((SELECT count(*) FROM n) - 1), 6) AS value FROM v", "centrality_closeness")(_central("closeness", stars))
 query(_PAIRDIST + " SELECT id AS node_id, round(between / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2) / 2.0), 6) AS value FROM v", "centrality_betweenness")(_central("betweenness", stars))
-query(None, "centrality_eigenvector")(_central("eigenvector"))
-query(None, "centrality_katz")(_central("katz"))
-query(None, "centrality_pagerank")(_central("pagerank"))
+_N = "(SELECT count(*) FROM n)"
+_EIGEN = "SELECT id, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT n.id, coalesce(sum(x.v * w), 0) AS v FROM n LEFT JOIN a ON a.b = n.id LEFT JOIN x ON x.id = a.a GROUP BY n.id)"
+_KATZ = "SELECT n.id, 1.0 + coalesce(sum(x.v * w), 0) / (SELECT max(c) + 1 FROM (SELECT count(DISTINCT a) AS c FROM a GROUP BY b)) AS v FROM n LEFT JOIN a ON a.b = n.id LEFT JOIN x ON x.id = a.a GROUP BY n.id"
+_PRX = f"SELECT n.id, 0.15 / {_N} + 0.85 * coalesce(sum(x.v * p), 0) AS v FROM n LEFT JOIN p ON p.b = n.id LEFT JOIN x ON x.id = p.a GROUP BY n.id"
+query(f"WITH RECURSIVE {PEERS}, {_SYM}, {_until(_EIGEN, f'SELECT id, 1 / sqrt({_N}) AS v FROM n', 'v', 1e-8, 100)} SELECT id AS node_id, round(v / (SELECT max(v) FROM {_last()}), 6) AS value FROM {_last()}", "centrality_eigenvector")(_central("eigenvector"))
+query(f"WITH RECURSIVE {PEERS}, {_SYM}, {_until(_KATZ, 'SELECT id, 0.0 AS v FROM n', 'v', 1e-8, 100)} SELECT id AS node_id, round(v / (SELECT max(v) FROM {_last()}), 6) AS value FROM {_last()}", "centrality_katz")(_central("katz"))
+query(f"WITH RECURSIVE {PEERS}, {_SYM}, {_until(_PRX, f'SELECT id, 1.0 / {_N} AS v FROM n', 'v', 1e-8, 100)}, m AS (SELECT min(v) AS lo, max(v) AS hi FROM {_last()}) SELECT id AS node_id, round((v - lo) / (hi - lo), 6) AS value FROM {_last()}, m", "centrality_pagerank")(_central("pagerank"))
 _PR = "SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(sum(v * p), 0) AS v FROM n LEFT JOIN p ON p.b = n.id LEFT JOIN {x} ON {x}.id = p.a GROUP BY n.id"
 
 
@@ -500,7 +522,11 @@ def audience_pass(spark: SparkSession, d: str) -> DataFrame:
     return r6(propagate.audience_pass(el.frame(mapper), _fixed(el, mapper, "in_degree", 4), ["a_prob", "b_prob"]))
 
 
-@query()
+_GLPX = _GLP.format(x="x")
+_CONVERGED = f"WITH RECURSIVE {PEERS}, {_SYM}, {_SEEDS}, {_Y}, {_until(_GLPX, 'SELECT id, ya AS fa, yb AS fb FROM y', 'fa, fb', 1e-6, 100)}, {_RESULT.format(x=_last())}"
+
+
+@query(_CONVERGED + " " + _GLPOUT)
 def glp_converged(spark: SparkSession, d: str) -> DataFrame:
     return r6(propagate.guided_label_propagation(*_graph(peers(spark, d)), SEEDS, LABELS))
 
@@ -510,7 +536,27 @@ def glp_noise(spark: SparkSession, d: str) -> DataFrame:
     return r6(propagate.guided_label_propagation(*_graph(peers(spark, d)), SEEDS, LABELS, enable_noise_category=True, noise_ratio=0.5))
 
 
-@query()
+_NOISE = "y3 AS (SELECT y.*, CAST(y.id IN ('u5', 'u6') AS INTEGER) * 1.0 AS yn FROM y)"
+_GLP3 = "SELECT y.id, " + ", ".join(f"0.85 * coalesce(sum(p * x.f{c}), 0) + 0.15 * any_value(y{c}) AS f{c}" for c in "abn") + " FROM y3 y LEFT JOIN p ON p.a = y.id LEFT JOIN x ON x.id = p.b GROUP BY y.id"
+_OUT3 = "SELECT f.id AS node_id, round(fa / t, 6) AS a_prob, round(fb / t, 6) AS b_prob, round(fn / t, 6) AS noise_prob, CASE WHEN round(fa, 9) >= round(greatest(fb, fn), 9) THEN 'a' WHEN round(fb, 9) >= round(fn, 9) THEN 'b' ELSE 'noise' END AS dominant_label, round(greatest(fa, fb, fn) / t, 6) AS confidence, s OR y.yn = 1 AS is_seed FROM (SELECT *, fa + fb + fn AS t FROM " + _last() + ") f JOIN y3 y ON y.id = f.id"
+
+
+@query(f"WITH RECURSIVE {PEERS}, {_SYM}, {_SEEDS}, {_Y}, {_NOISE}, {_until(_GLP3, 'SELECT id, ya AS fa, yb AS fb, yn AS fn FROM y3', 'fa, fb, fn', 1e-6, 100)} {_OUT3}")
+def glp_noise_given(spark: SparkSession, d: str) -> DataFrame:
+    """With noise seeds that are given instead of drawn."""
+    return r6(propagate.guided_label_propagation(*_graph(peers(spark, d)), SEEDS | {"u5": propagate.NOISE, "u6": propagate.NOISE}, LABELS, enable_noise_category=True))
+
+
+_PRIOR = (
+    "WITH RECURSIVE " + STARS + ", " + _SYM + ", z AS (SELECT * FROM (VALUES ('s1', 1.0, 0.0), ('s2', 0.0, 1.0)) z(id, ya, yb)), " + _Y
+    + ", u AS (SELECT DISTINCT a, b FROM a), h AS (SELECT id AS seed, id, 0 AS hop FROM z UNION SELECT seed, u.b, hop + 1 FROM h JOIN u ON u.a = h.id WHERE hop < 2), g AS (SELECT seed, id, min(hop) AS hop FROM h GROUP BY ALL)"
+    + ", d AS (SELECT n.id, coalesce(sum(ya / (hop + 1)), 0) AS da, coalesce(sum(yb / (hop + 1)), 0) AS db FROM n LEFT JOIN g ON g.id = n.id LEFT JOIN z ON z.id = seed GROUP BY n.id), "
+    + _until("SELECT y.id, 0.85 * coalesce(sum(p * x.fa * d.da), 0) + 0.15 * any_value(ya) AS fa, 0.85 * coalesce(sum(p * x.fb * d.db), 0) + 0.15 * any_value(yb) AS fb FROM y LEFT JOIN p ON p.a = y.id LEFT JOIN x ON x.id = p.b LEFT JOIN d ON d.id = x.id GROUP BY y.id", "SELECT id, ya AS fa, yb AS fb FROM y", "fa, fb", 1e-6, 100)
+    + ", " + _RESULT.format(x=_last()) + " " + _GLPOUT
+)  # nations are stars: two steps reach all that a seed reaches
+
+
+@query(_PRIOR)
 def glp_distance_prior(spark: SparkSession, d: str) -> DataFrame:
     return r6(propagate.guided_label_propagation(*_graph(stars(spark, d)), {"s1": "a", "s2": "b"}, LABELS, distance_prior=True))
 
@@ -539,7 +585,13 @@ def probability_histogram(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.probability_histogram(table(spark, d, "customer").select(p.alias("q_prob"), (1 - p).alias("r_prob")), ["q", "r"])
 
 
-@query()
+def _direction(s: str, t: str, c: str) -> str:
+    """f{c}: the result of four rounds along one direction; tables are named apart by c."""
+    sql = f"{_ARCS.format(s=s, t=t, w='weight')}, {_SEEDS}, {_Y}, {_rounds(4, _GLP, 'SELECT id, ya AS fa, yb AS fb FROM y')}, {_RESULT.format(x='x4')}"
+    return f"f{c} AS (WITH {sql} SELECT id, pa, pb, round(pa, 9) >= round(pb, 9) AS l FROM f)"
+
+
+@query(f"WITH {ANSWERS}, {_direction('source_id', 'target_id', 'o')}, {_direction('target_id', 'source_id', 'i')} SELECT round(avg(CAST(o.l = i.l AS INTEGER)), 6) AS agreement_rate, round(avg(greatest(o.pa, o.pb)), 6) AS out_degree_confidence, round(avg(greatest(i.pa, i.pb)), 6) AS in_degree_confidence, round(corr(o.pa, i.pa), 6) AS a_correlation, round(avg(o.pa), 6) AS a_out, round(avg(i.pa), 6) AS a_in, round(corr(o.pb, i.pb), 6) AS b_correlation, round(avg(o.pb), 6) AS b_out, round(avg(i.pb), 6) AS b_in FROM fo o JOIN fi i USING (id)")
 def directional_agreement(spark: SparkSession, d: str) -> DataFrame:
     el, mapper = answers(spark, d)
     merged = evaluate.merged_directions(_fixed(el, mapper, "out_degree", 4), _fixed(el, mapper, "in_degree", 4), LABELS)
@@ -564,10 +616,11 @@ def prf_macro(spark: SparkSession, d: str) -> DataFrame:
     return r6(validate.label_scores(validate.confusion(predicted(spark, d), "t", "q"), ["0", "1", "noise"]))
 
 
-@query("SELECT CAST(l.quality AS VARCHAR) AS label, CAST(count(*) AS BIGINT) AS total, CAST(count(d.doc_id) AS BIGINT) AS present FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id) GROUP BY 1")
+@query("SELECT c_mktsegment AS label, CAST(count(*) AS BIGINT) AS total, CAST(count(k) AS BIGINT) AS present FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON k = c_custkey GROUP BY 1")
 def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("node_id"), F.col("doc_id").alias("code"))
-    return seeds.seed_coverage(IDMapper(nodes), table(spark, d, "labels").select(F.col("doc_id").alias("node_id"), F.col("quality").cast("string").alias("label")))
+    """Customers as seeds of their segments, in the graph of those who ordered."""
+    nodes = table(spark, d, "orders").select(F.col("o_custkey").alias("node_id"), F.col("o_custkey").alias("code")).distinct()
+    return seeds.seed_coverage(IDMapper(nodes), table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("label")))
 
 
 @query(f"WITH {SHARES} SELECT '__stat__' || target AS source_id, source AS target_id, round(sum(weight), 6) AS weight FROM shares WHERE target IN ('k1', 'k2', 'k3') GROUP BY ALL")
@@ -665,13 +718,16 @@ def segregation_index(spark: SparkSession, d: str) -> DataFrame:
     return r6(categories.calculate_category_segregation_index(k).select(F.col("date").alias("slice"), "segregation_index"))
 
 
-@query()
+_METRICS = f"WITH {_MONTHLY.format('year')}, n AS (SELECT source_id AS id FROM o UNION SELECT target_id FROM o), s AS (SELECT DISTINCT CAST(slice AS DATE) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS date, slice FROM o), k AS (SELECT slice, id, count(*) AS c FROM (SELECT slice, source_id AS id FROM o UNION ALL SELECT slice, target_id FROM o) GROUP BY ALL), m AS (SELECT slice, count(*) - 1 AS m FROM k GROUP BY 1)"
+
+
+@query(_METRICS + ", v AS (SELECT s.date, c_mktsegment AS category, c / m AS v FROM k JOIN m USING (slice) JOIN s USING (slice) LEFT JOIN customer ON 'c' || c_custkey = id) SELECT date, coalesce(category, 'unknown') AS category, round(avg(v), 6) AS mean_centrality, round(median(v), 6) AS median_centrality, round(max(v), 6) AS max_centrality, CAST(count(*) AS BIGINT) AS node_count FROM v GROUP BY ALL")
 def category_centrality(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), "c_mktsegment")
     return r6(categories.analyze_category_centrality_by_time(orders_by_month(spark, d, "yearly"), meta, "c_mktsegment"))
 
 
-@query()
+@query(_METRICS + " SELECT n.id AS node_id, s.date, round(coalesce(c / m, 0), 6) AS degree FROM n CROSS JOIN s LEFT JOIN k ON k.id = n.id AND k.slice = s.slice LEFT JOIN m ON m.slice = s.slice")
 def temporal_metrics(spark: SparkSession, d: str) -> DataFrame:
     return r6(temporal.extract_temporal_metrics(orders_by_month(spark, d, "yearly"), ["degree"]))
 
@@ -691,7 +747,13 @@ def domains(spark: SparkSession, d: str) -> DataFrame:
     return text.extract_domains(linked(spark, d)).groupBy("sender", "domain").agg(F.count("*").alias("n"))
 
 
-@query()
+_TRACKED = "(?:" + "|".join(sorted(TRACKING, key=len, reverse=True)) + ")=[^&#]*"
+_PLAIN = "url"
+for _pattern, _new in (("amp%3B|amp;", ""), (rf"\?(?:{_TRACKED}&)+", "?"), (rf"\?{_TRACKED}", "?"), (rf"&{_TRACKED}", ""), (r"\?#", "#"), (r"\?$", ""), ("&$", ""), (r"[.,;:!?)\]}>]+$", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_new}', 'g')"
+
+
+@query(f"SELECT page_id % 50 AS sender, {_PLAIN} AS url FROM pages WHERE regexp_matches(url, '^(?:https?://|www[.])')")
 def urls(spark: SparkSession, d: str) -> DataFrame:
     return text.extract_urls(linked(spark, d)).select("sender", "url")
 
@@ -718,7 +780,19 @@ def keywords_vocab(spark: SparkSession, d: str) -> DataFrame:
     return text.extract_keywords(posts(spark, d), ["the", "Of", "le", "un"])
 
 
-@query()
+_RAKE = r"""WITH s AS (SELECT role AS sender, conv_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]+')) AS seg FROM conversations),
+w AS (SELECT sender, conv_id, list_transform(regexp_extract_all(seg, '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: CASE WHEN x IN ('the', 'of', 'le', 'un') THEN '|' ELSE x END) AS ws FROM s),
+c AS (SELECT sender, conv_id, unnest(list_filter(list_transform(string_split(array_to_string(ws, ' '), '|'), lambda x: trim(x)), lambda x: x <> '')) AS keyword FROM w),
+n AS (SELECT sender, keyword, count(*) AS mentions, min(conv_id) AS first_seen FROM c GROUP BY ALL),
+t AS (SELECT keyword, sum(mentions) AS n, len(string_split(keyword, ' ')) AS l FROM n GROUP BY 1),
+u AS (SELECT keyword, n, l, unnest(string_split(keyword, ' ')) AS w FROM t),
+d AS (SELECT w, sum(n * l) / sum(n) AS s FROM u GROUP BY 1),
+g AS (SELECT keyword, sum(s) AS score FROM u JOIN d USING (w) GROUP BY 1),
+r AS (SELECT sender, keyword, mentions, first_seen, score, row_number() OVER (PARTITION BY sender ORDER BY len(string_split(keyword, ' ')) <= 3 DESC, round(score, 9) DESC, mentions DESC, keyword) AS k FROM n JOIN g USING (keyword))
+SELECT sender, keyword, CAST(mentions AS BIGINT) AS mentions, first_seen FROM r WHERE k <= 20"""
+
+
+@query(_RAKE)
 def rake_topn(spark: SparkSession, d: str) -> DataFrame:
     return text.extract_keywords(posts(spark, d), method="rake", top_n=20, stop_words=["the", "of", "le", "un"])
 
@@ -759,15 +833,24 @@ query(_KNN + " WHERE n = 2", "cosine_knn_mutual")(_knn(True))
 # Pipelines.
 
 
-@query()
+_ROWS = SHARES.replace("shares AS", "raw AS")
+#: Half of the rows by their p-value, which rises with the product of both ends' rows, then by ids.
+_VALID = f"{_ROWS}, su AS (SELECT source, count(*) AS c FROM raw GROUP BY 1), sv AS (SELECT target, count(*) AS c FROM raw GROUP BY 1), rk AS (SELECT source, target, row_number() OVER (ORDER BY su.c * sv.c, source, target) AS r FROM raw JOIN su USING (source) JOIN sv USING (target)), kp AS (SELECT DISTINCT source, target FROM rk WHERE r <= ceil((SELECT count(*) FROM raw) * 0.5)), shares AS (SELECT * FROM raw SEMI JOIN kp USING (source, target))"
+_CANONICAL = _TEMPORAL.replace(f"WITH {SHARES}", _VALID) + ", e AS (SELECT a.p AS source_id, b.p AS target_id, CAST(count(*) AS DOUBLE) AS weight FROM r a JOIN r b ON a.i = b.i AND a.k < b.k AND a.p <> b.p GROUP BY ALL)"
+
+
+@query(_NCD.replace(SUMMED, _CANONICAL) + f" SELECT {_EW} FROM s WHERE score - sd > 0")
 def pipeline_canonical(spark: SparkSession, d: str) -> DataFrame:
     out = pipelines.run_canonical_pipeline(shares(spark, d), source_col="source", target_col="target", timestamp_col="ts", bipartite_target_fraction=0.5, verbose=False)
     return r6(out.edgelist.frame(out.id_mapper))
 
 
-@query()
+_JACCARD = f"{_VALID}, sp AS (SELECT DISTINCT source AS p, target AS s FROM shares), c AS (SELECT a.p AS source_id, b.p AS target_id, count(*) AS n FROM sp a JOIN sp b ON a.s = b.s AND a.p < b.p GROUP BY ALL), g AS (SELECT p, count(*) AS d FROM sp GROUP BY 1), e AS (SELECT source_id, target_id, n / (x.d + y.d - n) AS weight FROM c JOIN g x ON x.p = source_id JOIN g y ON y.p = target_id)"
+
+
+@query(_NCU.replace(SUMMED, _JACCARD) + f" SELECT {_EW} FROM s WHERE score - 0.1 * sd > 0")
 def pipeline_bipartite(spark: SparkSession, d: str) -> DataFrame:
-    out = pipelines.run_undirected_bipartite_pipeline(trade(spark, d), source_col="source", target_col="target", bipartite_target_fraction=0.5, auto_weight=True, verbose=False)
+    out = pipelines.run_undirected_bipartite_pipeline(shares(spark, d), source_col="source", target_col="target", bipartite_target_fraction=0.5, projection_threshold=0.1, verbose=False)
     return r6(out.edgelist.frame(out.id_mapper))
 
 

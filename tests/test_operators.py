@@ -10,7 +10,7 @@ from netspark.edges import EdgeList, IDMapper, from_frame
 from netspark.errors import ComputationError, ConvergenceError, ValidationError
 from netspark.functions.stats import poisson_upper
 from netspark.functions.weights import transformed
-from netspark.operators import backbone, categories, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate
+from netspark.operators import backbone, categories, centrality as centrality_module, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate
 from netspark.operators.centrality import centrality, compare_centrality_metrics, extract_centrality, identify_central_nodes
 from netspark.plans import pipelines
 from netspark.sources.export import export_graph, export_reduced_graph, get_export_info
@@ -286,3 +286,21 @@ def test_propagation_by_joins_equals_the_kernel(spark, triangles, monkeypatch):
         out, rounds = propagate.guided_label_propagation(el, mapper, {"A": "x", "F": "y"}, ["x", "y"], convergence_threshold=1e-4, return_snapshots=True)
         runs.append(({r["node_id"]: round(r["x_prob"], 9) for r in out.collect()}, len(rounds), {r["node"]: [round(x, 9) for x in r["f"]] for r in rounds[2].collect()}))
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("step", ["pagerank", "eigenvector", "katz"])
+def test_power_iteration_by_joins_equals_the_kernel(spark, monkeypatch, step):
+    """Also nodes without out-arcs, isolated ones, and a restart."""
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("a", "d", 0.5), ("e", "a", 3.0)], "source_id string, target_id string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node_id string")
+    restart = spark.createDataFrame([("a", 0.25), ("d", 0.75)], "node_id string, s double")
+    for options in ({}, {"restart": restart, "total_change": True}) if step == "pagerank" else ({},):
+        runs = []
+        for limit in (centrality_module.KERNEL_ARCS, 0):
+            monkeypatch.setattr(centrality_module, "KERNEL_ARCS", limit)
+            out = centrality_module.power_iteration(e, nodes, step, True, 6, 1e-3, **options)
+            runs.append({r["node_id"]: round(r["value"], 12) for r in out.collect()})
+        assert runs[0] == runs[1] and len(runs[0]) == 6
+        if step == "pagerank":
+            assert sum(runs[0].values()) == pytest.approx(1)
+        monkeypatch.undo()
