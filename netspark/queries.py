@@ -616,11 +616,11 @@ def prf_macro(spark: SparkSession, d: str) -> DataFrame:
     return r6(validate.label_scores(validate.confusion(predicted(spark, d), "t", "q"), ["0", "1", "noise"]))
 
 
-@query("SELECT c_mktsegment AS label, CAST(count(*) AS BIGINT) AS total, CAST(count(k) AS BIGINT) AS present FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON k = c_custkey GROUP BY 1")
+@query("SELECT CAST(l.quality AS VARCHAR) AS label, CAST(count(*) AS BIGINT) AS total, CAST(count(v.vec_id) AS BIGINT) AS present FROM labels l LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON v.vec_id = l.doc_id GROUP BY 1")
 def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as seeds of their segments, in the graph of those who ordered."""
-    nodes = table(spark, d, "orders").select(F.col("o_custkey").alias("node_id"), F.col("o_custkey").alias("code")).distinct()
-    return seeds.seed_coverage(IDMapper(nodes), table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("label")))
+    """Labelled documents as seeds, in the graph of those that have a vector."""
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("vec_id").alias("code")).distinct()
+    return seeds.seed_coverage(IDMapper(nodes), table(spark, d, "labels").select(F.col("doc_id").alias("node_id"), F.col("quality").cast("string").alias("label")))
 
 
 @query(f"WITH {SHARES} SELECT '__stat__' || target AS source_id, source AS target_id, round(sum(weight), 6) AS weight FROM shares WHERE target IN ('k1', 'k2', 'k3') GROUP BY ALL")
