@@ -304,3 +304,12 @@ def test_power_iteration_by_joins_equals_the_kernel(spark, monkeypatch, step):
         if step == "pagerank":
             assert sum(runs[0].values()) == pytest.approx(1)
         monkeypatch.undo()
+
+
+def test_benjamini_hochberg_against_sorting(spark):
+    rng = np.random.default_rng(4)
+    for p in (np.concatenate([rng.random(200) ** 6, [0.0, 0.0, 1.0, 1e-300]]), np.full(5, 0.5), rng.random(50) * 1e-9):
+        order = np.sort(p)
+        passed = order[order <= np.arange(1, len(p) + 1) / len(p) * 0.05]
+        kept = {round(r["p"], 300): r["kept"] for r in backbone.benjamini_hochberg(spark.createDataFrame([(float(x),) for x in p], "p double"), "p", 0.05).collect()}
+        assert all(k == (len(passed) > 0 and x <= passed.max()) for x, k in kept.items())
