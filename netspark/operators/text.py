@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from netspark.errors import ConfigurationError, ValidationError, validate_parameter
 from netspark.functions.urls import URL, normalize_url, strip_trailing, url_host
+from netspark.session import small
 
 TOKEN = r"(?U)\b\w+\b"
 #: Languages of stop words that Spark brings along.
@@ -155,7 +156,7 @@ def extract_keywords(df: DataFrame, keywords: Iterable[str] | None = None, *, se
     vocabulary = None if keywords is None else preprocess_keyword_list(keywords, case_sensitive, word_map)
     spark = df.sparkSession
     if word_map is None and vocabulary is not None:
-        tokens = tokens.join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], f"`{keyword_col}` string")), keyword_col, "left_semi").select(*carry, keyword_col)
+        tokens = tokens.join(small(spark.createDataFrame([(w,) for w in vocabulary], f"`{keyword_col}` string")), keyword_col, "left_semi").select(*carry, keyword_col)
     if output != "aggregated":
         out = tokens.withColumn(keyword_col, _word_map(word_map, k))
         return out if vocabulary is None or word_map is None else out.where(k.isin(vocabulary))

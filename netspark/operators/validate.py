@@ -15,6 +15,7 @@ from netspark.edges import EdgeList, IDMapper
 from netspark.errors import ComputationError, ConfigurationError, ValidationError
 from netspark.operators.propagate import NOISE, guided_label_propagation
 from netspark.operators.seeds import known_seeds, normalize_seed_input
+from netspark.session import small
 
 
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -57,7 +58,7 @@ def metrics_of(counts: Mapping[tuple[str, str], int], labels: list[str], noise_l
 def _score(predictions: DataFrame, truth: Mapping[Any, str], labels: list[str]) -> tuple[dict[str, Any], DataFrame]:
     kind = predictions.schema["node_id"].dataType.simpleString()
     rows = predictions.sparkSession.createDataFrame(list(truth.items()), f"node_id {kind}, true_label string")
-    own = predictions.join(F.broadcast(rows), "node_id")
+    own = predictions.join(small(rows), "node_id")
     counts = {(r[0], r[1]): r[2] for r in confusion(own, "true_label", "dominant_label").collect()}
     if (found := sum(counts.values())) < len(truth):
         raise ComputationError(f"{len(truth) - found} test nodes have no prediction", operation="validate")
@@ -114,7 +115,7 @@ def external_validation(predictions: DataFrame, validation_labels: Any, labels:
     truth = normalize_seed_input(validation_labels, seed_node_col, seed_label_col)
     kind = predictions.schema["node_id"].dataType.simpleString()
     rows = predictions.sparkSession.createDataFrame(list(truth.items()), f"node_id {kind}, true_label string")
-    own = predictions.join(F.broadcast(rows), "node_id")
+    own = predictions.join(small(rows), "node_id")
     counts = {(r[0], r[1]): r[2] for r in confusion(own, "true_label", "dominant_label").collect()}
     if not counts:
         raise ValidationError("no labelled node has a prediction", field="validation_labels")
