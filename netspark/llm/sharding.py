@@ -14,9 +14,9 @@ from netspark.llm import _scratch
 from netspark.llm._tokens import Splitter, U, Words, chunks, mix, shingles, signed, string_column
 
 #: Shards, share by which one may exceed the mean, rounds at most, words of a shingle, consecutive shingles (a power of two) of which the least links documents.
-SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 20, 8, 32
+SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 10, 8, 32
 #: Rounds end when fewer than this share of the linked documents moves.
-STILL = 0.001
+STILL = 0.01
 #: Parts of a quota: candidates of equal gain are admitted by such parts of their hashes.
 PARTS = 256
 #: Gains are told apart by their powers of two, up to this one.
