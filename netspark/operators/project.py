@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netspark.edges import EdgeList, IDMapper, from_frame
+from netspark.edges import EdgeList, IDMapper, dense_codes, from_frame
 from netspark.errors import GraphConstructionError, ValidationError, validate_parameter
 from netspark.operators.construct import partitions
 from netspark.session import checkpointed, small
@@ -18,12 +18,15 @@ WEIGHTS = ("count", "jaccard", "overlap")
 PART = 1024
 
 
-def _met(rows: DataFrame, part: Column, parts: Column) -> tuple[DataFrame, DataFrame]:
+def _met(rows: DataFrame, by: str, part: Column, parts: Column) -> tuple[DataFrame, DataFrame]:
     """Rows for both sides of a join of a shared id's members with each other, with keys ``x <= y``: the parts that meet."""
+    spark = rows.sparkSession
+    # What a key's rows become is much more than they are, so their size must not decide on the number of tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     parted = rows.withColumn("__part", part).withColumn("__parts", parts)
     left = parted.withColumn("y", F.explode(F.sequence("__part", F.col("__parts") - 1))).withColumnRenamed("__part", "x").drop("__parts")
     right = parted.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), "__part"))).withColumnRenamed("__part", "y").drop("__parts")
-    return left, right
+    return left.repartition(tasks, by, "x", "y"), right.repartition(tasks, by, "x", "y")
 
 
 def projected_pairs(frame: DataFrame, projected: str, shared: str, weight_method: str = "count") -> DataFrame:
@@ -35,19 +38,28 @@ def projected_pairs(frame: DataFrame, projected: str, shared: str, weight_method
     pairs afterwards, and only for weights that need them.
     """
     validate_parameter(weight_method, list(WEIGHTS), "weight_method")
-    pairs = checkpointed(frame.select(F.col(projected).alias("p"), F.col(shared).alias("s")).dropna().distinct())
+    named = checkpointed(frame.select(F.col(projected).alias("p"), F.col(shared).alias("s")).dropna().distinct())
+    codes = checkpointed(dense_codes(named, "p"))  # in the order of ids; pairs of numbers are added up much faster than pairs of texts
+    pairs = checkpointed(named.join(codes, F.col("p") == F.col("node_id")).select(F.col("code").alias("p"), "s"))
     large = checkpointed(pairs.groupBy("s").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
     split = pairs.join(small(large), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    left, right = _met(split, F.pmod(F.xxhash64("p"), F.col("parts")), F.col("parts"))
+    left, right = _met(split, "s", F.pmod(F.xxhash64("p"), F.col("parts")), F.col("parts"))
     a, b = left.select("s", "x", "y", F.col("p").alias("a")), right.select("s", "x", "y", F.col("p").alias("b"))
     met = a.join(b, ["s", "x", "y"]).where("a < b OR x < y")
     common = met.select(F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id")).groupBy("source_id", "target_id").agg(F.count("*").cast("double").alias("n"))
     if weight_method == "count":
-        return common.withColumnRenamed("n", "weight")
+        return _decoded(common.withColumnRenamed("n", "weight"), codes)
     degree = pairs.groupBy("p").agg(F.count("*").cast("double").alias("d"))
     both = common.join(degree.toDF("source_id", "da"), "source_id").join(degree.toDF("target_id", "db"), "target_id")
     below = F.col("da") + F.col("db") - F.col("n") if weight_method == "jaccard" else F.least("da", "db")
-    return both.select("source_id", "target_id", (F.col("n") / below).alias("weight"))
+    return _decoded(both.select("source_id", "target_id", (F.col("n") / below).alias("weight")), codes)
+
+
+def _decoded(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs of codes as pairs of ids."""
+    a, b = codes.toDF("a", "source_code"), codes.toDF("b", "target_code")
+    out = pairs.join(a, F.col("source_id") == F.col("source_code")).join(b, F.col("target_id") == F.col("target_code"))
+    return out.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "weight")
 
 
 def calculate_projection_weight(neighbors1: set, neighbors2: set, shared_neighbors: int, weight_method: str) -> float:
@@ -107,9 +119,11 @@ def temporal_pairs(df: DataFrame, intermediate_col: str, projected_col: str, tim
     by = [F.col(f"o{k}") for k in range(len(given))] or [F.col("t").desc_nulls_last(), F.col("p")]
     one = rows.withColumn("k", F.row_number().over(Window.partitionBy("i", "p").orderBy(*by, "w"))).where("k = 1")
     ranked = checkpointed(one.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(*by))).select("i", "k", "p", "w", "t"))
+    codes = checkpointed(dense_codes(ranked, "p"))
+    ranked = checkpointed(ranked.join(codes, F.col("p") == F.col("node_id")).select("i", "k", F.col("code").alias("p"), "w", "t"))
     large = checkpointed(ranked.groupBy("i").agg(F.ceil(F.max("k") / PART).alias("parts")).where("parts > 1"))
     split = ranked.join(small(large), "i", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    left, right = _met(split, F.floor((F.col("k") - 1) / PART), F.col("parts"))
+    left, right = _met(split, "i", F.floor((F.col("k") - 1) / PART), F.col("parts"))
     late = left.select("i", "x", "y", F.col("k").alias("ka"), F.col("p").alias("source_id"), F.col("w").alias("wa"), F.col("t").alias("ta"))
     early = right.select("i", "x", "y", F.col("k").alias("kb"), F.col("p").alias("target_id"), F.col("w").alias("wb"), F.col("t").alias("tb"))
     pairs = late.join(early, ["i", "x", "y"]).where("ka < kb")
@@ -119,7 +133,7 @@ def temporal_pairs(df: DataFrame, intermediate_col: str, projected_col: str, tim
     if add_edge_weights and time_decay and timestamp_col:
         seconds = F.abs(F.unix_micros("ta") - F.unix_micros("tb"))
         weight = weight / (1 + F.floor(seconds / 1_000_000) / 86400)
-    return pairs.groupBy("source_id", "target_id").agg(F.sum(weight).alias("weight"))
+    return _decoded(pairs.groupBy("source_id", "target_id").agg(F.sum(weight).alias("weight")), codes)
 
 
 def temporal_bipartite_to_unipartite(edgelist: str | Path | DataFrame | EdgeList, source_col: str = "source", target_col: str = "target", timestamp_col: str | None = None, weight_col: str | None = None, intermediate_col: str = "target", projected_col: str = "source", remove_self_loops: bool = True, add_edge_weights: bool = True, time_decay: bool = False, verbose: bool = True, *, id_mapper: IDMapper | None = None, output_format: str | None = None, order: list[Column] | None = None, spark: SparkSession | None = None) -> DataFrame | tuple[EdgeList, IDMapper]:

@@ -17,6 +17,7 @@ from netspark.functions.weights import log1p_transform, tanh_transform, transfor
 from netspark.operators import backbone, categories, centrality, communities, construct, embed, evaluate, filters, project, propagate, reduce, seeds, temporal, text, validate, validators
 from netspark.operators.components import connected_components, giant_component
 from netspark.plans import pipelines
+from netspark.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -387,7 +388,7 @@ _PR = "SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(sum(v * p)
 
 @query(f"WITH {PEERS}, {_SYM}, {_rounds(10, _PR, 'SELECT id, 1.0 / (SELECT count(*) FROM n) AS v FROM n')} SELECT id AS node_id, round(v, 6) AS value FROM x10")
 def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
-    e = peers(spark, d)
+    e = checkpointed(peers(spark, d))
     return r6(centrality.power_iteration(e, endpoints(e).distinct(), "pagerank", iterations=10, tol=0.0))
 
 
