@@ -20,12 +20,16 @@ BITS, SEGMENT = 256, 8
 SEGMENTS = BITS // SEGMENT
 MAX_DISTANCE = 36
 CHAIN = 8
-#: Segments at the begin of a chain whose bits are the key of the search within a cell.
+#: Segments at the begin of a chain whose differences key_masks() lists.
 KEYED = 3
 #: Signatures that one task compares; a cell of more is split by the bits of its chains' first segment, and then into blocks of which every two meet.
 CELL = 1_000_000
-#: Pairs that are looked at at once.
-PAIRS = 1 << 22
+#: Bits of the first segment that are a key at most; there are fewer for few signatures, so that FULL or more share a key.
+KEY_BITS, FULL = 14, 16
+#: Pairs that are looked at at once: a table of their differing bits stays in the cache.
+PAIRS = 1 << 16
+#: Members of a bucket from which on those that are connected are looked at as a whole, and rows that are tried for that.
+LARGE, TRIED = 64, 8
 
 
 def _lanes() -> np.ndarray:
@@ -89,17 +93,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
 
 
-def budgets(most: int, chain: int = CHAIN) -> list[int]:
+def budgets(most: int, chain: int = CHAIN, segments: int = SEGMENTS) -> list[int]:
     """Differences that the first l segments of a chain may have, l = 1.. chain."""
-    return [length * most // SEGMENTS for length in range(1, chain + 1)]
+    return [length * most // segments for length in range(1, chain + 1)]
 
 
-def key_masks(most: int, keyed: int = KEYED) -> np.ndarray:
-    """Differences of two keys, of the first keyed segments of a chain, that stay within the budgets; 0 first, then by their number of bits."""
+def key_masks(most: int, keyed: int = KEYED, segment: int = SEGMENT, segments: int = SEGMENTS) -> np.ndarray:
+    """Differences of two keys, of the first keyed segments (of so many bits) of a chain, that stay within the budgets; 0 first, then by their number of bits."""
     masks = np.zeros(1, np.int64)
-    one = np.arange(1 << SEGMENT)
-    for limit in budgets(most, keyed):
-        masks = ((masks[:, None] << SEGMENT) | one).ravel()
+    one = np.arange(1 << segment)
+    for limit in budgets(most, keyed, segments):
+        masks = ((masks[:, None] << segment) | one).ravel()
         masks = masks[np.bitwise_count(masks) <= limit]
     return masks[np.lexsort((masks, np.bitwise_count(masks)))]
 
@@ -114,11 +118,6 @@ def viable(x: np.ndarray, chain: int, most: int) -> np.ndarray:
     return begins.any(axis=1)
 
 
-def _chained(x: np.ndarray, limits: list[int]) -> np.ndarray:
-    """Which rows of differing bits have such a chain at their own first segment."""
-    return (np.cumsum(np.bitwise_count(x.view(np.uint8))[:, : len(limits)], axis=1, dtype=np.int32) <= limits).all(axis=1)
-
-
 def bucket_links(s: np.ndarray, most: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of a spanning forest over the signatures (rows x 4, unsigned) of one bucket: both ends and their distance.
 
@@ -156,20 +155,43 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
 
 
+def ring(most: int) -> list[int]:
+    """First bits of the ring's segments, and BITS: as few segments as there can be so that one that begins a chain has one difference at most."""
+    n = most // 2 + 1
+    return [BITS * i // n for i in range(n + 1)]
+
+
+def rotated(s: np.ndarray, bits: int) -> np.ndarray:
+    """Signatures (rows x 4, unsigned; the first number holds the first bits, its lowest the very first) turned so that they begin at another bit."""
+    s = np.roll(s, -(bits // 64), axis=1)
+    return (s >> U(bits % 64)) | (np.roll(s, -1, axis=1) << U(64 - bits % 64)) if bits % 64 else s
+
+
 class Forest:
-    """Signatures of one cell, rotated so that their chains begin at the first segment, and the links found so far."""
+    """Signatures of one cell, rotated so that their chains begin at the first bit, and the links found so far.
+
+    A bucket has one key: the lowest bits of the first segment, of which a
+    chain's begin may differ in one. Members of two such buckets are compared
+    all with all by their first 64 bits, which belong to the first segments of
+    the chain and so have a budget that hardly any pair of different texts
+    stays within. The cell's own signatures have group as the lowest bits of
+    their key; it has others only to compare its own with.
+    """
 
-    def __init__(self, s: np.ndarray, most: int, chain: int):
-        key = np.zeros(len(s), np.int64)
-        for i in range(KEYED):
-            key = (key << SEGMENT) | s.view(np.uint8)[:, i]
+    def __init__(self, s: np.ndarray, most: int, width: int, group: int = 0, bits: int = 0):
+        starts = ring(most)
+        self.most, self.segments = most, len(starts) - 1
+        self.limit = budgets(most, min(self.segments, -(-64 // int(np.diff(starts).min()))), self.segments)[-1]
+        self.width = max(bits, min(width, (len(s) // FULL).bit_length() - 1, KEY_BITS), 0)
+        key = (s[:, 0] & U((1 << self.width) - 1)).astype(np.int64)
         self.order = np.argsort(key, kind="stable")
         self.s, key = s[self.order], key[self.order]
-        self.most, self.limits, self.parent = most, budgets(most, chain), np.arange(len(s))
-        self.word, self.word_limit = np.ascontiguousarray(self.s[:, 0]), 64 // SEGMENT * most // SEGMENTS
+        self.word, self.parent = np.ascontiguousarray(self.s[:, 0]), np.arange(len(s))
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         self.key, self.first, self.size = key[begin], begin, np.diff(np.append(begin, len(s)))
+        self.own = np.flatnonzero(self.key & ((1 << bits) - 1) == group)
         self.ends: list[tuple[int, int, int]] = []
+        self.differing, self.counts = np.empty(PAIRS, U), np.empty(PAIRS, np.uint8)
 
     def join(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         """Keep those of the links that connect what nothing did."""
@@ -185,119 +207,111 @@ class Forest:
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 self.ends.append((int(a[i]), int(b[i]), int(d[i])))
+        parent[a], parent[b] = _roots(parent, a), _roots(parent, b)
 
-    def check(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """Join the pairs of members within the distance; whether there were any. The chain prunes first by its first 64 bits, then segment by segment."""
-        near = np.flatnonzero(np.bitwise_count(self.word[a] ^ self.word[b]) <= self.word_limit)
-        x = self.s[a[near]] ^ self.s[b[near]]
-        ok = _chained(x, self.limits)
-        near, x = near[ok], x[ok]
-        d = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        near, d = near[d <= self.most], d[d <= self.most]
-        if len(near):
-            self.join(a[near], b[near], d)
-        return len(near) > 0
+    def check(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the pairs of members within the distance that aren't connected yet."""
+        new = _roots(self.parent, a) != _roots(self.parent, b)
+        a, b = a[new], b[new]
+        d = np.bitwise_count(self.s[a] ^ self.s[b]).sum(axis=1, dtype=np.int64)
+        near = d <= self.most
+        if near.any():
+            self.join(a[near], b[near], d[near])
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Look for links between the members of groups a and b (indices of groups, pairwise) that aren't connected yet, some PAIRS at a time."""
-        while len(a):
-            new = _roots(self.parent, self.group_first[a]) != _roots(self.parent, self.group_first[b])
-            a, b = a[new], b[new]
-            if not len(a):
+        """Look for links between all of members a and all of b, some PAIRS at a time."""
+        x, y = self.word[a], self.word[b]
+        across = max(1, min(len(b), PAIRS))
+        down = PAIRS // across
+        for i in range(0, len(a), down):
+            for j in range(0, len(b), across):
+                u, v = x[i : i + down], y[j : j + across]
+                n = len(u) * len(v)
+                np.bitwise_xor.outer(u, v, out=self.differing[:n].reshape(len(u), len(v)))
+                few = np.flatnonzero(np.bitwise_count(self.differing[:n], out=self.counts[:n]) <= self.limit)
+                if len(few):
+                    self.check(a[i + few // len(v)], b[j + few % len(v)])
+
+    def same_key(self, first: int, size: int) -> None:
+        """Links within a bucket. One that is mostly near copies is searched so that they cost little more than their number."""
+        members = np.arange(first, first + size)
+        s = self.s[first : first + size]
+        if size > LARGE:
+            tried = s[:: -(-size // TRIED)]
+            if max((np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64) <= self.most).sum() for t in tried) > size // TRIED:
+                a, b, d = bucket_links(s, self.most, CHAIN)
+                if len(a):
+                    self.join(a + first, b + first, d)
                 return
-            pairs = np.cumsum(self.group_size[a] * self.group_size[b])
-            n = int(np.searchsorted(pairs, PAIRS, "right"))
-            if n:
-                size = self.group_size[b[:n]]
-                left = _ranges(self.group_first[a[:n]], self.group_size[a[:n]])
-                width = np.repeat(size, self.group_size[a[:n]])
-                self.check(np.repeat(left, width), _ranges(np.repeat(self.group_first[b[:n]], self.group_size[a[:n]]), width))
-            else:  # two large groups, which one link makes one
-                n, other = 1, np.arange(self.group_size[b[0]]) + self.group_first[b[0]]
-                step = max(1, PAIRS // len(other))
-                members = np.arange(self.group_size[a[0]]) + self.group_first[a[0]]
-                for i in range(0, len(members), step):
-                    part = members[i : i + step]
-                    if self.check(np.repeat(part, len(other)), np.tile(other, len(part))):
-                        break
-            a, b = a[n:], b[n:]
-
-    def same_key(self) -> None:
-        """Links within buckets of one key; then members of a bucket that are connected become one group, so that later keys look at a group as a whole."""
-        for i in np.flatnonzero(self.size > 64).tolist():
-            a, b, d = bucket_links(self.s[self.first[i] : self.first[i] + self.size[i]], self.most, len(self.limits))
-            if len(a):
-                self.join(a + self.first[i], b + self.first[i], d)
-        few = np.flatnonzero((self.size > 1) & (self.size <= 64))
+        down = max(1, PAIRS // size)
+        for i in range(0, size, down):
+            self.compare(members[i : i + down], members[i + 1 :])
+
+    def other_key(self, members: np.ndarray, others: np.ndarray) -> None:
+        """Links between a bucket and its neighbours; many members that are connected aren't compared with what they are connected with."""
+        if len(members) > LARGE:
+            root = _roots(self.parent, members)
+            roots, n = np.unique(root, return_counts=True)
+            for r in roots[n > LARGE].tolist():
+                same, step = members[root == r], TRIED
+                while len(same) and len(others):
+                    now = _roots(self.parent, others) != _roots(self.parent, same[:1])
+                    self.compare(same[:step], others[now])
+                    same, step = same[step:], PAIRS // LARGE
+            members = members[np.isin(root, roots[n > LARGE], invert=True)]
+        if len(members):
+            self.compare(members, others)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ends and distances of a spanning forest of all pairs of the cell whose chain begins at their first segment."""
+        few = self.own[(self.size[self.own] > 1) & (self.size[self.own] <= FULL)]
         for n in np.unique(self.size[few]).tolist():
             i, j = np.triu_indices(n, 1)
             begin = self.first[few[self.size[few] == n]]
             for k in range(0, len(begin), max(1, PAIRS // len(i))):
                 part = begin[k : k + max(1, PAIRS // len(i)), None]
-                self.check((part + i).ravel(), (part + j).ravel())
-        root = _roots(self.parent, np.arange(len(self.parent)))
-        bucket = np.repeat(np.arange(len(self.first)), self.size)
-        order = np.lexsort((root, bucket))
-        self._reorder(order)
-        root, bucket = _roots(self.parent, np.arange(len(self.parent))), bucket[order]
-        begin = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (bucket[1:] != bucket[:-1])]))
-        self.group_first, self.group_size = begin, np.diff(np.append(begin, len(root)))
-        self.groups_first = np.searchsorted(begin, self.first)
-        self.groups = np.diff(np.append(self.groups_first, len(begin)))
-
-    def _reorder(self, order: np.ndarray) -> None:
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        root = place[_roots(self.parent, order)]
-        least = np.full(len(order), len(order))
-        np.minimum.at(least, root, np.arange(len(order)))
-        self.order, self.s, self.word = self.order[order], self.s[order], self.word[order]
-        self.parent = least[root]
-        self.ends = [(int(place[a]), int(place[b]), d) for a, b, d in self.ends]
-
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both ends and distances of a spanning forest of all pairs in the cell whose chain begins at their first segment."""
-        self.same_key()
-        there = np.zeros(1 << KEYED * SEGMENT, bool)
-        there[self.key] = True
-        low = [self.key[(self.key >> bit) & 1 == 0] for bit in range(KEYED * SEGMENT)]
-        for mask in key_masks(self.most)[1:].tolist():
-            mine = low[(mask & -mask).bit_length() - 1]  # of two keys that differ so, the one without the lowest bit
-            mine = mine[np.flatnonzero(there.take(mine ^ mask, mode="clip"))]
-            if not len(mine):
-                continue
-            a, b = np.searchsorted(self.key, mine), np.searchsorted(self.key, mine ^ mask)
-            width = np.repeat(self.groups[b], self.groups[a])
-            left = np.repeat(_ranges(self.groups_first[a], self.groups[a]), width)
-            self.compare(left, _ranges(np.repeat(self.groups_first[b], self.groups[a]), width))
+                a, b = (part + i).ravel(), (part + j).ravel()
+                near = np.bitwise_count(self.word[a] ^ self.word[b]) <= self.limit
+                self.check(a[near], b[near])
+        for i in self.own[self.size[self.own] > FULL].tolist():
+            self.same_key(int(self.first[i]), int(self.size[i]))
+        masks = key_masks(self.most, 1, self.width, self.segments)[1:]
+        place = np.full(1 << self.width, -1)
+        place[self.key] = np.arange(len(self.key))
+        for i in self.own.tolist():
+            key = self.key[i]
+            near = place[key | masks[key & masks == 0]]  # of two keys that differ so, the one without the bit
+            near = near[near >= 0]
+            if len(near):
+                self.other_key(np.arange(self.first[i], self.first[i] + self.size[i]), _ranges(self.first[near], self.size[near]))
         a, b, d = (np.array(x, np.int64) for x in zip(*self.ends, strict=True)) if self.ends else (np.zeros(0, np.int64),) * 3
         return self.order[a], self.order[b], d
 
 
-def group_bits(n: int, cell: int) -> int:
-    """Bits of a chain's first segment by which n signatures are told apart so that a cell has about cell of them."""
-    return min(SEGMENT, max(0, (-(-n // cell) - 1).bit_length()))
+def group_bits(n: int, cell: int, most: int) -> int:
+    """Lowest bits of a chain's first segment by which n signatures are told apart so that a cell has about cell of them, with those of its neighbours."""
+    most_bits = min(KEY_BITS, int(np.diff(ring(most)).min()))
+    return next((bits for bits in range(most_bits) if n * (2 + bits) <= cell << (bits + 1)), most_bits)
 
 
-def _cells(first: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``group, rows`` for first segments of chains: a row's own group, and the lower ones that differ in one bit, since the first segment may."""
-    own = first.astype(np.int64) >> (SEGMENT - bits)
-    out = [(own, np.arange(len(first)))]
+def _cells(own: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``group, rows`` for the groups of rows: a row's own group, and the lower ones that differ in one bit, since the first segment may."""
+    out = [(own, np.arange(len(own)))]
     for bit in range(bits):
         some = np.flatnonzero(own & (1 << bit))
         out.append((own[some] ^ (1 << bit), some))
     return out
 
 
-def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CHAIN, cell: int = CELL) -> DataFrame:
+def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, cell: int = CELL) -> DataFrame:
     """``a, b, distance``: links between ids whose signatures (id, s0..s3; one row each) differ in at most most bits, as many as connect what all such pairs connect.
 
     Complete for most up to 63: by the pigeonring principle some segment of
     every such pair begins a chain within its budgets. Each signature goes to
-    one cell for every segment, where Forest tries all differences of the
-    chain's first KEYED segments that the budgets allow. Beyond cell
+    one cell for every segment of ring(), where Forest compares it with all
+    whose first segments differ in a bit at most. Beyond cell
     signatures a cell is split by bits of the first segment (of which the
-    budget may spend one, so neighbouring cells exchange signatures), and if one is
+    budget may spend one, so cells get signatures of their neighbours), and if one is
     still larger, as of a text with very many copies, into blocks, a task for
     every two. The result is the same for any size of cell.
     """
@@ -306,12 +320,13 @@ def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CH
     id_type = distinct.schema["id"].dataType
     kind = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("distance", T.IntegerType())])
-    bits = group_bits(distinct.count(), cell)
+    starts = ring(most)
+    bits = group_bits(distinct.count(), cell, most)
     parts: dict[tuple[int, int], int] = {}
     if bits:
-        # At most SEGMENTS x 256 rows, whatever the input.
-        segments = [F.shiftrightunsigned(F.col(f"s{i * SEGMENT // 64}"), i * SEGMENT % 64).bitwiseAND((1 << SEGMENT) - 1) for i in range(SEGMENTS)]
-        counts = distinct.select(F.posexplode(F.array(*segments)).alias("place", "first")).groupBy("place", "first").count().collect()
+        # At most len(starts) - 1 rows for each of the 2 ** bits groups, as many as there are cells.
+        words = [F.shiftrightunsigned(f"s{k // 64}", k % 64) if k % 64 + bits <= 64 else F.shiftrightunsigned(f"s{k // 64}", k % 64).bitwiseOR(F.shiftleft(f"s{k // 64 + 1}", 64 - k % 64)) for k in starts[:-1]]
+        counts = distinct.select(F.posexplode(F.array(*[w.bitwiseAND(F.lit((1 << bits) - 1)) for w in words])).alias("place", "first")).groupBy("place", "first").count().collect()
         for r in counts:
             for group, rows in _cells(np.array([r["first"]]), bits):
                 if len(rows):
@@ -324,28 +339,32 @@ def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CH
         for batch in batches:
             if not len(batch):
                 continue
-            s = np.stack([batch.column(f"s{i}").to_numpy() for i in range(4)], axis=1)
-            every, own = s.view(np.uint8), mix(np.ascontiguousarray(s[:, 0]).view(U))
-            keys, takes = [], []
-            for place in range(SEGMENTS):
-                for group, rows in _cells(every[:, place], bits):
-                    for g in np.unique(group).tolist():
-                        at = rows[group == g]
+            s = np.stack([batch.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
+            own = mix(np.ascontiguousarray(s[:, 0]))
+            keys, takes, blobs = [], [], []
+            for place, start in enumerate(starts[:-1]):
+                turned = rotated(s, start)
+                for group, rows in _cells((turned[:, 0] & U((1 << bits) - 1)).astype(np.int64), bits):
+                    order = np.argsort(group, kind="stable")
+                    group, rows = group[order], rows[order]
+                    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[: len(group)]
+                    for g, at in zip(group[begin].tolist(), np.split(rows, begin[1:]), strict=False):
                         n = blocks.get((place, g), 1)
                         block = (own[at] % U(n)).astype(np.int64)
-                        for i in range(n):
-                            for j in range(i, n):
-                                both = at if n == 1 else at[(block == i) | (block == j)]
-                                if len(both) and (i < j or n == 1 or i == j == n - 1):
-                                    keys.append((place, g, i, j))
-                                    takes.append(both)
+                        for i, j in [(i, j) for i in range(n) for j in range(i + 1, n)] or [(0, 0)]:
+                            both = at if n == 1 else at[(block == i) | (block == j)]
+                            if len(both):
+                                keys.append((place, g, i, j))
+                                takes.append(both)
+                                blobs.append(turned[both].tobytes())
             ids = batch.column("id").take(pa.array(np.concatenate(takes)))
             offsets = np.cumsum([0, *map(len, takes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in zip(*keys, strict=True)], pa.ListArray.from_arrays(offsets, ids), pa.array([np.roll(every[at], -k[0], axis=1).tobytes() for k, at in zip(keys, takes, strict=True)], pa.binary())], sent.names)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in zip(*keys, strict=True)], pa.ListArray.from_arrays(offsets, ids), pa.array(blobs, pa.binary())], sent.names)
 
-    def links(ids: list[pa.Array], blobs: list[bytes]) -> pa.RecordBatch:
+    def links(key: tuple[int, int, int, int], ids: list[pa.Array], blobs: list[bytes]) -> pa.RecordBatch:
         own = pa.concat_arrays(ids)
-        a, b, d = Forest(np.frombuffer(b"".join(blobs), U).reshape(-1, 4), most, chain).links()
+        place, group, _, _ = key
+        a, b, d = Forest(np.frombuffer(b"".join(blobs), U).reshape(-1, 4), most, starts[place + 1] - starts[place], group, bits).links()
         return pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b)), pa.array(d.astype(np.int32))], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,12 +374,12 @@ def similar_links(distinct: DataFrame, most: int = MAX_DISTANCE, chain: int = CH
             for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
                 if key != now:
                     if ids:
-                        yield links(ids, blobs)
+                        yield links(now, ids, blobs)
                     now, ids, blobs = key, [], []
                 ids.append(lists[r].values.cast(kind))
                 blobs.append(s[r].as_py())
         if ids:
-            yield links(ids, blobs)
+            yield links(now, ids, blobs)
 
     rows = distinct.select("id", "s0", "s1", "s2", "s3").mapInArrow(send, sent)
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, schema)

@@ -104,3 +104,43 @@ def test_a_large_group_of_copies_is_one_group(spark):
     df = spark.createDataFrame([(i, edited(rng, t, 0.02)) for i in range(600)], "doc_id long, text string")
     rows = near_dup.near_duplicates(df).collect()
     assert len(rows) == 599 and {(r["keep_id"], r["group_size"]) for r in rows} == {(0, 600)}
+
+
+def test_hardly_a_pair_of_different_texts_is_looked_at_whole(monkeypatch):
+    """Of 2 * 10^8 pairs of unrelated signatures; what is looked at one by one grows by the square of the table."""
+    rng = np.random.default_rng(7)
+    s = rng.integers(0, 2**64, (20_000, 4), dtype=np.uint64)
+    s[1:101] = s[0]
+    for row in s[1:101]:
+        for bit in rng.choice(np.arange(64, 256), 10, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    looked, check = [], near_dup.Forest.check
+    monkeypatch.setattr(near_dup.Forest, "check", lambda self, a, b: (looked.append(int(np.sum(a != b))), check(self, a, b))[1])
+    a, b, d = near_dup.Forest(s, near_dup.MAX_DISTANCE, 8).links()
+    assert sorted({*a.tolist(), *b.tolist()}) == list(range(101)) and len(a) == 100 and (np.bitwise_count(s[a] ^ s[b]).sum(axis=1) == d).all()
+    assert sum(looked) < 101 * 101
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+@pytest.mark.parametrize("most", [5, 36, 63])
+def test_forests_of_all_segments_connect_what_all_pairs_connect(most, bits):
+    """Large and small groups of near copies among others, in whole cells and in groups with their neighbours."""
+    rng = np.random.default_rng(most)
+    s = rng.integers(0, 2**64, (5000, 4), dtype=np.uint64)
+    centre = np.concatenate([np.zeros(1200, int), rng.integers(1, 4, 900), rng.integers(4, 400, 900)])
+    s[2000:] = s[centre]
+    for row, n in zip(s[2000:], rng.integers(0, max(2, most), 3000), strict=True):
+        for bit in rng.choice(256, n, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    s = np.unique(s, axis=0)[rng.permutation(len(np.unique(s, axis=0)))]
+    links, starts = [], near_dup.ring(most)
+    for place, start in enumerate(starts[:-1]):
+        turned = near_dup.rotated(s, start)
+        cells = near_dup._cells((turned[:, 0] & np.uint64((1 << bits) - 1)).astype(np.int64), bits)
+        for g in range(1 << bits):
+            rows = np.concatenate([rows[group == g] for group, rows in cells])
+            a, b, d = near_dup.Forest(turned[rows], most, starts[place + 1] - start, g, bits).links()
+            assert (np.bitwise_count(s[rows[a]] ^ s[rows[b]]).sum(axis=1) == d).all() and (d <= most).all()
+            links += zip(rows[a].tolist(), rows[b].tolist(), strict=True)
+    near = [(i, int(j)) for i in range(len(s)) for j in np.flatnonzero(np.bitwise_count(s[i] ^ s[i + 1 :]).sum(axis=1) <= most) + i + 1]
+    assert near and groups(len(s), links) == groups(len(s), near)
