@@ -92,3 +92,20 @@ def test_odd_documents(spark, tmp_path):
             tokens[i] = tokens.get(i, 0) + n
     count = lambda t: int(packing.count_tokens(pa.array([t], pa.large_string()))[0])
     assert tokens == {1: 2 * count(a), 2: 2 * count(b) + 1, 5: count(long_)}
+
+
+def test_the_near_duplicate_stage_hardly_looks_at_texts_that_are_not(monkeypatch):
+    """Texts of one vocabulary, whose signatures are nearer to each other than random ones."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(40, 200)) for _ in range(4000)]
+    s = near_dup.simhash(pa.array(texts, pa.large_string()))[0].view(np.uint64)
+    far, check = [], near_dup.Forest.check
+
+    def looked(self, a, b):
+        far.append(int(np.sum(np.bitwise_count(self.s[a] ^ self.s[b]).sum(axis=1) > near_dup.MAX_DISTANCE)))
+        return check(self, a, b)
+
+    monkeypatch.setattr(near_dup.Forest, "check", looked)
+    for place in range(0, 32, 4):
+        near_dup.Forest(np.roll(s.view(np.uint8), -place, axis=1).copy().view(np.uint64), near_dup.MAX_DISTANCE, 8).links()
+    assert sum(far) < len(texts) // 10
