@@ -26,8 +26,12 @@ KEYED = 3
 CELL = 1_000_000
 #: Bits of the first segment that are a key at most; there are fewer for few signatures, so that FULL or more share a key.
 KEY_BITS, FULL = 14, 16
+#: Words of a text that are counted in one number for each bit of the count, and blocks of them that one byte can count.
+BLOCK, RUN = 16, 15
 #: Pairs that are looked at at once: a table of their differing bits stays in the cache.
 PAIRS = 1 << 16
+#: Bits that Sliced compares, members that it holds at most, words that it works on at once, and members and pairs from which on it pays.
+SLICED, MEMBERS, WORDS, FEW, PAYS = 24, 1024, 1 << 14, 32, 1 << 17
 #: Members of a bucket from which on those that are connected are looked at as a whole, and rows that are tried for that.
 LARGE, TRIED = 64, 8
 
@@ -38,6 +42,25 @@ def _lanes() -> np.ndarray:
 
 
 LANES = _lanes()
+#: Bit k of 0, 1, .. 15, as a whole number of such bits.
+NIBBLE = -(np.arange(16) >> np.arange(4)[:, None] & 1)[:, :, None].astype(U)
+
+
+def tallies(bits: np.ndarray) -> list[np.ndarray]:
+    """For numbers in blocks of BLOCK (the last axis), how many have each bit: bits 0, 1, .. 4 of these counts as numbers of the same bits."""
+    planes = [np.ascontiguousarray(np.moveaxis(bits, -1, 0))]
+    while len(planes[0]) > 1:
+        sums, carried = [], None
+        for x in planes:
+            a, b = x[: len(x) // 2], x[len(x) // 2 :]
+            one, both = a ^ b, a & b
+            if carried is not None:
+                both |= one & carried
+                one ^= carried
+            sums.append(one)
+            carried = both
+        planes = [*sums, carried]
+    return [x[0] for x in planes]
 
 
 def simhash(column: pa.Array, splitter: Splitter | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +85,32 @@ def simhash(column: pa.Array, splitter: Splitter | None = None) -> tuple[np.ndar
             word = mix(key & U((1 << 46) - 1))
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             length = np.diff(np.append(begin, len(row)))
-            counts = np.zeros((d - c, BITS), np.int32)
-            # A byte of a lane holds up to 255, so rows are cut into runs of at most 255 words.
-            runs = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(begin, length, strict=True)])
+            # The words of a row fill blocks of BLOCK, the last of them up with words without a bit.
+            blocks = -(-length // BLOCK)
+            first = np.cumsum(blocks) - blocks
+            place = np.arange(len(word)) + np.repeat(first * BLOCK - begin, length)
+            counts = np.zeros((len(begin), BITS), np.int32)
+            # A byte of a lane holds up to 255, so rows are cut into runs of at most 15 blocks.
+            number = -(-blocks // RUN)
+            owner = np.repeat(np.arange(len(begin)), number)
+            runs = np.repeat(first - RUN * (np.cumsum(number) - number), number) + RUN * np.arange(len(owner))
             for k in range(0, len(runs), 256):
                 part = runs[k : k + 256]
-                lo, hi = part[0], runs[k + 256] if k + 256 < len(runs) else len(word)
-                w = word[lo:hi]
-                bits = np.stack([mix(w + U(s * 0x9E3779B97F4A7C15 % 2**64)) for s in range(1, 5)], axis=1)
-                sums = np.add.reduceat(LANES[bits.view(np.uint8)], part - lo, axis=0).view(np.uint8).reshape(len(part), BITS)
-                np.add.at(counts, row[part], sums)
+                lo, hi = part[0], runs[k + 256] if k + 256 < len(runs) else first[-1] + blocks[-1]
+                x, y = np.searchsorted(place, [lo * BLOCK, hi * BLOCK])
+                bits = np.zeros((4, BLOCK * (hi - lo)), U)
+                for s in range(4):
+                    bits[s, place[x:y] - lo * BLOCK] = mix(word[x:y] + U((s + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                lanes = np.zeros((hi - lo, 32), U)
+                for weight, ones in enumerate(tallies(bits.reshape(4, hi - lo, BLOCK))):
+                    lanes += LANES.take(np.ascontiguousarray(ones.T).view(np.uint8)) << U(weight)
+                sums = np.add.reduceat(lanes, part - lo, axis=0).view(np.uint8).reshape(len(part), BITS)
+                of = owner[k : k + 256]
+                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                counts[of[new]] += np.add.reduceat(sums, new, axis=0, dtype=np.int32)
             at = row[begin]
             sizes[a + c + at] = length
-            signatures[a + c + at] = np.packbits(2 * counts[at] > length[:, None], axis=1).view(np.int64)
+            signatures[a + c + at] = np.packbits(2 * counts > length[:, None], axis=1).view(np.int64)
     return signatures, sizes
 
 
@@ -167,12 +203,72 @@ def rotated(s: np.ndarray, bits: int) -> np.ndarray:
     return (s >> U(bits % 64)) | (np.roll(s, -1, axis=1) << U(64 - bits % 64)) if bits % 64 else s
 
 
+class Sliced:
+    """Members of a bucket, of which it tells which differ from a word in few of SLICED bits after the lowest skip.
+
+    A number of 64 bits holds one bit of a count for each of 64 members, so
+    counts are added for 64 pairs at a time. Those of each byte are looked up,
+    with 7 for 8; that makes a pair too many of limits from 7 on, never one too few.
+    """
+
+    def __init__(self, word: np.ndarray, skip: int):
+        self.skip, n = skip, len(word)
+        self.width = w = -(-n // 64)
+        bits = np.zeros((SLICED, 64 * w), np.uint8)
+        bits[:, :n] = word >> np.arange(skip, skip + SLICED, dtype=U)[:, None] & U(1)
+        own = np.packbits(bits, axis=1, bitorder="little").view(U).reshape(-1, 4, 1, w)
+        # Of each 4 bits, the counts (at most 4) of those that differ from 0, 1, .. 15.
+        a, b, c, d = (own[:, k] ^ NIBBLE[k] for k in range(4))
+        ab, cd, two, more = a ^ b, c ^ d, a & b, c & d
+        counts = [ab ^ cd, two ^ more ^ (ab & cd), two & more]
+        low, high = [x[::2].reshape(-1, 1, 16 * w) for x in counts], [np.tile(x[1::2, :, None], (1, 1, 16, 1)).reshape(-1, 16, 16 * w) for x in counts]
+        *sums, eight = self.plus(low, high)
+        self.counts = [[x.reshape(256, w) for x in of] for of in zip(*(x | eight for x in sums), strict=True)]
+        self.real = np.packbits(np.arange(64 * w) < n, bitorder="little").view(U)
+
+    @staticmethod
+    def plus(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        """Bits of the sums of numbers of three bits, and what is carried."""
+        out, carried = [], None
+        for x, y in zip(a, b, strict=True):
+            one, both = x ^ y, x & y
+            if carried is None:
+                out.append(one)
+                carried = both
+            else:
+                out.append(one ^ carried)
+                one &= carried
+                both |= one
+                carried = both
+        return [*out, carried]
+
+    def near(self, word: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members and words (some WORDS // width) of the pairs with at most limit differences."""
+        (*sums,), *others = [[x.take((word >> U(self.skip + 8 * byte) & U(255)).astype(np.intp), axis=0, mode="clip") for x in counts] for byte, counts in enumerate(self.counts)]
+        for more in others:
+            *three, carried = self.plus(sums[:3], more)
+            sums = [*three, *([carried] if len(sums) == 3 else [sums[3] ^ carried, sums[3] & carried])]
+        above = None  # whether the lower bits are above those of limit
+        for k, x in enumerate(sums):
+            if above is None:
+                above = None if limit >> k & 1 else x
+            else:
+                above = above & x if limit >> k & 1 else above | x
+        found = (~above & self.real).ravel()
+        at = np.flatnonzero(found != 0)
+        pair = np.flatnonzero(np.unpackbits(found[at].view(np.uint8), bitorder="little").view(bool))
+        at = at[pair >> 6]
+        row = at // self.width
+        return (at - row * self.width) * 64 + (pair & 63), row
+
+
 class Forest:
     """Signatures of one cell, rotated so that their chains begin at the first bit, and the links found so far.
 
     A bucket has one key: the lowest bits of the first segment, of which a
     chain's begin may differ in one. Members of two such buckets are compared
-    all with all by their first 64 bits, which belong to the first segments of
+    all with all: many by SLICED bits of the next segments, and what is left of
+    them by their first 64 bits, which belong to the first segments of
     the chain and so have a budget that hardly any pair of different texts
     stays within. The cell's own signatures have group as the lowest bits of
     their key; it has others only to compare its own with.
@@ -181,11 +277,12 @@ class Forest:
     def __init__(self, s: np.ndarray, most: int, width: int, group: int = 0, bits: int = 0):
         starts = ring(most)
         self.most, self.segments = most, len(starts) - 1
-        self.limit = budgets(most, min(self.segments, -(-64 // int(np.diff(starts).min()))), self.segments)[-1]
+        self.skip = min(width, 64 - SLICED)
+        self.limit, self.sliced = (budgets(most, min(self.segments, -(-n // int(np.diff(starts).min()))), self.segments)[-1] for n in (64, self.skip + SLICED))
         self.width = max(bits, min(width, (len(s) // FULL).bit_length() - 1, KEY_BITS), 0)
-        key = (s[:, 0] & U((1 << self.width) - 1)).astype(np.int64)
+        key = (s[:, 0] & U((1 << self.width) - 1)).astype(np.uint16)
         self.order = np.argsort(key, kind="stable")
-        self.s, key = s[self.order], key[self.order]
+        self.s, key = s[self.order], key[self.order].astype(np.int64)
         self.word, self.parent = np.ascontiguousarray(self.s[:, 0]), np.arange(len(s))
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         self.key, self.first, self.size = key[begin], begin, np.diff(np.append(begin, len(s)))
@@ -218,9 +315,19 @@ class Forest:
         if near.any():
             self.join(a[near], b[near], d[near])
 
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Look for links between all of members a and all of b, some PAIRS at a time."""
+    def compare(self, a: np.ndarray, b: np.ndarray, spent: int = 0) -> None:
+        """Look for links between all of members a and all of b, whose keys differ in spent bits, some PAIRS at a time or 64 pairs in one number."""
         x, y = self.word[a], self.word[b]
+        if len(a) >= FEW and len(a) * len(b) >= PAYS:
+            for i in range(0, len(a), MEMBERS):
+                held = Sliced(x[i : i + MEMBERS], self.skip)
+                for j in range(0, len(b), step := WORDS // held.width):
+                    u, v = held.near(y[j : j + step], self.sliced - spent)
+                    u, v = u + i, v + j
+                    few = np.bitwise_count(x[u] ^ y[v]) <= self.limit
+                    if few.any():
+                        self.check(a[u[few]], b[v[few]])
+            return
         across = max(1, min(len(b), PAIRS))
         down = PAIRS // across
         for i in range(0, len(a), down):
@@ -238,14 +345,15 @@ class Forest:
         s = self.s[first : first + size]
         if size > LARGE:
             tried = s[:: -(-size // TRIED)]
-            if max((np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64) <= self.most).sum() for t in tried) > size // TRIED:
+            # Most buckets have so few that are alike in the first word that the others needn't be read.
+            alike = (np.bitwise_count(np.bitwise_xor.outer(tried[:, 0], self.word[first : first + size])) <= self.most // 2).sum(axis=1)
+            if alike.max() > size // TRIED and max((np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64) <= self.most).sum() for t in tried) > size // TRIED:
                 a, b, d = bucket_links(s, self.most, CHAIN)
                 if len(a):
                     self.join(a + first, b + first, d)
                 return
-        down = max(1, PAIRS // size)
-        for i in range(0, size, down):
-            self.compare(members[i : i + down], members[i + 1 :])
+        for i in range(0, size, MEMBERS):
+            self.compare(members[i : i + MEMBERS], members[i:])
 
     def other_key(self, members: np.ndarray, others: np.ndarray) -> None:
         """Links between a bucket and its neighbours; many members that are connected aren't compared with what they are connected with."""
@@ -256,11 +364,11 @@ class Forest:
                 same, step = members[root == r], TRIED
                 while len(same) and len(others):
                     now = _roots(self.parent, others) != _roots(self.parent, same[:1])
-                    self.compare(same[:step], others[now])
+                    self.compare(same[:step], others[now], 1)
                     same, step = same[step:], PAIRS // LARGE
             members = members[np.isin(root, roots[n > LARGE], invert=True)]
         if len(members):
-            self.compare(members, others)
+            self.compare(members, others, 1)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both ends and distances of a spanning forest of all pairs of the cell whose chain begins at their first segment."""

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ODD, edited, groups, near_groups, odd_rows, prose
 
@@ -144,3 +145,57 @@ def test_forests_of_all_segments_connect_what_all_pairs_connect(most, bits):
             links += zip(rows[a].tolist(), rows[b].tolist(), strict=True)
     near = [(i, int(j)) for i in range(len(s)) for j in np.flatnonzero(np.bitwise_count(s[i] ^ s[i + 1 :]).sum(axis=1) <= most) + i + 1]
     assert near and groups(len(s), links) == groups(len(s), near)
+
+
+def test_counts_in_slices_are_those_of_pairs():
+    """Members in whole and in begun numbers of 64, limits up to where 7 stands for 8, and every number of skipped bits."""
+    rng = np.random.default_rng(8)
+    for n, skip, limit in [(1, 0, 2), (64, 13, 4), (65, 14, 5), (300, 40, 0), (1024, 8, 6)]:
+        member, word = rng.integers(0, 2**64, n, dtype=np.uint64), rng.integers(0, 2**64, 200, dtype=np.uint64)
+        word[:100] = member[rng.integers(0, n, 100)] ^ (np.uint64(rng.integers(1, 256)) << np.uint64(skip + 8))
+        a, b = near_dup.Sliced(member, skip).near(word, limit)
+        few = np.bitwise_count((member[:, None] ^ word) >> np.uint64(skip) & np.uint64((1 << near_dup.SLICED) - 1)) <= limit
+        assert len(a) == few.sum() and few[a, b].all()
+    held = near_dup.Sliced(np.zeros(1, np.uint64), 8)
+    word = (np.uint64(1) << np.arange(33, dtype=np.uint64)) - np.uint64(1)
+    assert {int(x) for x in held.near(word, 9)[1]} >= set(range(18))
+
+
+def test_large_tables_hardly_look_at_pairs_one_by_one(monkeypatch):
+    """Buckets as large as those of 6 GB (180 signatures and more): nearly all pairs are counted 64 at a time."""
+    rng = np.random.default_rng(9)
+    s = rng.integers(0, 2**64, (100_000, 4), dtype=np.uint64)
+    s[:, 0] &= ~np.uint64(31 << 8)
+    s[1] = s[0] ^ np.uint64(1 << 20)
+    one, count = [0], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **more: (one.append(x.size), count(x, **more))[1])
+    a, b, d = near_dup.Forest(s, near_dup.MAX_DISTANCE, 13).links()
+    assert (sorted([*a.tolist(), *b.tolist()]), d.tolist()) == ([0, 1], [4])
+    pairs = 100_000**2 / 2 * 9 / 256
+    assert sum(one) < pairs / 10
+
+
+def test_tallies_count_each_bit():
+    rng = np.random.default_rng(10)
+    bits = rng.integers(0, 2**64, (3, 50, near_dup.BLOCK), dtype=np.uint64)
+    bits[0, 0] = 2**64 - 1
+    counts = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(3, 50, near_dup.BLOCK, 64).sum(axis=2)
+    planes = [np.unpackbits(x.copy().view(np.uint8), bitorder="little").reshape(3, 50, 64).astype(int) for x in near_dup.tallies(bits)]
+    assert (sum(x << k for k, x in enumerate(planes)) == counts).all()
+
+
+def test_signatures_of_rows_of_any_length_are_those_of_a_plain_count():
+    """Around blocks of 16 and runs of 240 words, and beyond what a byte counts; rows without words between."""
+    rng = random.Random(12)
+    sizes = [1, 15, 16, 17, 0, 239, 240, 241, 480, 481, 0, 5000, 2]
+    texts = [" ".join(f"w{rng.getrandbits(60)}" for _ in range(n)) for n in sizes]
+    found, n = near_dup.simhash(pa.array(texts, pa.large_string()))
+    assert n.tolist() == sizes
+    for text, row in zip(texts, found, strict=True):
+        hashes = near_dup.Splitter().words(pa.array([text], pa.large_string())).hash
+        word = near_dup.mix(np.unique(hashes >> np.uint64(18)))
+        counts = np.zeros(256, int)
+        for k in range(4):
+            lane = near_dup.mix(word + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            counts[64 * k : 64 * k + 64] = np.unpackbits(lane.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        assert (np.packbits(2 * counts > len(word)).view(np.int64) == row).all()
