@@ -12,15 +12,18 @@ from pyspark.sql import types as T
 
 from netspark.llm import _scratch
 from netspark.llm._tokens import Splitter, U, Words, chunks, mix, shingles, signed, string_column
+from netspark.llm.lm_score import _ascending, _numbers, _opened, _packed, _planes, _sorted
 
 #: Shards, share by which one may exceed the mean, rounds at most, words of a shingle, consecutive shingles (a power of two) of which the least links documents.
-SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 10, 8, 32
+SHARDS, SLACK, ROUNDS, SHINGLE, WINDOW = 16, 0.05, 20, 8, 32
 #: Rounds end when fewer than this share of the linked documents moves.
-STILL = 0.01
+STILL = 0.001
 #: Parts of a quota: candidates of equal gain are admitted by such parts of their hashes.
 PARTS = 256
 #: Gains are told apart by their powers of two, up to this one.
 MOST_GAIN = 15
+#: Memberships (a document in a group) that one task works on together, for 16 shards or fewer.
+PART_ROWS = 100_000
 
 
 def winnowed(x: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +84,10 @@ def holders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(signed(x))], schema.names)
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
-    rows = _scratch.write(rows.distinct(), "shingles")
-    # One row a shingle, added up before the shuffle; a shingle of very many documents is a skewed key of the join, which adaptive plans split.
-    groups = rows.groupBy("shingle").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(c) for i, c in enumerate("xy")]).where("n > 1").drop("n")
-    return rows.join(groups, "shingle").groupBy("x", "y", "doc_id").agg(F.count("*").alias("weight"))
+    # One shuffle for all: a shingle's rows are made distinct, counted and named where they are, which spills beyond memory. A shingle of very many documents is one task's.
+    group = Window.partitionBy("shingle")
+    named = rows.repartition("shingle").distinct().select("doc_id", F.count("*").over(group).alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).over(group).alias(c) for i, c in enumerate("xy")])
+    return named.where("n > 1").groupBy("x", "y", "doc_id").agg(F.count("*").alias("weight"))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, window: int = WINDOW) -> DataFrame:
@@ -94,17 +97,167 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def near_by_groups(groups: DataFrame, linked: DataFrame) -> DataFrame:
-    """``doc_id, there, weight``: weight of the links of every document into each shard, from the number of members that each group of holders() has there; a document is no neighbour of its own."""
-    at = groups.join(linked.select("doc_id", "shard"), "doc_id")
-    counts = at.groupBy("x", "y", F.col("shard").alias("there")).agg(F.count("*").alias("members"))
-    sent = at.join(counts, ["x", "y"]).select("doc_id", "there", (F.col("weight") * (F.col("members") - (F.col("there") == F.col("shard")).cast("int"))).alias("weight"))
-    return sent.groupBy("doc_id", "there").agg(F.sum("weight").alias("weight")).where("weight > 0")
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ..., n[0] of them, then those from begin[1], and so on."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def near_by_pairs(both: DataFrame, linked: DataFrame) -> DataFrame:
-    """The same from links in both directions."""
-    return both.join(linked.select(F.col("doc_id").alias("b"), F.col("shard").alias("there")), "b").groupBy(F.col("a").alias("doc_id"), "there").agg(F.sum("weight").alias("weight"))
+def turned(hash_: np.ndarray, turn: int) -> np.ndarray:
+    """Spark's xxhash64(doc_id, turn) from xxhash64(doc_id), for a turn of type int."""
+    p1, p2, p3, p5 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)
+    x = (hash_.view(U) + p5 + U(4)) ^ (np.array([turn], U) * p1)
+    x = ((x << U(23)) | (x >> U(41))) * p2 + p3
+    x = (x ^ (x >> U(33))) * p2
+    x = (x ^ (x >> U(29))) * p3
+    return signed(x ^ (x >> U(32)))
+
+
+class Part:
+    """Documents of one part, their groups and their memberships: ``doc`` and ``group`` are places in ``number`` and ``ids``, which stand by the task that counts them, between its ``cuts``."""
+
+    def __init__(self, number: np.ndarray, hash_: np.ndarray, ids: np.ndarray, cuts: np.ndarray, group: np.ndarray, doc: np.ndarray, weight: np.ndarray):
+        self.number, self.hash, self.ids, self.cuts, self.group, self.doc, self.weight = number, hash_, ids, cuts, group, doc, weight
+
+    @classmethod
+    def of(cls, number: np.ndarray, hash_: np.ndarray, group: np.ndarray, weight: np.ndarray, parts: int) -> Part:
+        number, first, doc = np.unique(number, return_index=True, return_inverse=True)
+        ids, local = np.unique(group, return_inverse=True)
+        order = np.argsort(ids % parts, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        local, by = place[local], np.argsort(place[local], kind="stable")
+        return cls(number, hash_[first], ids[order], np.searchsorted(ids[order] % parts, np.arange(parts + 1)), local[by], doc[by], weight[by])
+
+    def packed(self) -> bytes:
+        return _packed((_sorted(self.number.astype(U)), self.hash, self.cuts, [_sorted(self.ids[a:b].astype(U)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)], _sorted(self.group.astype(U)), _planes(self.doc), self.weight))
+
+    @classmethod
+    def opened(cls, blob: bytes) -> Part:
+        number, hash_, cuts, ids, group, doc, weight = _opened(blob)
+        return cls(signed(_ascending(number)), hash_, np.concatenate([signed(_ascending(x)) for x in ids]), cuts, signed(_ascending(group)), signed(_numbers(doc)), weight)
+
+    def asks(self, shard: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+        """For every counting task its groups' ids, in how many shards each has members here, and these shards and numbers of members."""
+        cell, members = np.unique(self.group * shards + shard[self.doc], return_counts=True)
+        group, at = cell // shards, cell % shards
+        place = np.searchsorted(group, self.cuts)
+        for to in np.flatnonzero(np.diff(self.cuts)).tolist():
+            (a, b), (i, j) = self.cuts[to : to + 2], place[to : to + 2]
+            yield to, _packed((_sorted(self.ids[a:b].astype(U)), _planes(np.bincount(group[i:j] - a, minlength=b - a)), _planes(at[i:j]), _planes(members[i:j])))
+
+    def wishes(self, replies: list[tuple], shard: np.ndarray, shards: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shard that each document would move to, -1 for none, and its rank by class of gain and part of hash; replies are those of answers(), by task."""
+        n, at, members = (signed(np.concatenate([_numbers(r[i]) for r in replies])) for i in range(3))
+        times = n[self.group]
+        there = ranges((np.cumsum(n) - n)[self.group], times)
+        doc, to = np.repeat(self.doc, times), at[there]
+        others = members[there] - (to == shard[doc])  # a document is no neighbour of its own
+        cell = (doc * shards + to)[others > 0]
+        near = np.bincount(cell, (np.repeat(self.weight, times) * others)[others > 0], len(shard) * shards).reshape(-1, shards)
+        near[np.bincount(cell, minlength=near.size).reshape(near.shape) == 0] = -np.inf
+        row = np.arange(len(shard))
+        best, own = near.argmax(axis=1), near[row, shard]
+        gain = near[row, best] - np.where(own == -np.inf, 0, own)
+        hash_ = turned(self.hash, turn)
+        able = (gain > 0) & (best != shard) & (hash_ & 1 == 0)
+        class_ = MOST_GAIN - np.minimum(np.frexp(np.where(able, gain, 1))[1] - 1, MOST_GAIN)
+        return np.where(able, best, -1), class_ * PARTS + ((hash_ >> 1) & (PARTS - 1))
+
+
+def answers(asks: list[bytes], shards: int) -> Iterator[bytes]:
+    """For every part that asks, in how many shards each of its groups has members anywhere, and these shards and numbers of members."""
+    rows = [_opened(a) for a in asks]
+    ids = [signed(_ascending(r[0])) for r in rows]
+    n, at, members = (signed(np.concatenate([_numbers(r[i]) for r in rows])) for i in (1, 2, 3))
+    found, local = np.unique(np.concatenate(ids), return_inverse=True)
+    cell, of = np.unique(np.repeat(local, n) * shards + at, return_inverse=True)
+    total = np.zeros(len(cell), np.int64)
+    np.add.at(total, of, members)
+    n = np.bincount(cell // shards, minlength=len(found))
+    begin = np.cumsum(n) - n
+    for own in np.split(local, np.cumsum([len(i) for i in ids])[:-1]):
+        there = ranges(begin[own], n[own])
+        yield _packed((_planes(n[own]), _planes(cell[there] % shards), _planes(total[there])))
+
+
+_PARTS = "key int, blob binary, now binary, wish array<bigint>, times array<bigint>"
+_SENT = "key int, source int, blob binary, now binary"
+
+
+def _table(schema: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], schema)
+
+
+def _part_row(key: int, blob: bytes, shard: np.ndarray, to: np.ndarray, rank: np.ndarray, shards: int) -> pa.Table:
+    """A row of _PARTS; wish is (rank x shards + to) x shards + shard, with how many documents have it."""
+    some = to >= 0
+    wish, times = np.unique((rank[some] * shards + to[some]) * shards + shard[some], return_counts=True)
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return _table(["key", "blob", "now", "wish", "times"], kinds, [(key, blob, _packed((shard, to, rank)), wish, times)])
+
+
+def _moved(now: bytes, upto: np.ndarray) -> np.ndarray:
+    """Shards once those have moved whose rank is within what their shard admits."""
+    shard, to, rank = _opened(now)
+    return np.where((to >= 0) & (rank <= upto[to]), to, shard)
+
+
+def parted(entries: DataFrame, parts: int, shards: int) -> DataFrame:
+    """_PARTS of entries ``key, number, hash, group, weight``; documents begin in the shard of their number, and wish to stay there."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        part = Part.of(*(t.column(c).to_numpy() for c in ("number", "hash", "group", "weight")), parts)
+        shard = part.number % shards
+        return _part_row(t.column("key")[0].as_py(), part.packed(), shard, shard, np.zeros(len(shard), np.int64), shards)
+
+    return entries.groupBy("key").applyInArrow(pack, _PARTS)
+
+
+def wished(table: DataFrame, upto: np.ndarray, shards: int, turn: int) -> DataFrame:
+    """_PARTS of the next round. A part sends the task of each of its groups how many members it has in which shard, and gets the sums over all parts; a group that all documents have is one entry a part."""
+    kinds, names = [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["key", "source", "blob", "now"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob, now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _table(names, kinds, [(to, key, x, None) for to, x in Part.opened(blob).asks(_moved(now, upto), shards)]).to_batches()
+
+    def answer(t: pa.Table) -> pa.Table:
+        to = t.column("key")[0].as_py()
+        return _table(names, kinds, [(key, to, x, None) for key, x in zip(t.column("source").to_pylist(), answers(t.column("blob").to_pylist(), shards), strict=True)])
+
+    def wish(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in names[1:]), strict=True), key=lambda r: r[0])
+        (_, blob, now), replies = rows[0], [_opened(x) for _, x, _ in rows[1:]]
+        shard = _moved(now, upto)
+        return _part_row(t.column("key")[0].as_py(), blob, shard, *Part.opened(blob).wishes(replies, shard, shards, turn), shards)
+
+    asked = table.select("key", "blob", "now").mapInArrow(ask, _SENT)
+    answered = asked.groupBy("key").applyInArrow(answer, _SENT)
+    return answered.unionByName(table.select("key", F.lit(-1).alias("source"), "blob", "now")).groupBy("key").applyInArrow(wish, _PARTS)
+
+
+def placed(table: DataFrame, upto: np.ndarray) -> DataFrame:
+    """``number, shard`` of the documents of _PARTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(Part.opened(blob).number), pa.array(_moved(now, upto).astype(np.int32))], ["number", "shard"])
+
+    return table.select("blob", "now").mapInArrow(run, "number long, shard int")
+
+
+def memberships(groups: DataFrame | None, edges: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """``group, doc_id, weight`` of holders() or of edges, each of which is a group of two; groups have numbers instead of two hashes. And the tables to delete at the end."""
+    number = F.monotonically_increasing_id().alias("group")  # written, so that it stays
+    if edges is not None:
+        pairs = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+        pairs = _scratch.write(pairs.select("*", number), "links")
+        return pairs.select("group", F.explode(F.array("a", "b")).alias("doc_id"), "weight"), [pairs]
+    rows = _scratch.write(groups, "links")
+    names = _scratch.write(rows.select("x", "y").distinct().select("*", number), "groups")
+    return rows.join(names, ["x", "y"]).select("group", "doc_id", "weight"), [rows, names]
 
 
 def numbered(ids: DataFrame) -> DataFrame:
@@ -141,49 +294,53 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     each shard the largest gains (by powers of two) go first, and no more than its free places.
     Rounds end early when hardly any moves. A table of 16 x 256 counts per shard
     decides who is admitted, so no shard's candidates are sorted on one
-    machine. edges (a, b, weight) replaces holders(); ends that aren't ids of
+    machine. Documents keep to parts of about PART_ROWS memberships, which ask
+    for the members of their groups in each shard. edges (a, b, weight) replaces holders(); ends that aren't ids of
     docs are ignored. Very long texts count whole. Documents without links, as of null and empty texts, fill
     the shards up evenly at the end, so their places are free for those that
     gather. Null ids have no row; rows that repeat an id are one document; an
     empty table gives no rows; extra columns are ignored.
     """
-    start = _scratch.write(even_start(docs.select(docs[id_col].alias("doc_id")).where("doc_id IS NOT NULL").distinct(), shards), "start")
-    if edges is None:
-        near_of, both = near_by_groups, _scratch.write(holders(docs, id_col, text_col), "links")
-    else:
-        pairs = edges.select("a", "b", "weight").where("a <> b")
-        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-        near_of, both = near_by_pairs, _scratch.write(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "links")
+    start = _scratch.write(numbered(docs.select(docs[id_col].alias("doc_id")).where("doc_id IS NOT NULL").distinct()), "start")
     total = start.count()
     capacity = -(-total * (1 + slack) // shards)
-    linked = _scratch.write(start.join(both.select(F.col("doc_id" if edges is None else "a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shards")
-    first = linked
-    sizes = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
-    for turn in range(rounds):
-        near = near_of(both, linked)
-        best = near.groupBy("doc_id").agg(F.max(F.struct("weight", (-F.col("there")).alias("back"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("there", "weight"))).alias("all"))
-        wish = linked.join(best, "doc_id", "left").select("doc_id", "shard", (-F.col("best.back")).cast("int").alias("to"), (F.col("best.weight") - F.coalesce(F.expr("try_element_at(all, shard)"), F.lit(0))).alias("gain"), F.xxhash64("doc_id", F.lit(turn)).alias("hash"))
-        able = (F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod("hash", F.lit(2)) == 0)
-        wish = _scratch.write(wish.select("doc_id", "shard", F.when(able, F.col("to")).alias("to"), F.when(able, MOST_GAIN - F.least(F.floor(F.log2("gain")), F.lit(MOST_GAIN)).cast("int")).alias("class"), F.pmod(F.shiftright("hash", 1), F.lit(PARTS)).cast("int").alias("part")), "wishes")
+    member, made = memberships(holders(docs, id_col, text_col) if edges is None else None, edges)
+    parts = -(-made[0].count() * max(shards, 16) // (16 * PART_ROWS)) or 1
+    entries = member.join(start, "doc_id").select(F.pmod("number", F.lit(parts)).cast("int").alias("key"), "number", F.xxhash64("doc_id").alias("hash"), "group", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    table = _scratch.write(parted(entries, parts, shards), "parts")
+    _scratch.drop(*made)
+
+    def wishes() -> DataFrame:
+        w = table.select(F.explode(F.arrays_zip("wish", "times")).alias("w"))
+        place = F.floor(F.col("w.wish") / shards)
+        return w.select((F.col("w.wish") % shards).cast("int").alias("was"), (place % shards).cast("int").alias("to"), F.floor(place / shards).alias("rank"), F.col("w.times").alias("n"))
+
+    sizes = {r["to"]: r["n"] for r in wishes().groupBy("to").agg(F.sum("n").alias("n")).collect()}
+    upto = np.full(shards, -1)
+    for turn in range(rounds if sizes else 0):
+        then = _scratch.write(wished(table, upto, shards, turn), "parts")
+        _scratch.drop(table)
+        table = then
+        # At most shards x 16 x PARTS ranks, whatever the input.
         free = docs.sparkSession.createDataFrame([(s, int(capacity - sizes.get(s, 0))) for s in range(shards)], "to int, free long")
-        upto = F.sum("count").over(Window.partitionBy("to").orderBy("class", "part"))
-        admitted = wish.where("to IS NOT NULL").groupBy("to", "class", "part").count().withColumn("upto", upto).join(F.broadcast(free), "to").where("upto <= free").select("to", "class", "part", F.lit(True).alias("moves"))
-        # At most shards x 16 x PARTS rows, whatever the input.
-        moved = wish.join(F.broadcast(admitted), ["to", "class", "part"], "left").select("doc_id", "shard", F.when(F.col("moves"), F.col("to")).alias("to"))
-        then = _scratch.write(moved.select("doc_id", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved"), F.col("shard").alias("was")), "shards")
-        flows = then.where("moved").groupBy("was", "shard").count().collect()
-        _scratch.drop(wish, *([] if linked is first else [linked]))
-        linked = then
+        ranks = wishes().groupBy("to", "rank").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy("to").orderBy("rank")))
+        upto = np.full(shards, -1)
+        for r in ranks.join(F.broadcast(free), "to").where("n <= free").groupBy("to").agg(F.max("rank").alias("rank")).collect():
+            upto[r["to"]] = r["rank"]
+        flows = wishes().where(F.col("rank") <= F.element_at(F.array(*[F.lit(int(x)) for x in upto]), F.col("to") + 1)).groupBy("was", "to").agg(F.sum("n").alias("n")).collect()
         for r in flows:
-            sizes[r["was"]] -= r["count"]
-            sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["count"]
-        if sum(r["count"] for r in flows) <= STILL * sum(sizes.values()):
+            sizes[r["was"]] -= r["n"]
+            sizes[r["to"]] = sizes.get(r["to"], 0) + r["n"]
+        if sum(r["n"] for r in flows) <= STILL * sum(sizes.values()):
             break
-    _scratch.drop(both)
+    linked = _scratch.write(placed(table, upto), "shards")
+    _scratch.drop(table)
+    out = _scratch.write(start.join(linked, "number", "left").select("doc_id", "shard"), "sharded")
+    _scratch.drop(start, linked)
     rest = even_rest([sizes.get(i, 0) for i in range(shards)], total - sum(sizes.values()))
     ends = np.cumsum(rest)[:-1].tolist()
-    filled = numbered(start.join(linked, "doc_id", "left_anti").select("doc_id")).select("doc_id", sum([(F.col("number") >= e).cast("int") for e in ends], F.lit(0)).alias("shard"))
-    return linked.select("doc_id", "shard").unionByName(filled)
+    filled = numbered(out.where("shard IS NULL").select("doc_id")).select("doc_id", sum([(F.col("number") >= e).cast("int") for e in ends], F.lit(0)).alias("shard"))
+    return out.where("shard IS NOT NULL").unionByName(filled)
 
 
 def cut_weight(pairs: DataFrame, shards_: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,55 @@ def test_the_rest_fills_shards_evenly():
             want[want.index(min(want))] += 1
         out = sharding.even_rest(sizes, n)
         assert sum(out) == n and min(out) >= 0 and sorted(a + b for a, b in zip(sizes, out, strict=True)) == sorted(want)
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum({(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}.values())
+
+
+def test_a_round_is_hashed_as_by_spark(spark):
+    ids = [0, 1, -1, 2**62, -(2**63), 12345]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("xxhash64(i) AS h", *[f"xxhash64(i, {t}) AS t{t}" for t in (0, 1, 19)]).collect()
+    for t in (0, 1, 19):
+        assert sharding.turned(np.array([r["h"] for r in rows]), t).tolist() == [r[f"t{t}"] for r in rows]
+
+
+def test_rounds_over_many_parts_against_brute_force(spark, monkeypatch):
+    """Groups and their documents lie in many parts, and one group is of most documents."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 60)
+    rng = random.Random(31)
+    common, long_ = prose(rng, 45), [prose(rng, 60) for _ in range(25)]
+    texts = [f"{edited(rng, rng.choice(long_), 0.02)} {common if rng.random() < 0.6 else prose(rng, 45)}" for _ in range(240)] + ["few words"] * 9 + [None] * 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = {(r["a"], r["b"]): r["weight"] for r in sharding.links(docs).collect()}
+    start = {r["doc_id"]: r["shard"] for r in sharding.even_start(docs.select("doc_id"), 6).collect()}
+    want = brute_shards(spark, list(range(len(texts))), start, pairs, 6)
+    parts, at = [], sharding.parted
+    monkeypatch.setattr(sharding, "parted", lambda entries, n, shards: parts.append(n) or at(entries, n, shards))
+    out = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=6).collect()}
+    assert parts[0] > 5 and len(want) > 200 and {i: out[i] for i in want} == want and sorted(out) == list(range(len(texts)))
+    assert any(want[i] != start[i] for i in want)
+
+
+def test_rounds_shuffle_little_and_leave_only_the_result(spark):
+    """Members aren't shuffled as rows in every round, and shingles once; joins that a small table would spare by broadcasts are shuffled here, as those of a large one."""
+    rng = random.Random(37)
+    base = [prose(rng, 120) for _ in range(150)]
+    docs = spark.createDataFrame([(i, edited(rng, base[i % 150], 0.01)) for i in range(1500)], "doc_id long, text string").repartition(4).cache()
+    rows = sharding.holders(docs).count()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = set(Path(sharding._scratch.root(spark).removeprefix("file://")).glob("*"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert sharding.shard(docs).count() == 1500
+        bytes_ = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    left = {p.name.split("-")[0] for p in set(Path(sharding._scratch.root(spark).removeprefix("file://")).glob("*")) - tables}
+    assert left == {"sharded"}
+    assert bytes_ < 400 * rows
