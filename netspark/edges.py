@@ -180,6 +180,8 @@ class EdgeList:
     directed: bool = False
     bipartite: bool = False
     n_nodes: int | None = None
+    #: The rows ``s, p`` of which an undirected graph is the projection by count, if it is one; its edges are then made when they are read.
+    factor: DataFrame | None = None
 
     def __post_init__(self) -> None:
         types = dict(self.df.dtypes)
@@ -213,7 +215,7 @@ class EdgeList:
         return x.select("source_id", "target_id", "weight")
 
     def with_df(self, df: DataFrame, **kwargs: Any) -> EdgeList:
-        return replace(self, df=df, **kwargs)
+        return replace(self, df=df, **{"factor": None} | kwargs)
 
     def attach(self, extra_df: DataFrame, id_mapper: IDMapper) -> tuple[EdgeList, IDMapper]:
         """Union with ``source_id, target_id, weight`` edges of other nodes; ids become strings, equal edges sum their weights, codes are new."""

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from netspark.edges import EdgeList, IDMapper, as_frame
 from netspark.errors import ValidationError
+from netspark.operators.factor import KERNEL_ROWS, Factor
+from netspark.operators.meets import degrees
 from netspark.session import checkpointed, fits, measured, released
 
 log = logging.getLogger("netspark.centrality")
@@ -44,20 +46,22 @@ def _symmetric(frame: DataFrame, directed: bool) -> DataFrame:
 KERNEL_ARCS = 2_000_000
 
 
-def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None, restart: DataFrame | None = None, total_change: bool = False) -> DataFrame:
+def power_iteration(frame: DataFrame | EdgeList, nodes: DataFrame, step: str, directed: bool = False, iterations: int = 100, tol: float = 1e-8, damping: float = 0.85, katz_alpha: float | None = None, restart: DataFrame | None = None, total_change: bool = False) -> DataFrame:
     """``node_id, value`` of PageRank, eigenvector or Katz centrality by joins.
 
     A round is one join along the arcs and one aggregation, whose table is
     written, which cuts the plan; the same pass measures the change (the largest, or the
     sum of all), the weight on nodes without out-arcs and the norm. restart (node_id, s)
-    is where PageRank starts and returns to, by default all nodes alike.
+    is where PageRank starts and returns to, by default all nodes alike. A graph with a
+    factor takes the place of frame, its codes that of ids; rounds go along the factor.
     """
-    arcs = _symmetric(frame, directed).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    if step == "pagerank":
+    factor = Factor(frame.factor) if isinstance(frame, EdgeList) else None
+    arcs = factor.total().select(F.col("node").alias("a"), F.lit(1.0).alias("w")) if factor else _symmetric(frame, directed).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    if step == "pagerank" and not factor:
         arcs = checkpointed(arcs)
         total = arcs.groupBy("a").agg(F.sum("w").alias("t"))
         arcs = arcs.join(total, "a").where("t > 0").select("a", "b", (F.col("w") / F.col("t")).alias("w"))
-    arcs = checkpointed(arcs)
+    arcs = arcs if factor else checkpointed(arcs)
     nodes = nodes.select("node_id").distinct().join(arcs.select(F.col("a").alias("node_id"), F.lit(False).alias("ends")).distinct(), "node_id", "left").select("node_id", F.coalesce("ends", F.lit(True)).alias("ends"))
     if restart is not None:
         nodes = nodes.join(restart.select("node_id", "s"), "node_id", "left").select("node_id", "ends", F.coalesce("s", F.lit(0.0)).alias("s"))
@@ -69,16 +73,21 @@ def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: boo
         nodes = nodes.withColumn("s", F.lit(1.0 / n))
     value = {"pagerank": F.col("s"), "eigenvector": F.lit(1.0 / n**0.5), "katz": F.lit(0.0)}[step]
     if step == "katz" and katz_alpha is None:
-        most = arcs.groupBy("b").agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
+        into = degrees(frame.factor, frame.number_of_nodes()) if factor else arcs.groupBy("b").agg(F.count("*").alias("d"))
+        most = into.agg(F.max("d")).first()[0] or 0
         katz_alpha = 1.0 / (most + 1)
-    if n <= KERNEL_ARCS and fits(arcs, KERNEL_ARCS):
-        return _power_kernel(arcs, nodes.select("node_id", "ends", "s", value.alias("value")), step, iterations, tol, damping, katz_alpha, total_change)
+    if n <= KERNEL_ARCS and (factor.n <= min(KERNEL_ARCS, KERNEL_ROWS) if factor else fits(arcs, KERNEL_ARCS)):
+        return _power_kernel(factor or arcs, nodes.select("node_id", "ends", "s", value.alias("value")), step, iterations, tol, damping, katz_alpha, total_change)
     x, seen = measured(nodes.withColumn("value", value), F.sum(F.when(F.col("ends"), F.col("value"))).alias("lost"))
     lost, written = seen["lost"] or 0.0, x
     moved = F.abs(F.col("value") - F.col("was"))
     moved = F.sum(moved) if total_change else F.max(moved)
     for _ in range(iterations):
-        got = x.join(arcs, F.col("node_id") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("value") * F.col("w")).alias("m"))
+        if factor:
+            from_ = x.join(factor.total(), F.col("node_id") == F.col("node")) if step == "pagerank" else x
+            got = factor.times(from_, "node_id", [F.col("value") / F.col("t") if step == "pagerank" else F.col("value")]).withColumnRenamed("m0", "m")
+        else:
+            got = x.join(arcs, F.col("node_id") == F.col("a")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("value") * F.col("w")).alias("m"))
         m = F.coalesce("m", F.lit(0.0))
         value = (1 - damping) * F.col("s") + damping * (m + lost * F.col("s")) if step == "pagerank" else 1.0 + katz_alpha * m if step == "katz" else m
         y = x.withColumnRenamed("value", "was").join(got, F.col("node_id") == F.col("to"), "left").select("node_id", "ends", "s", "was", value.alias("value"))
@@ -92,20 +101,28 @@ def power_iteration(frame: DataFrame, nodes: DataFrame, step: str, directed: boo
         x = x.drop("was")
         if change < tol:
             break
-    released(arcs)
+    if not factor:
+        released(arcs)
     return x.select("node_id", "value")
 
 
-def _power_kernel(arcs: DataFrame, nodes: DataFrame, step: str, iterations: int, tol: float, damping: float, katz_alpha: float | None, total_change: bool) -> DataFrame:
+def _power_kernel(arcs: DataFrame | Factor, nodes: DataFrame, step: str, iterations: int, tol: float, damping: float, katz_alpha: float | None, total_change: bool) -> DataFrame:
     """The same rounds on one machine."""
-    table, own = arcs.toArrow(), nodes.toArrow()
-    at = [pc.index_in(table[c].combine_chunks(), value_set=own["node_id"].combine_chunks()).to_numpy(zero_copy_only=False) for c in "ab"]
-    w = table["w"].to_numpy()
-    known = ~(np.isnan(at[0].astype(float)) | np.isnan(at[1].astype(float)))
-    a, b, w = at[0][known].astype(np.int64), at[1][known].astype(np.int64), w[known]
+    if isinstance(arcs, Factor):
+        own = nodes.orderBy("node_id").toArrow()
+        times = arcs.kernel(own["node_id"].to_numpy())
+        out = times(np.ones(own.num_rows)) if step == "pagerank" else np.ones(own.num_rows)
+        sums = lambda x: times(np.divide(x, out, out=np.zeros_like(x), where=out > 0))
+    else:
+        table, own = arcs.toArrow(), nodes.toArrow()
+        at = [pc.index_in(table[c].combine_chunks(), value_set=own["node_id"].combine_chunks()).to_numpy(zero_copy_only=False) for c in "ab"]
+        w = table["w"].to_numpy()
+        known = ~(np.isnan(at[0].astype(float)) | np.isnan(at[1].astype(float)))
+        a, b, w = at[0][known].astype(np.int64), at[1][known].astype(np.int64), w[known]
+        sums = lambda x: np.bincount(b, weights=x[a] * w, minlength=len(x))
     ends, s, x = own["ends"].to_numpy(zero_copy_only=False).astype(bool), own["s"].to_numpy(), own["value"].to_numpy()
     for _ in range(iterations):
-        m = np.bincount(b, weights=x[a] * w, minlength=len(x))
+        m = sums(x)
         if step == "pagerank":
             new = (1 - damping) * s + damping * (m + x[ends].sum() * s)
         else:
@@ -114,7 +131,8 @@ def _power_kernel(arcs: DataFrame, nodes: DataFrame, step: str, iterations: int,
         if (moved.sum() if total_change else moved.max()) < tol:
             break
     out = pa.table({"node_id": own["node_id"], "value": pa.array(x)})
-    released(arcs)
+    if not isinstance(arcs, Factor):
+        released(arcs)
     return nodes.sparkSession.createDataFrame(out, T.StructType([nodes.schema["node_id"], T.StructField("value", T.DoubleType())]))
 
 
@@ -189,16 +207,22 @@ def shortest_path_sums(frame: DataFrame, nodes: DataFrame, directed: bool, metri
     return names.join(out, "code", "left").select("node_id", (F.coalesce("value", F.lit(0.0)) * half).alias("value"))
 
 
-def centrality(frame: DataFrame, metric: str, nodes: DataFrame | None = None, directed: bool = False, normalized: bool = True) -> DataFrame:
+def centrality(frame: DataFrame | EdgeList, metric: str, nodes: DataFrame | None = None, directed: bool = False, normalized: bool = True) -> DataFrame:
     """``node_id, value`` of one metric over ``source_id, target_id, weight``.
 
     Normalised: degrees over n - 1 (directed total over 2 (n - 1)), betweenness
     over pairs, harmonic closeness over n - 1, PageRank scaled to [0, 1],
-    eigenvector and Katz over their maximum. NaN and negatives become 0.
+    eigenvector and Katz over their maximum. NaN and negatives become 0. A
+    graph with a factor may stand for the frame; ids are then its codes.
     """
     if metric not in METRICS:
         raise ValidationError(f"unknown metric {metric!r}", field="metrics", value=metric, expected=str(METRICS))
-    frame = checkpointed(as_frame(frame))
+    if isinstance(frame, EdgeList) and (frame.factor is None or metric not in ("eigenvector", "pagerank", "katz")):
+        frame = as_frame(frame)
+    if not isinstance(frame, EdgeList):
+        frame = checkpointed(as_frame(frame))
+    elif nodes is None:
+        nodes = frame.factor.select(F.col("p").alias("node_id"))
     all_, seen = measured(_nodes(frame, nodes), F.count("*").alias("n"))
     n = seen["n"]
     if metric.endswith("degree"):
@@ -231,7 +255,7 @@ def extract_centrality(graph: EdgeList, id_mapper: IDMapper, metrics: list[str]
     nodes = id_mapper.nodes.select(F.col("code").alias("node_id"))
     out = id_mapper.nodes.select("node_id", "code")
     for m in dict.fromkeys(metrics):
-        values = centrality(frame, m, nodes, graph.directed, normalized).select(F.col("node_id").alias("code"), F.col("value").alias(f"{m}_centrality"))
+        values = centrality(graph if graph.factor is not None else frame, m, nodes, graph.directed, normalized).select(F.col("node_id").alias("code"), F.col("value").alias(f"{m}_centrality"))
         out = out.join(values, "code", "left").fillna(0.0, [f"{m}_centrality"])
     return out.drop("code").orderBy("node_id")
 

@@ -148,7 +148,7 @@ def personalised_pagerank(graph: EdgeList, seeds: DataFrame, nodes: DataFrame, a
 
     The rounds are those of power_iteration(); they end when all changes add up to less than tol.
     """
-    steps = _steps(graph, direction).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "weight")
+    steps = graph if graph.factor is not None else _steps(graph, direction).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "weight")
     start = seeds.select("code").distinct()
     k = start.count()
     restart = start.select(F.col("code").alias("node_id"), F.lit(1.0 / k).alias("s"))

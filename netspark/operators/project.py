@@ -47,6 +47,21 @@ def bipartite_codes(frame: DataFrame, projected: str, shared: str) -> tuple[Data
     return pairs, codes, codes.count()
 
 
+def projected_graph(frame: DataFrame, projected: str, shared: str) -> tuple[EdgeList, IDMapper]:
+    """The undirected graph of projected_pairs() by count, and the mapper of its nodes.
+
+    Its edges are made whenever they are read and written nowhere; propagation, power
+    iterations and samples go along its factor, the rows whose shared id has two ids at least.
+    """
+    named = checkpointed(frame.select(F.col(projected).alias("p"), F.col(shared).alias("s")).dropna().distinct())
+    keys = checkpointed(named.groupBy("s").agg(F.count("*").alias("d")).where("d > 1").select("s", F.monotonically_increasing_id().alias("key")))
+    rows = checkpointed(named.join(small(keys), "s").select("p", F.col("key").alias("s")))
+    released(named)
+    factor, codes, n = bipartite_codes(rows, "p", "s")
+    edges = summed_pairs(factor, n, part=PART).toDF("src", "tgt", "weight")
+    return EdgeList(edges, n_nodes=n, factor=factor), IDMapper(codes)
+
+
 def _decoded(pairs: DataFrame, codes: DataFrame, weight: Column | None = None) -> DataFrame:
     """Pairs of codes as pairs of ids; a weight may read both ends' d of codes as da and db."""
     side = lambda s, c: small(codes).withColumnsRenamed({"node_id": s, "code": c, "d": "d" + s})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from netspark.edges import EdgeList, IDMapper
 from netspark.errors import ConfigurationError, ConvergenceError, ValidationError
 from netspark.functions.weights import WeightTransform, transformed
+from netspark.operators.factor import KERNEL_ROWS, Factor
 from netspark.operators.seeds import known_seeds, normalize_seed_input
 from netspark.session import checkpointed, measured, released, small
 
@@ -23,8 +24,10 @@ NOISE = "noise"
 KERNEL_ARCS, KERNEL_CELLS = 2_000_000, 20_000_000
 
 
-def transition(graph: EdgeList, direction: str, weight_transform: WeightTransform | None = None) -> DataFrame:
-    """``row, col, p``: row-normalised weights along out-edges (``out_degree``), against in-edges (``in_degree``), or both ways if undirected."""
+def transition(graph: EdgeList, direction: str, weight_transform: WeightTransform | None = None) -> DataFrame | Factor:
+    """``row, col, p``: row-normalised weights along out-edges (``out_degree``), against in-edges (``in_degree``), or both ways if undirected; the factor of a graph that has one stands for them."""
+    if graph.factor is not None and weight_transform is None:
+        return Factor(graph.factor)
     e = graph.weighted().select("src", "tgt", transformed(F.col("weight"), weight_transform).alias("w"))
     if not graph.directed:
         e = e.union(e.select("tgt", "src", "w"))
@@ -35,7 +38,7 @@ def transition(graph: EdgeList, direction: str, weight_transform: WeightTransfor
     return e.join(total, "row").where("t > 0").select("row", "col", (F.col("w") / F.col("t")).alias("p"))
 
 
-def spread(p: DataFrame, y: DataFrame, alpha: float, iterations: int, prior: DataFrame | None = None, every: int = 5, tol: float | None = None, snapshots: list | None = None) -> tuple[DataFrame, int, float]:
+def spread(p: DataFrame | Factor, y: DataFrame, alpha: float, iterations: int, prior: DataFrame | None = None, every: int = 5, tol: float | None = None, snapshots: list | None = None) -> tuple[DataFrame, int, float]:
     """``node, f`` after iterations of F = alpha P (F * D) + (1 - alpha) Y from F = Y, arrays of labels; the rounds done and the last largest change.
 
     A round joins along the arcs, adds arrays element by element in one
@@ -49,19 +52,22 @@ def spread(p: DataFrame, y: DataFrame, alpha: float, iterations: int, prior: Dat
     k = len(head["y"]) if head else 0
     if not k:
         return x.select("node", "f"), 0, 0.0
-    p, first = checkpointed(p), x
+    p, first = p if isinstance(p, Factor) else checkpointed(p), x
     weight = (lambda i: F.col("f")[i]) if prior is None else (lambda i: F.col("f")[i] * F.col("d")[i])
     same = [c for c in x.columns if c != "f"]
     done, change, written = 0, float("inf"), x
     while done < iterations:
-        got = p.join(x.drop("y"), F.col("col") == F.col("node")).groupBy(F.col("row").alias("to")).agg(*[F.sum(F.col("p") * weight(i)).alias(f"m{i}") for i in range(k)])
+        if isinstance(p, Factor):
+            got = p.times(x, "node", [weight(i) for i in range(k)]).join(p.total(), F.col("to") == F.col("node")).select("to", *[(F.col(f"m{i}") / F.col("t")).alias(f"m{i}") for i in range(k)])
+        else:
+            got = p.join(x.drop("y"), F.col("col") == F.col("node")).groupBy(F.col("row").alias("to")).agg(*[F.sum(F.col("p") * weight(i)).alias(f"m{i}") for i in range(k)])
         f = F.array(*[alpha * F.coalesce(f"m{i}", F.lit(0.0)) + (1 - alpha) * F.col("y")[i] for i in range(k)])
         new = x.withColumnRenamed("f", "g").join(got, F.col("node") == F.col("to"), "left").withColumn("f", f)
         done += 1
         if tol is not None or snapshots is not None:
             new, seen = measured(new.select(*same, "f", F.array_max(F.zip_with("f", "g", lambda a, b: F.abs(a - b))).alias("moved")), F.max("moved").alias("most"))
             change = seen["most"] or 0.0
-        elif done % every == 0 or done == iterations:
+        elif done % every == 0 or done == iterations or isinstance(p, Factor):  # a factor's rounds read x twice
             new = checkpointed(new.select(*same, "f"))
         x = new.select(*same, "f")
         if hasattr(new, "checkpoint_path"):
@@ -72,21 +78,25 @@ def spread(p: DataFrame, y: DataFrame, alpha: float, iterations: int, prior: Dat
             snapshots.append(x.select("node", "f"))
         if tol is not None and change < tol:
             break
-    released(p)
+    if not isinstance(p, Factor):
+        released(p)
     return x.select("node", "f"), done, change
 
 
-def _kernel(p: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, alpha: float, iterations: int, tol: float, prior: np.ndarray | None, snapshots: list | None = None) -> tuple[np.ndarray, int, float]:
-    """The same on one machine: arcs sorted by row, sums by np.add.reduceat."""
-    row, col, value = p
-    order = np.argsort(row, kind="stable")
-    row, col, value = row[order], col[order], value[order, None]
-    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+def _kernel(p: tuple[np.ndarray, np.ndarray, np.ndarray] | Callable[[np.ndarray], np.ndarray], y: np.ndarray, alpha: float, iterations: int, tol: float, prior: np.ndarray | None, snapshots: list | None = None) -> tuple[np.ndarray, int, float]:
+    """The same on one machine: arcs sorted by row, sums by np.add.reduceat; or p as a function that gives all rows' sums."""
+    if not callable(p):
+        row, col, value = p
+        order = np.argsort(row, kind="stable")
+        row, col, value = row[order], col[order], value[order, None]
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     f, change = y.copy(), float("inf")
     for i in range(1, iterations + 1):
         g = f if prior is None else f * prior
         new = (1 - alpha) * y
-        if len(begin):
+        if callable(p):
+            new += alpha * p(g)
+        elif len(begin):
             new[row[begin]] += alpha * np.add.reduceat(value * g[col], begin, axis=0)
         change = float(np.abs(new - f).max()) if new.size else 0.0
         f = new
@@ -190,8 +200,10 @@ def _converged(iterations: int, change: float, tol: float, most: int) -> None:
 def propagate_matrix(graph: EdgeList, id_mapper: IDMapper, y: DataFrame, alpha: float, max_iterations: int, tol: float, direction: str, weight_transform: WeightTransform | None = None, prior: DataFrame | None = None, snapshots: list | None = None) -> tuple[DataFrame, int]:
     """``node, f`` at convergence, by the kernel that fits the size."""
     p = transition(graph, direction, weight_transform)
-    arcs = p.limit(KERNEL_ARCS + 1).toArrow()
-    rows = y.orderBy("node").limit(KERNEL_CELLS + 1).toArrow() if arcs.num_rows <= KERNEL_ARCS else None
+    factored = isinstance(p, Factor)
+    arcs = None if factored else p.limit(KERNEL_ARCS + 1).toArrow()
+    here = p.n <= min(KERNEL_ARCS, KERNEL_ROWS) if factored else arcs.num_rows <= KERNEL_ARCS
+    rows = y.orderBy("node").limit(KERNEL_CELLS + 1).toArrow() if here else None
     k = len(rows["y"][0]) if rows is not None and rows.num_rows else 1
     if rows is None or rows.num_rows * k > KERNEL_CELLS:
         f, done, change = spread(p, y, alpha, max_iterations, prior, tol=tol, snapshots=snapshots)
@@ -204,7 +216,11 @@ def propagate_matrix(graph: EdgeList, id_mapper: IDMapper, y: DataFrame, alpha:
     if prior is not None:
         d = np.array([r[0] for r in prior.orderBy("node").select("d").collect()], float).reshape(len(nodes), -1)
     rounds: list | None = None if snapshots is None else []
-    f, done, change = _kernel((at("row"), at("col"), arcs["p"].to_numpy()), start, alpha, max_iterations, tol, d, rounds)
+    if factored:
+        times = p.kernel(nodes)
+        total = times(np.ones(len(nodes)))[:, None]
+        product = lambda g: np.divide(times(g), total, out=np.zeros_like(g), where=total > 0)
+    f, done, change = _kernel(product if factored else (at("row"), at("col"), arcs["p"].to_numpy()), start, alpha, max_iterations, tol, d, rounds)
     _converged(done, change, tol, max_iterations)
 
     def table(f: np.ndarray) -> DataFrame:

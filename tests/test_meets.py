@@ -7,13 +7,20 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from netspark.operators import meets, project
+from pyspark.sql import functions as F
+
+from netspark.edges import from_frame
+from netspark.operators import centrality, factor, meets, project, propagate, reduce
 
 
 def edges(df):
     return {(r[0], r[1]): r[2] for r in df.collect()}
 
 
+def shares_of_a(df):
+    return {r["node_id"]: r["a_prob"] for r in df.collect()}
+
+
 @pytest.fixture(scope="module")
 def shares(spark):
     rng = random.Random(1)
@@ -52,3 +59,30 @@ def test_pairs_are_added_up_before_they_are_sent(shares):
     for out in (project.projected_pairs(df, "source", "target"), project.temporal_pairs(df, "target", "source", "t")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "keys=[source_id" not in plan and "hashpartitioning(source_id" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_iterations_along_the_factor_equal_those_along_pairs(spark, shares, monkeypatch):
+    """Propagation, power iterations and fires, by joins and on the driver; edges of the factored graph can't even be read."""
+    _, df = shares
+    plain, names = from_frame(project.projected_pairs(df, "source", "target"))
+    graph, mapper = project.projected_graph(df, "source", "target")
+    assert sorted(names.nodes.collect()) == sorted(mapper.nodes.collect())
+    assert sorted(plain.df.collect()) == sorted(graph.df.collect())
+    burnt = [sorted(r[0] for r in reduce.reduce_by_sampling(plain, names, target_nodes=20, random_seed=3)[1].nodes.select("node_id").collect())]
+    for g in (plain, graph):
+        monkeypatch.setattr(reduce, "FIRE_EDGES", 10)
+        burnt.append(sorted(r[0] for r in reduce.reduce_by_sampling(g, mapper, target_nodes=20, random_seed=3)[1].nodes.select("node_id").collect()))
+    assert burnt[0] == burnt[1] == burnt[2]
+    unread = graph.with_df(graph.df.withColumn("weight", F.raise_error(F.lit("pairs are read")).cast("double")), factor=graph.factor)
+    seeds = {"u1": "a", "u2": "b"}
+    ids = mapper.nodes.select(F.col("code").alias("node_id"))
+    whole = shares_of_a(propagate.guided_label_propagation(plain, names, seeds, ["a", "b"], max_iterations=30, convergence_threshold=1e-3))
+    for limit in (factor.KERNEL_ROWS, 0):
+        for module in (propagate, centrality):
+            monkeypatch.setattr(module, "KERNEL_ROWS", limit)
+        found = shares_of_a(propagate.guided_label_propagation(unread, mapper, seeds, ["a", "b"], max_iterations=30, convergence_threshold=1e-3))
+        assert found == pytest.approx(whole, abs=1e-9)
+        for step in ("pagerank", "eigenvector", "katz"):
+            want = {r[0]: r[1] for r in centrality.power_iteration(plain.frame(), ids, step, iterations=3).collect()}
+            graph_ = graph if step == "katz" else unread
+            assert {r[0]: r[1] for r in centrality.power_iteration(graph_, ids, step, iterations=3).collect()} == pytest.approx(want, rel=1e-9)
