@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netspark.edges import dense_codes
 from netspark.errors import ConfigurationError, ValidationError, validate_parameter
 from netspark.functions.weights import dimension_weight
+from netspark.session import checkpointed, small
 
 log = logging.getLogger("netspark.embed")
-#: Rows of a block of vectors that meets all others.
-BLOCK = 4096
+#: Rows of a block of vectors that meets all others, and pairs that are measured at once.
+BLOCK, AT_ONCE = 16384, 65536
+#: By how much a product of unit vectors in single precision may differ from that in double.
+SLACK = 2e-5
 
 
 def encoded(df: DataFrame, post_col: str, to: str, model: Any, batch_size: int = 32) -> DataFrame:
@@ -120,39 +124,82 @@ def extract_embedding_features(df: DataFrame, *, sender_col: str = "sender", pos
 def nearest(vectors: DataFrame, k: int, floor: float | None = None, block: int = BLOCK) -> DataFrame:
     """``id, other, sim``: each unit vector's (id, v) k most similar others, of at least floor; ties by id.
 
-    Blocks of vectors meet pairwise, one task and one matrix product (of single
-    precision; what it finds is measured in double) a pair of blocks; a block's best k of each partner block are all that is shuffled.
+    All pairs are looked at, as blocks of the ids in their order: a task has one block and is sent all
+    others, and keeps each vector's k best so far. Products are of single precision; whatever they can't
+    tell from the k-th is measured in double, as is all that is given back.
     """
-    id_type = vectors.schema["id"].dataType
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    numbered = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    blocks = numbered.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    pairs = blocks.toDF("b1", "r1").crossJoin(blocks.toDF("b2", "r2")).repartition(max(1, parts * parts))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("other", id_type), T.StructField("sim", T.DoubleType())])
+    spark = vectors.sparkSession
+    vectors = checkpointed(vectors)
+    codes = checkpointed(dense_codes(vectors, "id"))
+    n = codes.count()
+    size = max(1, min(block, -(-n // (3 * spark.sparkContext.defaultParallelism))))
+    parts = max(1, -(-n // size))
+    own = vectors.join(small(codes), F.col("id") == F.col("node_id")).groupBy(F.floor(F.col("code") / size).cast("int").alias("b"))
+    blocks = checkpointed(own.agg(F.collect_list(F.struct("code", "v")).alias("rows")))
+    sent = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("task", (F.col("b") != F.col("task")).alias("far"), "rows")
+    parted = sent.repartitionById(parts, "task").sortWithinPartitions("task", "far")
+
+    def matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat = rows.flatten()
+        code, v = flat.field("code").to_numpy(), flat.field("v")
+        order = np.argsort(code)
+        return code[order], v.flatten().to_numpy().reshape(len(code), -1)[order]
+
+    def joined(best: tuple, x: np.ndarray, y: np.ndarray, code: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple:
+        """The best of each row (row, other, sim) with new pairs, measured in double some at a time."""
+        sim = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + AT_ONCE]], y[col[i : i + AT_ONCE]]) for i in range(0, len(row), AT_ONCE)] or [np.zeros(0)])
+        ok = np.ones(len(sim), bool) if floor is None else sim >= floor
+        row, other, sim = (np.concatenate([old, new]) for old, new in zip(best, (row[ok], code[col[ok]], sim[ok]), strict=True))
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+        return row[keep], other[keep], sim[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = -1, None
+
+        def given() -> pa.RecordBatch:
+            row, other, sim = (np.concatenate(c) for c in zip(*best, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(other), pa.array(sim)], ["a", "b", "sim"])
+
         for batch in batches:
-            for left, right in zip(batch.column("r1"), batch.column("r2"), strict=True):
-                a, b = left.as_py(), right.as_py()
-                ids, others = [x["id"] for x in a], [x["id"] for x in b]
-                order = sorted(range(len(b)), key=lambda j: others[j])
-                others = [others[j] for j in order]
-                x = np.array([r["v"] for r in a], float)
-                y = np.array([b[j]["v"] for j in order], float)
-                sims = x.astype(np.float32) @ y.T.astype(np.float32)
-                where = {o: j for j, o in enumerate(others)}
-                for i, own in enumerate(ids):
-                    if own in where:
-                        sims[i, where[own]] = -np.inf
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                keep = np.take_along_axis(sims, best, axis=1)
-                ok = np.isfinite(keep) if floor is None else keep >= floor
-                rows, cols = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows.tolist()]), pa.array([others[j] for j in best[rows, cols].tolist()]), pa.array(np.einsum("ij,ij->i", x[rows], y[best[rows, cols]]))], schema.names)
-
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
-    return pairs.mapInArrow(run, schema).withColumn("r", rank).where(F.col("r") <= k).drop("r")
+            for i in range(batch.num_rows):
+                code, y = matrix(batch["rows"].slice(i, 1))
+                if batch["task"][i].as_py() != now:
+                    if best is not None:
+                        yield given()
+                    now, (mine, x) = batch["task"][i].as_py(), (code, y)
+                    low, best = x.astype(np.float32), [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))] * -(-len(x) // 512)
+                short = np.zeros((-(-len(y) // 64) * 64, y.shape[1]), np.float32)
+                short[: len(y)] = y
+                same = mine is code
+                for r in range(0, len(x), 512):
+                    sims = low[r : r + 512] @ short.T
+                    sims[:, len(y) :] = -np.inf
+                    if same:
+                        sims[np.arange(len(sims)), np.arange(r, r + len(sims))] = -np.inf
+                    groups = sims.reshape(len(sims), -1, 64)
+                    most = groups.max(axis=2)
+                    # The k-th of groups' largest is no more than the k-th of all; so is the k-th that a row has.
+                    least = np.partition(most, -k, axis=1)[:, -k] if most.shape[1] >= k else np.full(len(sims), -np.inf, np.float32)
+                    known = best[r // 512]
+                    count = np.bincount(known[0] - r, minlength=len(sims))
+                    worst = np.full(len(sims), np.inf)
+                    np.minimum.at(worst, known[0] - r, known[2])
+                    least = np.maximum(np.maximum(least, np.where(count >= k, worst, -np.inf)), -np.inf if floor is None else floor) - SLACK
+                    at, group = np.nonzero((most >= least[:, None]) & (most > -np.inf))
+                    hit, lane = np.nonzero((groups[at, group] >= least[at, None]) & (groups[at, group] > -np.inf))
+                    row, col = at[hit], group[hit] * 64 + lane
+                    for j in range(0, len(row), 16 * AT_ONCE):
+                        part = slice(j, j + 16 * AT_ONCE)
+                        best[r // 512] = joined(best[r // 512], x, y, code, row[part] + r, col[part])
+        if best is not None:
+            yield given()
+
+    near = parted.mapInArrow(run, "a long, b long, sim double")
+    out = near.join(small(codes).toDF("id", "a"), "a").join(small(codes).toDF("other", "b"), "b")
+    return out.select("id", "other", "sim")
 
 
 def extract_embedding_similarity_edgelist(df: DataFrame, *, sender_col: str = "sender", post_col: str = "post", embedding_col: str | None = None, datetime_col: str | None = None, source_col: str = "source", target_col: str = "target", weight_col: str = "weight", model: Any = None, batch_size: int = 32, show_progress: bool = False, device: str | None = None, normalize_embeddings: bool = True, save_path: str | None = None, create_new: bool = False, aggregate_inline: bool = True, chunk_size: int | None = None, aggregation: str = "mean", metric: str = "cosine", k: int = 30, similarity_threshold: float = 0.0, mutual: bool = False, weight_transform: str = "raw", shift_amount: float = 2.0, power: float = 0.5, n_jobs: int = 1, verbose: bool = True) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from netspark.edges import from_frame
-from netspark.operators import centrality, factor, meets, project, propagate, reduce
+from netspark.operators import backbone, centrality, embed, factor, meets, project, propagate, reduce
 
 
 def edges(df):
@@ -86,3 +87,25 @@ def test_iterations_along_the_factor_equal_those_along_pairs(spark, shares, monk
             want = {r[0]: r[1] for r in centrality.power_iteration(plain.frame(), ids, step, iterations=3).collect()}
             graph_ = graph if step == "katz" else unread
             assert {r[0]: r[1] for r in centrality.power_iteration(graph_, ids, step, iterations=3).collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_neighbours_that_single_precision_cannot_tell_apart(spark):
+    """The k nearest in double, of vectors that differ by less than a float can tell, over several blocks."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(12, 6)), 20, axis=0) + 1e-6 * rng.normal(size=(240, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = np.einsum("id,jd->ij", x, x) - 2 * np.eye(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = {(r[0], r[1]) for r in embed.nearest(df, 3, 0.5, 64).collect()}
+    by_row = [set(np.argsort(-s, kind="stable")[:3].tolist()) for s in sims]
+    # Doubles added up in another order may differ in the last digits.
+    assert len(found) == 3 * len(x) and all(j in by_row[i] or abs(sims[i, j] - np.sort(sims[i])[-3]) < 1e-15 for i, j in found)
+
+
+def test_the_first_rows_are_found_in_ranges(spark, monkeypatch):
+    """Beyond TOP_ROWS no task orders all of them; ties are by ids."""
+    rows = [(f"a{i % 40:02}", f"b{i // 40:02}", float(i % 7)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "source_id string, target_id string, weight double")
+    monkeypatch.setattr(backbone, "TOP_ROWS", 50)
+    kept = sorted((-r["weight"], r["source_id"], r["target_id"]) for r in backbone.weight_threshold(df, target_edges=437).where("kept").collect())
+    assert kept == sorted((-w, s, t) for s, t, w in rows)[:437]
